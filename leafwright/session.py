@@ -32,6 +32,7 @@ def local_session(name: str = "leafwright", cores: str = "*", partitions: int =
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
