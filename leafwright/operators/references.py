@@ -290,17 +290,21 @@ def name_referenced(names: DataFrame, values: DataFrame) -> DataFrame:
     )
     lowered = values.select("doc_id", F.lower("value").alias("value")).distinct()
     sized = lowered.join(lengths, "doc_id")
-    # Work on a character array: substring by position would rescan the text for every dot.
-    chars = F.split("value", "")
-    widest = F.array_max("__lengths")
-    at_dot = F.filter(F.sequence(F.lit(1), F.size(chars)), lambda i: F.element_at(chars, i) == ".")
+    # A character array as its own column: inside the lambdas it must not be split again, and
+    # substring by position would rescan the text for every dot.
+    spread = sized.filter(F.col("value").contains(".")).withColumn("__chars", F.split("value", ""))
+    chars, widest = F.col("__chars"), F.col("__widest")
+    spread = spread.withColumn("__widest", F.array_max("__lengths")).withColumn(
+        "__dots",
+        F.filter(F.sequence(F.lit(1), F.size(chars)), lambda i: F.element_at(chars, i) == "."),
+    )
     heads = F.transform(
-        at_dot,
+        F.col("__dots"),
         lambda i: F.array_join(
             F.slice(chars, F.greatest(i - widest, F.lit(1)), F.least(widest, i - 1)), ""
         ),
     )
-    before = sized.filter(F.col("value").contains(".")).select(
+    before = spread.select(
         "doc_id", "__lengths", F.explode(F.array_distinct(heads)).alias("__head")
     )
     pieces = before.select(
