@@ -1,6 +1,6 @@
 """Queries over the given tables, one module per part of the operator inventory."""
 
-from leafwright.bindings import filters, joins, scalars, sources  # noqa: F401
+from leafwright.bindings import aggregates, filters, joins, scalars, sources, windows  # noqa: F401
 from leafwright.bindings.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafwright.bindings.registry import HREF, SPACE, TAGS, query, words_sql
+from leafwright.bindings.registry import HREF, TAGS, query, words_sql
 from leafwright.bindings.sources import LINKS, page_links, page_tags
 from leafwright.functions import identity, language, names, text, uri
 from leafwright.functions.language import GRANDFATHERED
@@ -561,6 +561,3 @@ def b24_channel_tag(spark: SparkSession, sf: str) -> DataFrame:
     )
     checked = rows.withColumn("n", language.normalize_language(F.col("raw")))
     return checked.select("doc_id", "raw", "n.tag", "n.problem")
-
-
-__all__ = ["LINES", "SPACE", "lines", "pick", "pick_sql"]
