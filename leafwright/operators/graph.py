@@ -159,23 +159,26 @@ def described_graphics(figures: DataFrame, painted: DataFrame) -> DataFrame:
     return described.join(owners, ["doc_id", "node_id"], "left_semi")
 
 
-def navigation(pages: DataFrame, shapes: DataFrame) -> DataFrame:
+def listed_shapes(pages: DataFrame) -> DataFrame:
+    """The shape identities a page's ``nav_order`` text names, one row each."""
+    ids = F.filter(F.split(F.trim("nav_order"), r"\s+"), lambda s: s != "")
+    return pages.filter(F.col("nav_order").isNotNull()).select(
+        "doc_id", "page_id", F.explode(ids).alias("shape_id")
+    )
+
+
+def navigation(pages: DataFrame, listed: DataFrame, shapes: DataFrame) -> DataFrame:
     """PAGE004 for an incomplete or ambiguous order, PAGE005 for a missing one.
 
-    ``pages``: doc_id, page_id, nav_order.  ``shapes``: doc_id, page_id, shape_id (null without).
-    Orders are exploded and compared by counts, so no page collects its shapes.
+    ``pages``: doc_id, page_id, declared (whether it states an order).  ``listed`` and ``shapes``:
+    doc_id, page_id, shape_id (null for a shape without one).  Both are compared by counts, so no
+    page collects its shapes.
     """
     key = ["doc_id", "page_id"]
-    ids = F.filter(F.split(F.trim("nav_order"), r"\s+"), lambda s: s != "")
-    listed = (
-        pages.filter(F.col("nav_order").isNotNull())
-        .select(*key, F.explode(ids).alias("shape_id"))
-        .groupBy(*key, "shape_id")
-        .agg(F.count("*").alias("n_listed"))
-    )
+    named = listed.groupBy(*key, "shape_id").agg(F.count("*").alias("n_listed"))
     owned = shapes.groupBy(*key, "shape_id").agg(F.count("*").alias("n_owned"))
     in_doc = shapes.groupBy("doc_id", "shape_id").agg(F.count("*").alias("n_doc"))
-    both = listed.join(owned, [*key, "shape_id"], "full").join(
+    both = named.join(owned, [*key, "shape_id"], "full").join(
         in_doc, ["doc_id", "shape_id"], "left"
     )
     wrong = ~F.coalesce(
@@ -186,7 +189,7 @@ def navigation(pages: DataFrame, shapes: DataFrame) -> DataFrame:
     )
     joined = pages.join(agg, key, "left")
     n = F.coalesce("n_shapes", F.lit(0))
-    declared = F.col("nav_order").isNotNull()
+    declared = F.col("declared")
     rule = F.when(declared & (F.coalesce("wrong", F.lit(True)) | (n == 0)), "PAGE004").when(
         ~declared & (n > 1), "PAGE005"
     )

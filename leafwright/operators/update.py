@@ -45,6 +45,11 @@ def _constraint(name: str, rule: dict) -> list[Column]:
     return found
 
 
+def _any(names: list[str]) -> Column:
+    """Any non-null field, whatever the types."""
+    return F.coalesce(*[F.col(n).cast("string") for n in names])
+
+
 def validate_answers(
     answers: DataFrame,
     fields: dict[str, dict],
@@ -54,10 +59,10 @@ def validate_answers(
     """Add ``problems``: every reason an answer of one kind is refused, in field order."""
     found = [c for name, rule in fields.items() for c in _constraint(name, rule)]
     if require_any:
-        found.append(F.when(F.coalesce(*require_any).isNull(), "nothing answered"))
+        found.append(F.when(_any(require_any).isNull(), "nothing answered"))
     if exclusive:
         switch, others = exclusive
-        found.append(F.when(F.col(switch) & F.coalesce(*others).isNotNull(), f"{switch}: exclusive"))
+        found.append(F.when(F.col(switch) & _any(others).isNotNull(), f"{switch}: exclusive"))
     return answers.withColumn("problems", F.array_compact(F.array(*found)))
 
 
