@@ -34,8 +34,8 @@ def visible_words(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    """Null, empty or white space only."""
-    return F.coalesce(visible_words(text) == "", F.lit(True))
+    """Null, empty or white space only; the search stops at the first other character."""
+    return F.coalesce(~text.rlike("[^" + SPACE[1:]), F.lit(True))
 
 
 def is_manual_number(text: Column) -> Column:

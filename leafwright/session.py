@@ -34,6 +34,7 @@ def local_session(name: str = "leafwright", cores: str = "*", partitions: int =
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     return prepare(builder.getOrCreate())
@@ -66,9 +67,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# Tables whose rows are long texts, and their unique key.
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given parquet tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the given parquet tables.
+
+    A text table small enough to sit in fewer row groups than there are cores is spread by its
+    unique key, since the work per row is heavy.  A large one has more splits and is left alone.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXT_TABLES and rows.rdd.getNumPartitions() < cores:
+        return rows.repartition(cores, TEXT_TABLES[name])
+    return rows
 
 
 def literal_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
