@@ -1,0 +1,5 @@
+"""Document corpus audit on Spark."""
+
+from leafwright.plans.workflow import audit, batch, compare, plan, remediate, run, verify_evidence
+
+__all__ = ["audit", "batch", "compare", "plan", "remediate", "run", "verify_evidence"]

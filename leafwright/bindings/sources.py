@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from leafwright.bindings.registry import HREF, TAGS, query
 from leafwright.functions.uri import is_relative_link
-from leafwright.operators.findings import raise_rule, summary, union_findings
+from leafwright.operators.findings import raise_rules, summary, union_findings
 from leafwright.rules import category_of
 from leafwright.rules import rules as rule_dimension
-from leafwright.session import literal_frame, table
+from leafwright.session import literal_frame, stored, table
 from leafwright.sources.corpus import identify, package_members
 from leafwright.sources.html import attribute, shred_html, with_tree
 from leafwright.sources.records import check_batch
@@ -349,11 +349,13 @@ def page_findings(spark: SparkSession, sf: str) -> DataFrame:
     """Findings about pages: site-relative links and non-ASCII link targets."""
     links = page_links(spark, sf).withColumn("doc_id", F.col("page_id").cast("string"))
     path = F.concat(F.lit("content/link["), F.col("ord"), F.lit("]"))
-    relative = links.filter(is_relative_link(F.col("href")))
-    odd = links.filter(F.col("href").rlike("[^\\x00-\\x7f]"))
+    tests = {
+        "NATIVE003": is_relative_link(F.col("href")),
+        "FIDELITY008": F.col("href").rlike("[^\\x00-\\x7f]"),
+    }
+    details = {"NATIVE003": {"text": F.col("text")}, "FIDELITY008": {"problem": F.col("href")}}
     return union_findings(
-        raise_rule(relative, "NATIVE003", path=path, pos=F.col("ord"), details={"text": F.col("text")}),
-        raise_rule(odd, "FIDELITY008", path=path, pos=F.col("ord"), details={"problem": F.col("href")}),
+        raise_rules(links, tests, path=path, pos=F.col("ord"), details=details)
     )
 
 
@@ -389,7 +391,7 @@ def _page_language(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def page_sarif(spark: SparkSession, sf: str) -> DataFrame:
-    joined = page_findings(spark, sf).join(_page_language(spark, sf), "doc_id")
+    joined = stored(page_findings(spark, sf).join(_page_language(spark, sf), "doc_id"))
     return sarif(joined.withColumn("file", F.concat_ws("", F.lit("p/"), "doc_id")), "run", "page_id", "file")
 
 

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafwright.functions.text import words_of
 from leafwright.operators.sequence import BLOCK, running_sum, scan
+from leafwright.session import stored
 
 MAX_RENDER_PIXELS = 20_000_000
 INK_THRESHOLD = 200
 RASTER_TOLERANCE = 0.15
 EXCERPT = 40
+WORD_BLOCK = 256
 
 
 def multiset_diff(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
@@ -56,21 +59,38 @@ def geometry_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return agg.withColumn("rule_id", rule).filter(F.col("rule_id").isNotNull())
 
 
-def words_of(pages: DataFrame, block=BLOCK) -> DataFrame:
-    """(doc_id, idx, word): words numbered over the whole document, wherever pages break.
+def numbered_pages(pages: DataFrame, block=BLOCK) -> DataFrame:
+    """Each page's words with the number of words before it in its document.
 
-    ``pages``: doc_id, page (long), text.  Each page's words are counted first and only the page
-    offsets are scanned; no document is ever assembled.
+    ``pages``: doc_id, page (long), text.  Only page sizes are scanned; no document is assembled,
+    and moved page breaks do not matter.
     """
-    from leafwright.functions.text import visible_words
+    words = words_of(F.col("text"))
+    counted = pages.select("doc_id", "page", words.alias("words")).withColumn("n", F.size("words"))
+    return scan(
+        counted, ["doc_id"], "page", {"offset": running_sum(F.col("n").cast("long"), False)}, block
+    )
+
+
+def _words(numbered: DataFrame, name: str) -> DataFrame:
+    exploded = numbered.select("doc_id", "offset", F.posexplode("words").alias("__i", name))
+    return exploded.select("doc_id", (F.col("offset") + F.col("__i")).alias("idx"), name)
+
+
+def _word_blocks(numbered: DataFrame, side: str) -> DataFrame:
+    """Two digests and the length of every run of ``WORD_BLOCK`` words.
 
-    words = F.filter(F.split(visible_words(F.col("text")), " "), lambda w: w != "")
-    counted = pages.select("doc_id", "page", words.alias("__w")).withColumn("__n", F.size("__w"))
-    offsets = scan(
-        counted, ["doc_id"], "page", {"__off": running_sum(F.col("__n").cast("long"), False)}, block
+    The words of a page follow each other, so nearly everything combines before the shuffle.
+    """
+    rows = _words(numbered, "w").withColumn("blk", F.col("idx") - F.pmod("idx", F.lit(WORD_BLOCK)))
+    return rows.groupBy("doc_id", "blk").agg(
+        F.struct(
+            F.bit_xor(F.xxhash64("idx", "w")).alias("h1"),
+            F.bit_xor(F.xxhash64("w", "idx")).alias("h2"),
+            F.count("*").alias("n"),
+        ).alias(f"h_{side}"),
+        F.sum(F.length("w") + 1).alias(f"chars_{side}"),
     )
-    exploded = offsets.select("doc_id", "__off", F.posexplode("__w").alias("__i", "word"))
-    return exploded.select("doc_id", (F.col("__off") + F.col("__i")).alias("idx"), "word")
 
 
 def _common_prefix(a: Column, b: Column) -> Column:
@@ -82,28 +102,55 @@ def _common_prefix(a: Column, b: Column) -> Column:
 def first_diff(before: DataFrame, after: DataFrame, block=BLOCK) -> DataFrame:
     """FIDELITY003: character position of the first difference in the normalised text.
 
-    If one text is a prefix of the other the position is the shorter length.  The excerpts hold
-    up to 40 characters on either side, rebuilt from the few words around the difference.
+    If one text is a prefix of the other the position is the shorter length.  Runs of words are
+    compared by digest first, so only the words around the first unlike run are joined.  The
+    excerpts hold up to 40 characters on either side, rebuilt from those words.
     """
-    left = words_of(before, block).withColumnRenamed("word", "__a")
-    right = words_of(after, block).withColumnRenamed("word", "__b")
-    both = left.join(right, ["doc_id", "idx"], "full")
-    differs = ~F.col("__a").eqNullSafe(F.col("__b"))
-    at = (
-        both.filter(differs)
-        .groupBy("doc_id")
+    source, target = numbered_pages(before, block), numbered_pages(after, block)
+    # Both small results below are read more than once, hence written once: one row per run of
+    # words, then at most three runs of words per differing document.
+    blocks = stored(
+        _word_blocks(source, "a").join(_word_blocks(target, "b"), ["doc_id", "blk"], "full")
+    )
+    unlike = ~F.col("h_a").eqNullSafe(F.col("h_b"))
+    first = (
+        blocks.groupBy("doc_id").agg(F.min(F.when(unlike, F.col("blk"))).alias("first")).filter("first IS NOT NULL")
+    )
+    # Characters before the first unlike block: those blocks are equal on both sides.
+    led = (
+        blocks.join(first, "doc_id")
+        .groupBy("doc_id", "first")
         .agg(
-            F.min("idx").alias("__at"),
-            F.min_by(F.struct("__a", "__b"), "idx").alias("__pair"),
+            F.coalesce(F.sum(F.when(F.col("blk") < F.col("first"), F.col("chars_a"))), F.lit(0)).alias("led")
         )
     )
-    near = both.join(at, "doc_id")
-    early = F.col("idx") < F.col("__at")
+
+    def near_words(numbered: DataFrame, name: str) -> DataFrame:
+        low, high = F.col("first") - WORD_BLOCK, F.col("first") + 2 * WORD_BLOCK
+        touching = (F.col("offset") < high) & (F.col("offset") + F.col("n") > low)
+        rows = numbered.join(led, "doc_id").filter(touching)
+        exploded = rows.select(
+            "doc_id", "first", "led", "offset", F.posexplode("words").alias("__i", name)
+        ).withColumn("idx", F.col("offset") + F.col("__i"))
+        within = (F.col("idx") >= low) & (F.col("idx") < high)
+        return exploded.filter(within).select("doc_id", "first", "led", "idx", name)
+
+    key = ["doc_id", "first", "led", "idx"]
+    near = stored(near_words(source, "__a").join(near_words(target, "__b"), key, "full"))
+    inside = F.col("idx") >= F.col("first")
+    differs = inside & ~F.col("__a").eqNullSafe(F.col("__b"))
+    at = near.filter(differs).groupBy("doc_id").agg(
+        F.min("idx").alias("__at"), F.min_by(F.struct("__a", "__b"), "idx").alias("__pair")
+    )
+    near = near.join(at, "doc_id")
+    early = inside & (F.col("idx") < F.col("__at"))
     around = F.abs(F.col("idx") - F.col("__at")) <= EXCERPT
     agg = near.groupBy("doc_id").agg(
         F.first("__at").alias("at"),
         F.first("__pair").alias("pair"),
-        F.coalesce(F.sum(F.when(early, F.length("__a") + 1)), F.lit(0)).alias("lead"),
+        (
+            F.first("led") + F.coalesce(F.sum(F.when(early, F.length("__a") + 1)), F.lit(0))
+        ).alias("lead"),
         # At most 81 words each: these lists are bounded by the excerpt, not by the document.
         F.sort_array(F.collect_list(F.when(around, F.struct("idx", "__a")))).alias("near_a"),
         F.sort_array(F.collect_list(F.when(around, F.struct("idx", "__b")))).alias("near_b"),

@@ -42,6 +42,43 @@ def raise_rule(
     )
 
 
+def raise_rules(
+    df: DataFrame,
+    tests: dict[str, Column],
+    doc: str = "doc_id",
+    path: Column | None = None,
+    pos: Column | None = None,
+    details: dict[str, dict[str, Column]] | None = None,
+) -> DataFrame:
+    """Findings of several rules about the same rows in one pass: one row per rule that holds."""
+    empty = F.expr("cast(map() as map<string,string>)")
+
+    def found(rule: str) -> Column:
+        pairs = [
+            c
+            for k, v in ((details or {}).get(rule) or {}).items()
+            for c in (F.lit(k), v.cast("string"))
+        ]
+        return F.struct(
+            F.lit(rule).alias("rule_id"),
+            (F.create_map(*pairs) if pairs else empty).alias("details"),
+        )
+
+    held = F.array_compact(F.array(*[F.when(test, found(rule)) for rule, test in tests.items()]))
+    null = F.lit(None).cast("string")
+    rows = df.select(
+        F.col(doc).cast("string").alias("doc_id"),
+        (null if path is None else path).alias("path"),
+        (F.lit(0) if pos is None else pos).cast("long").alias("pos"),
+        F.explode(held).alias("__f"),
+    )
+    return rows.select(
+        "doc_id", F.col("__f.rule_id").alias("rule_id"), "path", "pos",
+        bound_details(F.col("__f.details")).alias("details"),
+        null.alias("kind_id"), null.alias("fingerprint"),
+    )
+
+
 def union_findings(*frames: DataFrame) -> DataFrame:
     """All findings with severity and category from the broadcast rule dimension."""
     whole = reduce(lambda a, b: a.unionByName(b), frames)

@@ -58,7 +58,8 @@ def scan(
     column that never decreases along the order (for example a prefix of a string position).
     """
     order = [pos] if isinstance(pos, str) else list(pos)
-    cut = F.floor(F.col(order[0]) / F.lit(block)) if isinstance(block, int) else block
+    first = F.col(order[0])
+    cut = first - F.pmod(first, F.lit(block)) if isinstance(block, int) else block
     base = df.withColumn(_B, cut)
     inner = Window.partitionBy(*keys, _B).orderBy(*order)
     outer = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,6 +68,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write a frame that several branches will read once, and read it back column by column.
+
+    Unlike a cached frame it survives lost executors, and every branch prunes its own columns.
+    """
+    folder = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 # Tables whose rows are long texts, and their unique key.
 TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
 

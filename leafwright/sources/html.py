@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafwright.operators.sequence import BLOCK, running_max, running_sum, scan
+from leafwright.session import stored
 
 # What counts as one tag, and the elements that never open a level because they are
 # void or are commonly left unclosed.
@@ -53,8 +54,10 @@ def with_tree(events: DataFrame, doc: str = "page_id", block=BLOCK) -> DataFrame
     """Opening events with depth and parent.
 
     Depth counts the open elements that open a level.  The parent of a node at depth d is the
-    latest opener at depth d-1, found by a scan per (page, level).
+    latest opener at depth d-1, found by a scan per (page, level).  The two scans read the events
+    four times, so they are written once instead of shredding the pages again.
     """
+    events = stored(events)
     level = ~F.col("tag").isin(FLAT)
     step = F.when(level & ~F.col("closing"), 1).when(level & F.col("closing"), -1).otherwise(0)
     deep = scan(events, [doc], "ord", {"__open": running_sum(step.cast("long"), False)}, block)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 NODES = (
     "doc_id string, part string, node_id long, parent_id long, ord int, depth int, tag string, "
     "text string, tail string, attrs map<string,string>, "
-    "ancestors array<struct<id:long,tag:string>>, problem string"
+    "ancestors array<struct<id:long,tag:string>>, last_id long, problem string"
 )
 # Namespace ends and the prefixes they are shown with.
 PREFIXES = {
@@ -87,6 +87,7 @@ class _Shredder:
 
     def end(self, tag: str) -> None:
         self._last = self._open.pop()
+        self._last.append(self._count)
         self._places.pop()
         self.rows.append(self._last)
 
@@ -106,7 +107,7 @@ def shred_xml(parts: DataFrame) -> DataFrame:
     """Node rows of ``parts`` (doc_id, part, content); a bad document gives one ``problem`` row."""
     names = [
         "doc_id", "part", "node_id", "parent_id", "ord", "depth", "tag", "text", "tail", "attrs",
-        "ancestors", "problem",
+        "ancestors", "last_id", "problem",
     ]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,7 +119,7 @@ def shred_xml(parts: DataFrame) -> DataFrame:
                     found.extend(_rows(doc_id, part, bytes(content)))
                 except (ET.ParseError, expat.ExpatError, UnicodeError) as error:
                     reason = type(error).__name__
-                    found = [(doc_id, part, *[None] * 9, reason)]
+                    found = [(doc_id, part, *[None] * 10, reason)]
                 rows.extend(found)
                 if len(rows) >= _FLUSH:
                     yield _frame(rows)
@@ -127,7 +128,7 @@ def shred_xml(parts: DataFrame) -> DataFrame:
                 yield _frame(rows)
 
     def _frame(rows: list[tuple]) -> pd.DataFrame:
-        types = {"node_id": "Int64", "parent_id": "Int64", "ord": "Int32", "depth": "Int32"}
+        types = {"node_id": "Int64", "parent_id": "Int64", "ord": "Int32", "depth": "Int32", "last_id": "Int64"}
         return pd.DataFrame(rows, columns=names).astype(types)
 
     chosen = parts.select("doc_id", "part", F.col("content").cast("binary").alias("content"))
