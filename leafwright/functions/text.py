@@ -33,11 +33,6 @@ def visible_words(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE + "+", " "))
 
 
-def words_of(text: Column) -> Column:
-    """The visible words of a text as an array."""
-    return F.filter(F.split(visible_words(text), " "), lambda w: w != "")
-
-
 def is_blank(text: Column) -> Column:
     """Null, empty or white space only; the search stops at the first other character."""
     return F.coalesce(~text.rlike("[^" + SPACE[1:]), F.lit(True))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafwright.functions.text import words_of
+from leafwright.functions.text import visible_words
 from leafwright.operators.sequence import BLOCK, running_sum, scan
 from leafwright.session import stored
 
@@ -65,11 +65,17 @@ def numbered_pages(pages: DataFrame, block=BLOCK) -> DataFrame:
     ``pages``: doc_id, page (long), text.  Only page sizes are scanned; no document is assembled,
     and moved page breaks do not matter.
     """
-    words = words_of(F.col("text"))
-    counted = pages.select("doc_id", "page", words.alias("words")).withColumn("n", F.size("words"))
-    return scan(
-        counted, ["doc_id"], "page", {"offset": running_sum(F.col("n").cast("long"), False)}, block
-    )
+    clean = pages.select("doc_id", "page", visible_words(F.col("text")).alias("clean"))
+    spaces = F.length("clean") - F.length(F.replace("clean", F.lit(" "), F.lit("")))
+    n = F.when(F.col("clean") == "", 0).otherwise(spaces + 1).cast("long")
+    # The clean text is read by several branches, most of which need the sizes only.
+    counted = stored(clean.withColumn("n", n))
+    placed = scan(counted, ["doc_id"], "page", {"offset": running_sum(F.col("n"), False)}, block)
+    none = F.array().cast("array<string>")
+    return placed.select(
+        "doc_id", "page", "n", "offset",
+        F.when(F.col("n") == 0, none).otherwise(F.split("clean", " ")).alias("words"),
+    )
 
 
 def _words(numbered: DataFrame, name: str) -> DataFrame:

@@ -290,27 +290,19 @@ def name_referenced(names: DataFrame, values: DataFrame) -> DataFrame:
     )
     lowered = values.select("doc_id", F.lower("value").alias("value")).distinct()
     sized = lowered.join(lengths, "doc_id")
-    # A character array as its own column: inside the lambdas it must not be split again, and
-    # substring by position would rescan the text for every dot.
-    spread = sized.filter(F.col("value").contains(".")).withColumn("__chars", F.split("value", ""))
-    chars, widest = F.col("__chars"), F.col("__widest")
-    spread = spread.withColumn("__widest", F.array_max("__lengths")).withColumn(
-        "__dots",
-        F.filter(F.sequence(F.lit(1), F.size(chars)), lambda i: F.element_at(chars, i) == "."),
-    )
-    heads = F.transform(
-        F.col("__dots"),
-        lambda i: F.array_join(
-            F.slice(chars, F.greatest(i - widest, F.lit(1)), F.least(widest, i - 1)), ""
-        ),
-    )
-    before = spread.select(
+    # Read backwards, the text before a dot is the text after it, which a lookahead can take for
+    # every dot in one pass, however long the value is.
+    widest = F.array_max("__lengths").cast("string")
+    backwards = F.reverse("value")
+    pattern = F.concat(F.lit(r"(?s)\.(?=(.{0,"), widest, F.lit("}))"))
+    heads = F.regexp_extract_all(backwards, pattern, F.lit(1))
+    before = sized.filter(F.col("value").contains(".")).select(
         "doc_id", "__lengths", F.explode(F.array_distinct(heads)).alias("__head")
     )
-    pieces = before.select(
-        "doc_id", "__head", F.explode("__lengths").alias("__len")
-    ).filter(F.length("__head") >= F.col("__len"))
-    dotted = pieces.select("doc_id", F.right("__head", F.col("__len")).alias("spelling"))
+    pieces = before.select("doc_id", "__head", F.explode("__lengths").alias("__len")).filter(
+        F.length("__head") >= F.col("__len")
+    )
+    dotted = pieces.select("doc_id", F.reverse(F.left("__head", F.col("__len"))).alias("spelling"))
     linked = lowered.filter(F.col("value").startswith("#")).select(
         "doc_id", F.substr("value", F.lit(2)).alias("spelling")
     )

@@ -8,13 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Runtime settings the operators are designed for.  They only steer AQE: joins are written with
-# one side aggregated to one row per key, so a hot key can be split on the other side.
+# Runtime settings the operators are designed for.  Joins are written with one side aggregated to
+# one row per key, so adaptive execution can split a hot key on the other side.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # A window over (document, block) must not settle for rows already placed by document alone:
+    # that would put a whole hot document back into one task.
+    "spark.sql.requireAllClusterKeysForDistribution": "true",
     "spark.sql.session.timeZone": "UTC",
 }
 

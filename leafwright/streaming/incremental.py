@@ -22,11 +22,14 @@ def state_rank(state: Column) -> Column:
     return whole
 
 
-def stream_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """A given parquet table as a stream, with the table's own schema."""
+def stream_table(spark: SparkSession, path: str, name: str, files: int = 1000) -> DataFrame:
+    """A given parquet table as a stream of at most ``files`` files a batch, in its own schema."""
     schema = spark.read.parquet(f"{path}/{name}.parquet").schema
     return (
-        spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(path)
+        spark.readStream.schema(schema)
+        .option("pathGlobFilter", f"{name}.parquet")
+        .option("maxFilesPerTrigger", files)
+        .parquet(path)
     )
 
 
