@@ -11,6 +11,7 @@ from leafwright.operators import compare as cmp
 from leafwright.operators import documents, graph, references, status, structure, update
 from leafwright.operators import findings as fo
 from leafwright.plans import nodes as odf
+from leafwright.plans.families import family_findings
 from leafwright.session import stored
 from leafwright.sources.corpus import package_members
 
@@ -205,7 +206,8 @@ def audit(corpus: DataFrame) -> DataFrame:
     Package and parse checks come first; a document they block is not read any further.
     """
     packed = corpus.filter(odf.is_package(F.col("content").cast("binary")))
-    first = _package_findings(corpus, stored(package_members(packed)))
+    members = stored(package_members(packed))
+    first = _package_findings(corpus, members)
     nodes = odf.document_nodes(corpus)
     broken = nodes.filter("problem IS NOT NULL").select("doc_id", "part")
     early = stored(
@@ -213,7 +215,8 @@ def audit(corpus: DataFrame) -> DataFrame:
     )
     open_, _ = fo.split_blocked(early, corpus.select("doc_id"))
     readable = stored(nodes.join(open_, "doc_id", "left_semi"))
-    late = [_text_findings(readable), _object_findings(readable)]
+    named = members.filter("problem IS NULL")
+    late = [_text_findings(readable), _object_findings(readable), *family_findings(readable, named)]
     whole = early
     for frame in late:
         whole = whole.unionByName(frame)
