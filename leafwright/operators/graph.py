@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafwright.session import cut
+from leafwright.session import cut, stored
 
 # Structure types a role needs no mapping for.
 STANDARD_ROLES = """
@@ -203,7 +203,7 @@ def reachable(roots: DataFrame, refs: DataFrame, limit: int = MAX_EMBEDDED) -> D
     references until nothing new appears; a document past the cap stops growing, as one whose
     inspection is incomplete.  Returns doc_id, n_reached and incomplete.
     """
-    edges = refs.select("doc_id", "node", F.col("target")).distinct()
+    edges = stored(refs.select("doc_id", "node", F.col("target")).distinct())  # read every round
     seen = cut(roots.select("doc_id", "node", F.lit(0).alias("step")).distinct())
     frontier = seen
     step = 0

@@ -288,7 +288,7 @@ def name_referenced(names: DataFrame, values: DataFrame) -> DataFrame:
     lengths = spelled.groupBy("doc_id").agg(
         F.collect_set(F.length("spelling")).alias("__lengths")  # bounded by the longest name
     )
-    lowered = values.select("doc_id", F.lower("value").alias("value")).distinct()
+    lowered = values.select("doc_id", F.lower("value").alias("value"))
     sized = lowered.join(lengths, "doc_id")
     # Read backwards, the text before a dot is the text after it, which a lookahead can take for
     # every dot in one pass, however long the value is.

@@ -28,6 +28,7 @@ HIDDEN = ["svg:title", "svg:desc", "office:binary-data"]
 EXCLUDED = ["office:annotation", "text:tracked-changes", "text:hidden-text", "text:conditional-text"]
 BOUNDARIES = ["table:table-cell", "table:covered-table-cell", "draw:text-box"]
 PARTS_SCHEMA = "doc_id string, part string, content binary"
+_FLUSH_BYTES = 64 << 20  # unpacked bytes handed back to Spark at once
 
 
 def is_package(content: Column) -> Column:
@@ -38,8 +39,8 @@ def document_parts(corpus: DataFrame) -> DataFrame:
     """Logical parts: members of a package, or the one tree of a flat document as ``content``."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, size = [], 0
         for batch in batches:
-            rows = []
             for doc_id, content in zip(batch["doc_id"], batch["content"], strict=True):
                 try:
                     with zipfile.ZipFile(io.BytesIO(bytes(content))) as archive:
@@ -48,8 +49,13 @@ def document_parts(corpus: DataFrame) -> DataFrame:
                         for part, name in PARTS.items():
                             if name in names:
                                 rows.append((doc_id, part, archive.read(name)))
+                                size += len(rows[-1][2])
                 except (zipfile.BadZipFile, OSError, RuntimeError, ValueError):
                     continue  # the member inventory reports it
+                if size >= _FLUSH_BYTES:
+                    yield pd.DataFrame(rows, columns=["doc_id", "part", "content"])
+                    rows, size = [], 0
+        if rows:
             yield pd.DataFrame(rows, columns=["doc_id", "part", "content"])
 
     data = corpus.filter("admitted").select("doc_id", F.col("content").cast("binary").alias("content"))

@@ -10,7 +10,7 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from xml.parsers import expat
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +42,7 @@ PREFIXES = {
     "http://www.w3.org/XML/1998/namespace": "xml",
 }
 _FLUSH = 20_000
+_CHUNK = 1 << 20
 
 
 def _name(raw: str) -> str:
@@ -70,7 +71,7 @@ class _Shredder:
         self._places[-1] += 1
         parent = self._open[-1][0] if self._open else None
         above = [{"id": row[0], "tag": row[4]} for row in self._open]
-        attrs = {_name(k): v for k, v in attrib.items()}
+        attrs = [(_name(k), v) for k, v in attrib.items()]
         row = [
             self._count, parent, self._places[-1], len(self._open) + 1, _name(tag), [], [], attrs,
             above,
@@ -91,45 +92,70 @@ class _Shredder:
         self._places.pop()
         self.rows.append(self._last)
 
-    def close(self) -> list[list]:
-        return self.rows
+    def close(self) -> None:
+        self._last = None
+
+    def take(self) -> list[list]:
+        """The finished rows; the last one stays while its tail may still grow."""
+        keep = 1 if self._last is not None else 0
+        done = self.rows[: len(self.rows) - keep]
+        del self.rows[: len(done)]
+        return done
 
 
 def _rows(doc_id: str, part: str, content: bytes) -> Iterator[tuple]:
-    parser = ET.XMLParser(target=_Shredder())
-    parser.feed(content)
-    for row in parser.close():
-        row[5], row[6] = "".join(row[5]) or None, "".join(row[6]) or None
-        yield (doc_id, part, *row, None)
+    """Node rows while the document is read, so a huge one is never held as rows at once."""
+    target = _Shredder()
+    parser = ET.XMLParser(target=target)
+    for start in range(0, len(content) + 1, _CHUNK):
+        chunk = content[start : start + _CHUNK]
+        parser.feed(chunk)
+        if len(chunk) < _CHUNK:
+            parser.close()
+        for row in target.take():
+            row[5], row[6] = "".join(row[5]) or None, "".join(row[6]) or None
+            yield (doc_id, part, *row, None)
+
+
+_COLUMNS = pa.schema(
+    [
+        ("doc_id", pa.string()), ("part", pa.string()), ("node_id", pa.int64()), ("parent_id", pa.int64()),
+        ("ord", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()), ("text", pa.string()),
+        ("tail", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())),
+        ("ancestors", pa.list_(pa.struct([("id", pa.int64()), ("tag", pa.string())]))),
+        ("last_id", pa.int64()), ("problem", pa.string()),
+    ]
+)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows as one Arrow batch; nested values go straight to Arrow."""
+    columns = zip(*rows, strict=True)
+    arrays = [pa.array(c, type=f.type) for c, f in zip(columns, _COLUMNS, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, schema=_COLUMNS)
 
 
 def shred_xml(parts: DataFrame) -> DataFrame:
-    """Node rows of ``parts`` (doc_id, part, content); a bad document gives one ``problem`` row."""
-    names = [
-        "doc_id", "part", "node_id", "parent_id", "ord", "depth", "tag", "text", "tail", "attrs",
-        "ancestors", "last_id", "problem",
-    ]
+    """Node rows of ``parts`` (doc_id, part, content).
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A document that cannot be read to its end has a row with ``problem``; the audit then leaves out
+    whatever was read before it.
+    """
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
         for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, part, content in batch[["doc_id", "part", "content"]].itertuples(index=False):
-                found: list[tuple] = []
+            cells = zip(*[batch.column(c) for c in ("doc_id", "part", "content")], strict=True)
+            for doc_id, part, content in cells:
                 try:
-                    found.extend(_rows(doc_id, part, bytes(content)))
+                    for row in _rows(doc_id.as_py(), part.as_py(), content.as_py() or b""):
+                        rows.append(row)
+                        if len(rows) >= _FLUSH:
+                            yield _batch(rows)
+                            rows = []
                 except (ET.ParseError, expat.ExpatError, UnicodeError) as error:
-                    reason = type(error).__name__
-                    found = [(doc_id, part, *[None] * 10, reason)]
-                rows.extend(found)
-                if len(rows) >= _FLUSH:
-                    yield _frame(rows)
-                    rows = []
-            if rows:
-                yield _frame(rows)
-
-    def _frame(rows: list[tuple]) -> pd.DataFrame:
-        types = {"node_id": "Int64", "parent_id": "Int64", "ord": "Int32", "depth": "Int32", "last_id": "Int64"}
-        return pd.DataFrame(rows, columns=names).astype(types)
+                    rows.append((doc_id.as_py(), part.as_py(), *[None] * 10, type(error).__name__))
+        if rows:
+            yield _batch(rows)
 
     chosen = parts.select("doc_id", "part", F.col("content").cast("binary").alias("content"))
-    return chosen.mapInPandas(read, NODES)
+    return chosen.mapInArrow(read, NODES)

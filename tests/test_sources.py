@@ -148,3 +148,12 @@ def test_shared_folder_is_the_named_one(spark):
     frame = spark.range(5).withColumn("t", F.lit("x"))
     again = stored(frame)
     assert again.schema.names == frame.schema.names and again.count() == 5
+
+
+def test_large_xml_is_flushed_while_read(spark):
+    body = "".join(f"<p n='{i}'>{i}</p>t" for i in range(60_000))
+    parts = spark.createDataFrame([("big", "content", f"<a>{body}</a>"), ("cut", "content", f"<a>{body}")], "doc_id string, part string, content string")
+    nodes = shred_xml(parts)
+    big = nodes.filter("doc_id = 'big' AND tag = 'p'")
+    assert big.count() == 60_000 and big.filter("tail <> 't' OR text <> attrs['n']").count() == 0
+    assert rows(nodes.filter("problem IS NOT NULL"), "doc_id", "problem") == [("cut", "ParseError")]
