@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafwright.functions import text as words_
+from leafwright.functions.identity import percent_encode
 from leafwright.functions.uri import is_relative_link
 from leafwright.operators import compare as cmp
 from leafwright.operators import documents, graph, references, status, structure, update
@@ -167,6 +168,34 @@ def _text_findings(nodes: DataFrame) -> DataFrame:
     )
 
 
+def _revision_findings(nodes: DataFrame) -> DataFrame:
+    """REVISION001-006: tracked regions against the change marks of the current text."""
+    attr = lambda n: F.col("attrs")[n]
+    local = F.split_part("tag", F.lit(":"), F.lit(-1))
+    body = odf.body(nodes)
+    kids = body.filter(F.col("tag").isin("text:insertion", "text:deletion", "text:format-change"))
+    kinds = kids.groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(
+        F.count("*").cast("int").alias("n_kinds"), F.min(local).alias("kind")
+    )
+    regions = body.filter("tag = 'text:changed-region'").join(kinds, ["doc_id", "node_id"], "left").select(
+        "doc_id", F.coalesce(attr("xml:id"), attr("text:id"), F.lit("")).alias("id"), attr("text:id").alias("old_id"),
+        attr("xml:id").alias("xml_id"), "kind", F.coalesce("n_kinds", F.lit(0)).alias("n_kinds"),
+    )
+    history = F.exists("above", lambda t: t.isin("text:tracked-changes", "office:annotation"))
+    marks = body.filter(F.col("tag").isin("text:change", "text:change-start", "text:change-end") & ~history).select(
+        "doc_id", F.coalesce(attr("text:change-id"), F.lit("")).alias("id"), local.alias("mark"),
+        F.col("node_id").alias("pos"), "context", F.col("flow").alias("eligible"),
+    )
+    pairs = references.pair_revisions(regions, marks)
+    tests = {"REVISION001": F.col("revision001") > 0} | {f"REVISION00{i}": F.col(f"revision00{i}") for i in range(2, 6)}
+    at = F.concat(F.lit("content/revision[name="), percent_encode(F.col("id")), F.lit("]"))
+    whole = references.revision_summary(regions, marks)
+    return fo.union_findings(
+        fo.raise_rules(pairs, tests, path=at),
+        fo.raise_rule(whole, "REVISION006", details={"regions": F.col("regions"), "markers": F.col("markers")}),
+    )
+
+
 def _object_findings(nodes: DataFrame) -> DataFrame:
     """Graphics, sheets and blinking styles."""
     attr = lambda n: F.col("attrs")[n]
@@ -216,7 +245,7 @@ def audit(corpus: DataFrame) -> DataFrame:
     open_, _ = fo.split_blocked(early, corpus.select("doc_id"))
     readable = stored(nodes.join(open_, "doc_id", "left_semi"))
     named = members.filter("problem IS NULL")
-    late = [_text_findings(readable), _object_findings(readable), *family_findings(readable, named)]
+    late = [_text_findings(readable), _revision_findings(readable), _object_findings(readable), *family_findings(readable, named)]
     whole = early
     for frame in late:
         whole = whole.unionByName(frame)

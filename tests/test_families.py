@@ -47,7 +47,13 @@ DATABASE = (
     '<db:data-source><db:connection-resource xlink:href="sdbc:mysql://bob@h/d"/><db:login db:user-name="bob"/></db:data-source>'
     '<db:queries><db:query db:name="q"/></db:queries>'
 )
+TRACKED = (
+    "<text:tracked-changes><text:changed-region text:id='a'><text:deletion/></text:changed-region>"
+    "<text:changed-region text:id='b'><text:insertion/></text:changed-region></text:tracked-changes>"
+    "<text:h text:outline-level='1'>x</text:h><text:p><text:change text:change-id='a'/><text:change text:change-id='z'/></text:p>"
+)
 CASES = {
+    "r.fodt": (flat("text", TRACKED, "text"), {"REVISION003", "REVISION004", "REVISION006"}, {"REVISION001", "REVISION002", "REVISION005"}),
     "s.fods": (flat("spreadsheet", SHEETS, "spreadsheet"), {"SHEET002", "SHEET003", "TABLE004"}, {"SHEET001", "TABLE005"}),
     "t.fodt": (flat("text", "<text:h text:outline-level='1'>x</text:h>" + HEADED, "text"), set(), {"TABLE001", "TABLE002", "TABLE003"}),
     "w.fodt": (flat("text", "<text:h text:outline-level='1'>x</text:h>" + WIDE, "text"), {"TABLE002"}, {"TABLE001"}),
