@@ -153,7 +153,8 @@ def round_copies(items: DataFrame, block: int = BLOCK, seed: int = SEED) -> Data
     while True:
         place = F.pmod(F.xxhash64("id", F.lit(seed + depth)), F.col("blocks"))
         grouped = level.groupBy("source", "blocks", place.alias("block")).agg(
-            F.sort_array(F.collect_list(F.struct("id", "a", "p"))).alias("items")
+            # large ones first, so that what is left at the end is small
+            F.sort_array(F.collect_list(F.struct("a", "id", "p")), asc=False).alias("items")
         )
         done = stored(grouped.select("source", "blocks", F.expr(_fold(seed + depth)).alias("s")))
         found.append(done.select("source", F.explode("s.out").alias("o")).select("source", "o.id", "o.extra"))
