@@ -124,7 +124,7 @@ def _fold(seed: int) -> str:
     def decided(name: str, value: int, other: str, change: str) -> str:
         p = f"greatest(0D, least(1D, m.{other}.p {change} / m.{other}.a))"
         return (
-            f"named_struct('hold', named_struct('id', m.{other}.id, 'a', m.{other}.a, 'p', {p}), "
+            f"named_struct('hold', named_struct('a', m.{other}.a, 'id', m.{other}.id, 'p', {p}), "
             f"'out', concat(s.out, array(named_struct('id', m.{name}.id, 'extra', {value}))))"
         )
 
