@@ -9,7 +9,8 @@ one document of its target, and every document keeps its expected number of copi
 
 The pairs form a tree.  A source's documents are spread over blocks of about ``BLOCK`` by a hash, a
 fold over each block decides all but one of them, and the remaining ones of all blocks are spread over
-fewer blocks, until one per source is left, which is drawn.  No group grows with the data, a source of a
+fewer blocks, until one per source is left, which goes to
+the nearer side.  No group grows with the data, a source of a
 third of all rows has a third of all blocks, and ten levels would serve 10^18 documents.  Draws come
 from hashes of the document keys, so reruns agree on any cluster.
 
@@ -165,8 +166,8 @@ def round_copies(items: DataFrame, block: int = BLOCK, seed: int = SEED) -> Data
         if most <= 1:
             break
         most, depth = -(-most // block), depth + 1
-    draw = F.pmod(F.xxhash64("id", F.lit(seed - 1)), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    result = level.select("source", "id", (draw < F.col("p")).cast("int").alias("extra"))
+    # One item per source is left; the nearer side keeps the source closest to its target.
+    result = level.select("source", "id", (F.col("p") >= 0.5).cast("int").alias("extra"))
     for part in found:
         result = result.unionByName(part)
     return result

@@ -1,6 +1,6 @@
 """All queries of the subpackage."""
 
-from leafwright.llm import line_spread, mixing, quality, sharding  # noqa: F401
+from leafwright.llm import bpe, line_spread, mixing, quality, sharding, toxicity  # noqa: F401
 from leafwright.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
