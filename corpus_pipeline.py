@@ -1,3 +1,84 @@
-"""Queries of the training-text operators (the stages follow)."""
+"""From raw documents to tokens: five stages, each one operator applied to all its predecessor kept.
 
-from leafwright.llm.queries import ORACLES, QUERIES  # noqa: F401
+A stage takes (spark, docs, sf_dir) and returns a frame, which is written as Parquet and read again as
+the next one's ``docs``.  All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leafwright.llm import bpe, jaccard, line_spread, mixing, quality
+from leafwright.llm.common import GAP, read, session, whole
+from leafwright.llm.queries import ORACLES as _ORACLES
+from leafwright.llm.queries import QUERIES as _QUERIES
+from leafwright.session import stored
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule table keeps; null and blank texts go."""
+    return quality.judge(docs.select(*COLUMNS)).filter("kept").select(*COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without boilerplate lines; one that was nothing else goes."""
+    rows = line_spread.strip_lines(docs.select(*COLUMNS))
+    kept = rows.filter((F.col("n_removed") == 0) | F.col("text").rlike(f"[^{GAP}]"))
+    return kept.withColumn("n_chars", F.char_length(whole("text")).cast("long")).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The least document of every group of linked ones; rows without an id all stay."""
+    rows = docs.select(*COLUMNS)
+    found = jaccard.join(rows.filter("doc_id is not null"))
+    heads = found.groupBy("id").agg(F.min("component_id").alias("least")).filter("id = least")
+    kept = rows.join(heads.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(rows.filter("doc_id is null")).select(*COLUMNS)
+
+
+def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: not at all, once or twice."""
+    mixed = mixing.mix(docs.select(*COLUMNS)).filter("copies > 0")
+    return mixed.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+
+
+def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source and the digests of each document's tokens and of their decoding."""
+    rows = docs.select("doc_id", "lang", "source", "text")
+    return bpe.round_trip(rows, *bpe.vocabulary())
+
+
+def _stage(function):
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return function(session(spark), docs, sf_dir)
+
+    run.__doc__ = function.__doc__
+    return run
+
+
+STAGES = [
+    ("quality rules", _stage(quality_rules)),
+    ("line dedup", _stage(line_dedup)),
+    ("n-gram Jaccard join", _stage(near_duplicates)),
+    ("mixing sources to target weights", _stage(mixing_weights)),
+    ("byte-level BPE encoding and decoding", _stage(byte_level_bpe)),
+]
+
+# The draws of the mixing stage and the tokens of the last one are beyond SQL; the stages are tested
+# against brute-force versions.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = read(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir))
+    return docs
+
+
+QUERIES = {**_QUERIES, "pipeline": run}
+ORACLES = {**_ORACLES, **({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})}
