@@ -47,6 +47,10 @@ RULES = [
     Rule("stop words", "n_stop_words", "at least", 4, "n_words"),
     Rule("repeated lines", "n_dup_lines", "at most", 50, "n_lines"),
 ]
+ADDED = [
+    "n_words", "word_chars", "n_symbols", "n_stop_words", "n_lines", "n_dup_lines", "n_repeat_words",
+    "base_failed", "kept",
+]
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
@@ -117,7 +121,12 @@ def judge(docs: DataFrame, text: str = "text", rules: list[Rule] = RULES) -> Dat
         F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT
     )
     measured = measure(docs, text).withColumn("base_failed", failed)
-    return measured.withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
+    verdict = (~F.col("base_failed") & compile_rules(rules)).alias("kept")
+    names = [c for c in ADDED if c != "kept"]
+    kept = [c for c in docs.columns if c not in ADDED]
+    # As the output of a generator the verdict is computed once: a later filter on it can't be pushed
+    # below, where the optimizer would spell out every measure again at each place it is used.
+    return measured.select(*kept, F.inline(F.array(F.struct(*names, verdict))))
 
 
 _STOPS = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
