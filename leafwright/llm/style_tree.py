@@ -1,7 +1,7 @@
 """Main text of web pages by site style trees.
 
 The pages of a host share templates.  Their trees are merged: container elements with the same path of
-tags and classes are one node of the host's style tree.  A node is important if its pages disagree, in
+tags, classes and places among like siblings are one node of the host's style tree.  A node is important if its pages disagree, in
 presentation (the entropy of its child sequences) or in content (how few pages share the texts below
 it); a menu, notice or advert that looks and reads alike everywhere has importance near zero, and that
 branch is cut from each page.  Importance mixes both as ``(1 - g^l) * presentation + g^l * content`` for
@@ -94,11 +94,11 @@ def host_of(url: str | None) -> str:
 class _Open:
     """An open element."""
 
-    __slots__ = ("tag", "path", "depth", "noise", "cut", "main", "shape", "texts", "container")
+    __slots__ = ("tag", "path", "depth", "noise", "cut", "main", "shape", "texts", "container", "kids")
 
     def __init__(self, tag, path, depth, noise, cut, main, container):
         self.tag, self.path, self.depth, self.noise, self.cut, self.main = tag, path, depth, noise, cut, main
-        self.shape, self.texts, self.container = [], [], container
+        self.shape, self.texts, self.container, self.kids = [], [], container, Counter()
 
 
 def _named_noise(tag: str, attributes: str, main: int) -> tuple[bool, str]:
@@ -188,7 +188,8 @@ def walk(page: str | None, low: frozenset[int] = frozenset(), close=None) -> lis
             continue
         noise, label = _named_noise(tag, found.group(3), parent.main)
         if parent.depth < DEPTH:
-            path = xxh3_64_intdigest(f"{tag} {label}", seed=parent.path)
+            parent.kids[tag, label] += 1
+            path = xxh3_64_intdigest(f"{tag} {label} {parent.kids[tag, label]}", seed=parent.path)
         else:
             path = parent.path
         main = max(parent.main, 2 if tag == "article" else 1 if tag == "main" else 0)
