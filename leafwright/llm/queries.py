@@ -1,6 +1,6 @@
 """All queries of the subpackage."""
 
-from leafwright.llm import bpe, jaccard, line_spread, mixing, quality, sharding, style_tree, suffix_tree, toxicity  # noqa: F401
+from leafwright.llm import bpe, cover_tree, jaccard, line_spread, mixing, quality, sharding, style_tree, suffix_tree, toxicity  # noqa: F401
 from leafwright.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
