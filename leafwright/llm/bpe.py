@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from leafwright.llm.common import read
+from leafwright.llm.common import read, schema_with
 from leafwright.llm.registry import query
 
 LONG = 40  # bytes from which a piece's equal pairs are contracted together
@@ -212,7 +212,7 @@ def _tokenize(batches, text: str, pattern: str, ranks: bytes):
 def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text") -> DataFrame:
     """``docs`` with ``ids``: the tokens of each text as little-endian 32-bit numbers (binary)."""
     kept = docs.drop("ids")
-    schema = kept.schema.add("ids", "binary")
+    schema = schema_with(kept, ids="binary")
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches):
@@ -225,7 +225,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text") -> D
 def decode(rows: DataFrame, ranks: bytes, ids: str = "ids") -> DataFrame:
     """``rows`` with ``decoded``: the bytes that the tokens of ``ids`` stand for (binary)."""
     kept = rows.drop("decoded")
-    schema = kept.schema.add("decoded", "binary")
+    schema = schema_with(kept, decoded="binary")
     shared = rows.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches):
@@ -250,7 +250,7 @@ def round_trip(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text")
     """
     added = ["n_tokens", "ids_sha256", "decoded_sha256"]
     kept = [c for c in docs.columns if c not in (text, *added)]
-    schema = docs.select(*kept).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    schema = schema_with(docs.select(*kept), n_tokens="long", ids_sha256="string", decoded_sha256="string")
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches):

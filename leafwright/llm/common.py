@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from leafwright.session import prepare
 
@@ -46,3 +47,11 @@ def n_words(text: str | Column) -> Column:
         (F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1
     ).otherwise(0)
     return (F.size(parts) - ends).cast("long")
+
+
+def schema_with(rows: DataFrame, **added: str) -> StructType:
+    """A frame's schema with further columns; ``add`` on the frame's own schema would change the frame."""
+    schema = StructType(list(rows.schema.fields))
+    for name, kind in added.items():
+        schema = schema.add(name, kind)
+    return schema

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafwright.llm.common import read
+from leafwright.llm.common import read, schema_with
 from leafwright.llm.components import components
 from leafwright.llm.registry import query
 from leafwright.session import stored
@@ -210,7 +210,7 @@ def shared_lists(index: DataFrame) -> DataFrame:
                 yield b.append_column("leader", pa.array(leaders)).filter(pa.array(keep))
 
     ordered = index.repartition("h", "salt").sortWithinPartitions("h", "salt", "id")
-    return ordered.mapInArrow(run, index.schema.add("leader", "long"))
+    return ordered.mapInArrow(run, schema_with(index, leader="long"))
 
 
 def checked(pairs: DataFrame, docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:

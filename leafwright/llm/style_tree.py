@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafwright.llm.common import read
+from leafwright.llm.common import read, schema_with
 from leafwright.llm.registry import query
 from leafwright.session import stored
 
@@ -292,7 +292,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
     kept = [c for c in pages.columns if c not in (html, "text", "n_chars")]
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), _HOST.pattern, 1))
     joined = pages.select(*kept, html).join(per_host, host == F.col("__host"), "left").drop("__host")
-    schema = pages.select(*kept).schema.add("text", "string").add("n_chars", "long")
+    schema = schema_with(pages.select(*kept), text="string", n_chars="long")
 
     def run(batches):
         for b in batches:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafwright.llm.common import read
+from leafwright.llm.common import read, schema_with
 from leafwright.llm.registry import query
 from leafwright.session import stored
 
@@ -161,7 +161,7 @@ def _places(found: np.ndarray, terms: np.ndarray) -> np.ndarray:
 def score(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
     """``docs`` with ``score`` (0 to 1); the text is dropped."""
     kept = [c for c in docs.columns if c not in (text, "score")]
-    schema = docs.select(*kept).schema.add("score", "double")
+    schema = schema_with(docs.select(*kept), score="double")
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches):
