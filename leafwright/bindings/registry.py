@@ -33,7 +33,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 # SQL for the tag events of every page, in the shape of ``sources.html.shred_html``.
-_PIECE = r"""<(/?)([A-Za-z][A-Za-z0-9]*)((?:[^>"'']+|"[^"]*"|''[^'']*'')*)>([^<]*)"""
+_PIECE = r"""<(/?)([A-Za-z][A-Za-z0-9]*)((?:[^<>"'']+|"[^"]*"|''[^'']*'')*)>([^<]*)"""
 TAGS = rf"""
 pieces AS (
   SELECT page_id, url, unnest(p) AS piece, generate_subscripts(p, 1) AS ord FROM (

@@ -219,7 +219,12 @@ _TAG_TAILS = [
 ]
 _TAG_WHOLE = ["I-KLINGON", "x-Private-Use", "", "  ", "zh_min_nan", "not a tag", "en-gb-OED", "1234"]
 _WHOLE_SQL = ", ".join(f"('{t.lower()}', '{t}')" for t in GRANDFATHERED)
-TAG = language.TAG
+# Subtags in order: language, script, region, variants, extensions, private use.
+TAG = (
+    "^([A-Za-z]{2,3}(?:-[A-Za-z]{3}){0,3}|[A-Za-z]{4,8})(-[A-Za-z]{4})?(-(?:[A-Za-z]{2}|[0-9]{3}))?"
+    "((?:-(?:[A-Za-z0-9]{5,8}|[0-9][A-Za-z0-9]{3}))*)((?:-[0-9A-WYZa-wyz](?:-[A-Za-z0-9]{2,8})+)*)"
+    "(-x(?:-[A-Za-z0-9]{1,8})+)?$"
+)
 TAGGED = f"""t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN {pick_sql("doc_id // 3", _TAG_WHOLE)}
     ELSE lang || {pick_sql("doc_id", _TAG_TAILS)} END AS raw FROM documents)"""
 NORMAL = f"""v AS (SELECT *, replace(trim(raw), '_', '-') AS v FROM t),
@@ -278,7 +283,9 @@ _REFS = [
     "a b", "%zz", "x:y", "./..", "1:2", "{t}?", "{t}#", "../../../../{t}/",
 ]
 _SPLIT = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
-_sql = lambda p: p.replace("'", "''")
+_UNIT = r"\w.~!$&''()*+,;=-"
+_HEX = "%[0-9A-Fa-f][0-9A-Fa-f]"
+_AUTHORITY = rf"^(?:(?:[:{_UNIT}]|{_HEX})*@)?(?:(?:[{_UNIT}]|{_HEX})*|\[[:{_UNIT}]+\])(?::[0-9]*)?$"
 REFERENCES = f"""{LINKS},
 refs AS (SELECT page_id, ord, url AS base, replace({pick_sql("ord", _REFS)}, '{{t}}', substr(href, 2)) AS href FROM links)"""
 
@@ -294,8 +301,8 @@ refs AS (SELECT page_id, ord, url AS base, replace({pick_sql("ord", _REFS)}, '{{
       regexp_matches(href, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//') AS has_a,
       regexp_matches(href, '^[^#]*\?') AS has_q, regexp_matches(base, '^[^#]*\?') AS base_q FROM refs),
     q AS (SELECT *, CASE WHEN regexp_matches(href, '[\x00-\x20]') THEN 'characters'
-        WHEN NOT (regexp_matches(ra, '{_sql(uri.AUTHORITY)}') AND regexp_matches(rp, '{_sql(uri.PATH)}')
-          AND regexp_matches(rq, '{_sql(uri.QUERY)}') AND regexp_matches(rf, '{_sql(uri.QUERY)}')) THEN 'components'
+        WHEN NOT (regexp_matches(ra, '{_AUTHORITY}') AND regexp_matches(rp, '^(?:[:@/{_UNIT}]|{_HEX})*$')
+          AND regexp_matches(rq, '^(?:[:@/?{_UNIT}]|{_HEX})*$') AND regexp_matches(rf, '^(?:[:@/?{_UNIT}]|{_HEX})*$')) THEN 'components'
         WHEN rs = '' AND contains(string_split(rp, '/')[1], ':') THEN 'relative' END AS problem,
       CASE WHEN has_a THEN rp WHEN rp = '' THEN bp WHEN starts_with(rp, '/') THEN rp
         ELSE CASE WHEN regexp_replace(bp, '[^/]*$', '') = '' THEN '/' ELSE regexp_replace(bp, '[^/]*$', '') END

@@ -51,7 +51,7 @@ def bound_details(details: Column) -> Column:
 
 
 # Fixed value: one cell or a range of cells; groups are table, column, row and the end's three.
-_TABLE = r"\$?(?:'(?:[^']|'')+'|[^.\s:]+)"
+_TABLE = r"\$?(?:'(?:[^']++|'')++'|[^.\s:]+)"
 RANGE = (
     rf"^({_TABLE})?\.\$?([A-Za-z]+)\$?([0-9]+)"
     rf"(?::({_TABLE})?\.\$?([A-Za-z]+)\$?([0-9]+))?$"

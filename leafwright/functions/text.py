@@ -11,9 +11,14 @@ SPACE = (
 )
 
 # The patterns that decide whether a text is reported.
-MANUAL_NUMBER = r"^\s*([0-9]+(?:\.[0-9]+)*)([.)])?\s+"
+MANUAL_NUMBER = r"^\s*+([0-9]++(?:\.[0-9]++)*+)([.)])?\s+"
 TYPED_MARKER = r"^\s*(?:[•◦▪‣*-]|\(?[0-9]{1,3}[.)]|[A-Za-z][.)])\s+\S"
-ADDRESS = r"(?i)(?:https?://[^\s<>]+)|(?:[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,})"
+# A mail address starts where its first run does or where the last match ended, so a long run without
+# "@" is looked at once.
+ADDRESS = (
+    r"(?i)(?:https?://[^\s<>]+)"
+    r"|(?:(?:\G|(?<![A-Z0-9._%+-]))[A-Z0-9._%+-]++@[A-Z0-9.-]+\.[A-Z]{2,})"
+)
 RAW_ADDRESS = r"^(?i)(?:[a-z][a-z0-9+.-]*://|www\.|mailto:)\S+$"
 CREDENTIALS = (
     r"(?i)(?:password|passwd|pwd|user|username|token|secret)\s*[=:]|://[^/\s]+@"
@@ -94,22 +99,14 @@ def split_trailing(raw: Column) -> Column:
     )
 
 
-_OPEN, _CLOSE = "\ue000", "\ue001"
-
-
 def linkify(df: DataFrame, text: str) -> DataFrame:
     """Split a text into ordered ``(segment, words, href)`` rows without losing a character.
 
-    Addresses are fenced with two private-use marks and the text is cut at them.  Texts that
-    already hold a mark are passed through as one segment.
+    The text is cut at its addresses, and the pieces between them and the addresses take turns.
     """
     source = F.col(text)
-    fenced = F.when(
-        source.rlike(f"[{_OPEN}{_CLOSE}]"), source
-    ).otherwise(F.regexp_replace(source, "(" + ADDRESS + ")", f"{_OPEN}$1{_CLOSE}"))
-    pieces = F.when(source.rlike(f"[{_OPEN}{_CLOSE}]"), F.array(source)).otherwise(
-        F.split(fenced, f"[{_OPEN}{_CLOSE}]")
-    )
+    turns = F.zip_with(F.split(source, ADDRESS, -1), addresses(source), lambda between, found: F.array(between, found))
+    pieces = F.flatten(turns)
     # Odd pieces are addresses.  Each becomes its token, and its suffix joins the next text.
     rows = df.select("*", F.posexplode(pieces).alias("__i", "__piece"))
     parts = rows.withColumn(

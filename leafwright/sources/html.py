@@ -9,8 +9,9 @@ from leafwright.operators.sequence import BLOCK, running_max, running_sum, scan
 from leafwright.session import stored
 
 # What counts as one tag, and the elements that never open a level because they are
-# void or are commonly left unclosed.
-PIECE = r"""<(/?)([A-Za-z][A-Za-z0-9]*)((?:[^>"']+|"[^"]*"|'[^']*')*)>([^<]*)"""
+# void or are commonly left unclosed.  A tag ends at the next "<" at the latest; nothing is taken back
+# (possessive marks), so a page of any length takes linear time and no stack.
+PIECE = r"""<(/?)([A-Za-z][A-Za-z0-9]*)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>([^<]*+)"""
 FLAT = """
 area base br col embed hr img input link meta source track wbr
 p b i em strong span u s small font option dt dd
