@@ -151,10 +151,10 @@ def g5_navigation(spark: SparkSession, sf: str) -> DataFrame:
     """WITH RECURSIVE e AS (SELECT p_brand AS doc_id, 'B' AS node, 'P' || p_partkey AS target FROM part WHERE p_size > 47
          UNION SELECT p_brand, 'P' || p_partkey, 'P' || (p_partkey // 2) FROM part UNION SELECT p_brand, 'P' || p_partkey, 'P' || (p_partkey // 3) FROM part),
        r AS (SELECT DISTINCT p_brand AS doc_id, 'B' AS node FROM part UNION SELECT r.doc_id, e.target FROM r JOIN e USING (doc_id, node))
-       SELECT doc_id, least(count(*) - 1, 6)::BIGINT AS n_reached, count(*) - 1 > 6 AS incomplete FROM r GROUP BY 1""",
+       SELECT doc_id, (count(*) - 1)::BIGINT AS n_reached, count(*) - 1 > 6 AS incomplete FROM r GROUP BY 1""",
 )
 def g6_reachable_objects(spark: SparkSession, sf: str) -> DataFrame:
-    """Objects a brand's document reaches; a low cap shows an incomplete inspection."""
+    """Objects a brand's document reaches; a low limit marks an incomplete inspection."""
     k = F.col("p_partkey")
     p = lambda c: F.concat(F.lit("P"), c.cast("string"))
     parts = table(spark, sf, "part").select(F.col("p_brand").alias("doc_id"), k, "p_size")

@@ -173,10 +173,10 @@ _PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
     """SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority DESC, 'content/order[' || o_orderkey || ']') AS place FROM orders""",
 )
 def f9_plan_order(spark: SparkSession, sf: str) -> DataFrame:
-    """Order statuses as three plans of any size; block keys are kind and path prefix."""
+    """Order statuses as three plans of any size, whose paths begin alike."""
     answers = table(spark, sf, "orders").select(
         "o_orderkey", F.col("o_orderstatus").alias("plan_id"), F.col("o_orderpriority").alias("kind_id"),
         F.concat(F.lit("content/order["), "o_orderkey", F.lit("]")).alias("path"),
     )
     kinds = update.kind_order(spark, _PRIORITIES[::-1])
-    return update.order_plan(answers, kinds, ["plan_id"], 16).select("o_orderkey", "place")
+    return update.order_plan(answers, kinds, ["plan_id"]).select("o_orderkey", "place")

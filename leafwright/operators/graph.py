@@ -197,34 +197,24 @@ def navigation(pages: DataFrame, listed: DataFrame, shapes: DataFrame) -> DataFr
 
 
 def reachable(roots: DataFrame, refs: DataFrame, limit: int = MAX_EMBEDDED) -> DataFrame:
-    """Objects reachable from each document's root, capped at ``limit`` per document.
+    """Objects reachable from each document's root: doc_id, n_reached and incomplete.
 
-    ``roots``: doc_id, node.  ``refs``: doc_id, node, target.  The frontier is joined to the
-    references until nothing new appears; a document past the cap stops growing, as one whose
-    inspection is incomplete.  Returns doc_id, n_reached and incomplete.
+    ``roots``: doc_id, node.  ``refs``: doc_id, node, target.  The frontier is joined to the references
+    until nothing new appears.  ``incomplete`` says that a document holds more objects than an inspection
+    looks at; the walk and the count go on to the end all the same.
     """
     edges = stored(refs.select("doc_id", "node", F.col("target")).distinct())  # read every round
-    seen = cut(roots.select("doc_id", "node", F.lit(0).alias("step")).distinct())
-    frontier = seen
-    step = 0
-    while True:
+    grown = cut(roots.select("doc_id", "node", F.lit(0).alias("step")).distinct())
+    frontier, step = grown, 0
+    while not frontier.isEmpty():
         step += 1
-        next_ = frontier.join(edges, ["doc_id", "node"]).select(
-            "doc_id", F.col("target").alias("node")
-        ).distinct()
-        fresh = next_.join(seen, ["doc_id", "node"], "left_anti")
-        grown = cut(seen.unionByName(fresh.withColumn("step", F.lit(step))))
+        next_ = frontier.join(edges, ["doc_id", "node"]).select("doc_id", F.col("target").alias("node")).distinct()
+        fresh = next_.join(grown, ["doc_id", "node"], "left_anti")
+        grown = cut(grown.unionByName(fresh.withColumn("step", F.lit(step))))
         frontier = grown.filter(F.col("step") == step)
-        if frontier.isEmpty():
-            break
-        full = grown.groupBy("doc_id").agg(F.count("*").alias("n")).filter(F.col("n") > limit + 1)
-        frontier = frontier.join(full.select("doc_id"), "doc_id", "left_anti").select(
-            "doc_id", "node", "step"
-        )
-        seen = grown
     reached = grown.groupBy("doc_id").agg((F.count("*") - 1).alias("n"))
     return reached.select(
         "doc_id",
-        F.least("n", F.lit(limit)).cast("long").alias("n_reached"),
+        F.col("n").cast("long").alias("n_reached"),
         (F.col("n") > limit).alias("incomplete"),
     )

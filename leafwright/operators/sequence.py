@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafwright.session import cut
+
 BLOCK = 1 << 18  # positions per block
 _B = "__block"
 
@@ -122,6 +124,30 @@ def ordinal(
     return scan(df, keys, pos, {name: running_sum(F.lit(1).cast("long"))}, block)
 
 
+def range_ordinal(df: DataFrame, keys: list[str], order: list[str], name: str = "ordinal") -> DataFrame:
+    """1-based ordinal of each row in its group, for positions that no block of fixed size can cut.
+
+    Rows are dealt by ranges of (keys, order), as many as there are shuffle partitions, so a huge group
+    is many ranges.  Each range is numbered by itself and shifted by what the earlier ones hold of the
+    group.
+    """
+    spark = df.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(df.repartitionByRange(ranges, *keys, *order).withColumn("__range", F.spark_partition_id()))
+    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    held = dealt.groupBy("__range", *keys).agg(F.count("*").alias("__n"))
+    shifts = held.select(
+        F.col("__range").alias("__r"), *[F.col(k).alias(f"__k_{k}") for k in keys],
+        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"),
+    )
+    same = F.col("__range") == F.col("__r")
+    for key in keys:
+        same &= F.col(key).eqNullSafe(F.col(f"__k_{key}"))
+    inside = Window.partitionBy("__range", *keys).orderBy(*order)
+    numbered = dealt.withColumn("__at", F.row_number().over(inside)).join(shifts, same)
+    return numbered.select(*[c for c in df.columns if c != name], (F.col("__at") + F.col("__shift")).alias(name))
+
+
 def first_n(df: DataFrame, keys: list[str], order: list, n: int = 8) -> DataFrame:
     """The first ``n`` rows of every group.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leafwright.functions.identity import fingerprint
 from leafwright.functions.language import normalize_language
 from leafwright.functions.text import is_blank
-from leafwright.operators.sequence import ordinal
+from leafwright.operators.sequence import range_ordinal
 from leafwright.rules import DECISION_RULES, decision_rules
 from leafwright.session import literal_frame
 
@@ -123,15 +123,10 @@ def predict(answers: DataFrame, before: DataFrame, after: DataFrame) -> DataFram
     )
 
 
-def order_plan(answers: DataFrame, kind_order: DataFrame, keys: list[str], prefix: int = 3) -> DataFrame:
-    """Number a plan's answers by kind position, then path.
-
-    The scan is cut by kind and path prefix, which never decrease along that order, so even one
-    huge plan is ordered in many tasks.
-    """
+def order_plan(answers: DataFrame, kind_order: DataFrame, keys: list[str]) -> DataFrame:
+    """Number a plan's answers by kind position, then path; one huge plan is ordered in many tasks."""
     placed = answers.join(kind_order, "kind_id")
-    block = F.struct("kind_position", F.substring("path", 1, prefix))
-    return ordinal(placed, keys, ["kind_position", "path"], "place", block)
+    return range_ordinal(placed, keys, ["kind_position", "path"], "place")
 
 
 def apply_answers(table: DataFrame, bound: DataFrame, key: str, fields: list[str]):

@@ -24,7 +24,7 @@ def _attr(name: str) -> Column:
 
 def _count(name: str) -> Column:
     """A declared repeat or span; one without or with an unusable declaration."""
-    return F.greatest(F.coalesce(F.try_to_number(_attr(name), F.lit("9999999")).cast("long"), F.lit(1)), F.lit(1))
+    return F.greatest(F.coalesce(_attr(name).try_cast("long"), F.lit(1)), F.lit(1))
 
 
 def _local(tag: Column) -> Column:
