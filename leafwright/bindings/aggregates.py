@@ -263,13 +263,13 @@ _TOPIC_SQL = ", ".join(f"('{t}', {i})" for i, t in enumerate(TOPICS))
     "e12_review_topics",
     f"""WITH t(topic, o) AS (VALUES {_TOPIC_SQL}), s AS (SELECT DISTINCT user_id AS doc_id, CASE event_type WHEN 'click' THEN 'link-purpose'
           WHEN 'view' THEN 'headings' WHEN 'error' THEN 'alt-text' WHEN 'signup' THEN 'language' ELSE 'reading-order' END AS topic
-          FROM events WHERE value > 60)
+          FROM events)
         SELECT doc_id, topic, row_number() OVER (PARTITION BY doc_id ORDER BY o) AS place FROM s JOIN t USING (topic)""",
 )
 def e12_review_topics(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.col("event_type")
     topic = F.coalesce(*[F.when(kind == e, t) for e, t in _EVENT_TOPICS.items()])
-    seen = table(spark, sf, "events").filter("value > 60").select(F.col("user_id").alias("doc_id"), topic.alias("topic"))
+    seen = table(spark, sf, "events").select(F.col("user_id").alias("doc_id"), topic.alias("topic"))
     dimension = literal_frame(spark, [(t, i) for i, t in enumerate(TOPICS)], "topic string, topic_order int")
     return fo.review_topics(seen, dimension)
 

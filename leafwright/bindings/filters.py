@@ -120,14 +120,15 @@ def c3_document_kind(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "c4_blocked_documents",
-    f"""WITH f AS (SELECT user_id, event_type, value FROM events WHERE event_type <> 'error' OR value > 60),
+    f"""WITH f AS (SELECT user_id, CASE WHEN event_type = 'error' AND NOT coalesce(value > 60, false) THEN 'view' ELSE event_type END AS event_type FROM events),
         b AS (SELECT DISTINCT user_id FROM f JOIN {EVENT_RULES_SQL} USING (event_type) WHERE rule_id = 'PKG001')
         SELECT DISTINCT e.user_id::VARCHAR AS doc_id, b.user_id IS NOT NULL AS blocked
         FROM events e LEFT JOIN b USING (user_id)""",
 )
 def c4_blocked_documents(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events").withColumn("doc_id", text_key("user_id"))
-    raised = events.filter((F.col("event_type") != "error") | (F.col("value") > 60))
+    mild = (F.col("event_type") == "error") & ~F.coalesce(F.col("value") > 60, F.lit(False))
+    raised = events.withColumn("event_type", F.when(mild, "view").otherwise(F.col("event_type")))
     findings = raised.join(event_rules(spark), "event_type")
     open_, blocked = split_blocked(findings, events.select("doc_id").distinct())
     return open_.withColumn("blocked", F.lit(False)).unionByName(blocked.withColumn("blocked", F.lit(True)))

@@ -212,8 +212,8 @@ def d6_link_structure(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "d7_reconcile_content",
     """WITH c AS (SELECT p_partkey % 20 AS doc_id, p_size AS stream_ref, p_partkey AS mcid FROM part WHERE p_partkey % 3 <> 0),
-       w AS (SELECT l_partkey % 20 AS doc_id, p_size AS stream_ref, l_partkey AS mcid, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey
-         WHERE l_suppkey % 25 = 3 GROUP BY ALL),
+       w AS (SELECT l_partkey % 20 AS doc_id, p_size AS stream_ref, CASE WHEN l_suppkey % 25 = 3 THEN l_partkey ELSE -l_orderkey END AS mcid, count(*) AS n
+         FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL),
        j AS (SELECT doc_id, stream_ref, mcid, c.rowid_ IS NOT NULL AS has, n FROM (SELECT *, 1 AS rowid_ FROM c) c FULL JOIN w USING (doc_id, stream_ref, mcid))
        SELECT doc_id, stream_ref, mcid, coalesce(n, 0) AS n_refs, 'PDF021' AS rule_id FROM j WHERE n IS NULL
        UNION ALL SELECT doc_id, stream_ref, mcid, n, 'PDF022' FROM j WHERE NOT has
@@ -223,8 +223,9 @@ def d7_reconcile_content(spark: SparkSession, sf: str) -> DataFrame:
     parts = table(spark, sf, "part").select("p_partkey", F.col("p_size").alias("stream_ref"))
     k = F.col("p_partkey")
     content = parts.filter(k % 3 != 0).select((k % 20).alias("doc_id"), "stream_ref", k.alias("mcid"))
-    items = table(spark, sf, "lineitem").filter(F.col("l_suppkey") % 25 == 3).select(F.col("l_partkey").alias("p_partkey"))
-    refs = items.join(parts, "p_partkey").select((k % 20).alias("doc_id"), "stream_ref", k.alias("mcid"))
+    marked = F.when(F.col("l_suppkey") % 25 == 3, F.col("l_partkey")).otherwise(-F.col("l_orderkey"))
+    items = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("p_partkey"), marked.alias("mcid"))
+    refs = items.join(parts, "p_partkey").select((k % 20).alias("doc_id"), "stream_ref", "mcid")
     return references.reconcile_content(content, refs)
 
 
@@ -497,7 +498,7 @@ def d16_carry_over(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "d17_predict",
     """WITH a AS (SELECT DISTINCT user_id::VARCHAR AS doc_id, CASE WHEN user_id % 2 = 0 THEN 'heading.level' ELSE 'sheet.name' END AS kind_id,
-         json_extract_string(props, '$.k') AS path FROM events WHERE event_id % 3 = 0),
+         json_extract_string(props, '$.k') AS path FROM events),
        r(kind_id, rule_id) AS (VALUES ('heading.level', 'HEADING001'), ('heading.level', 'HEADING002'), ('heading.level', 'HEADING003'),
          ('sheet.name', 'SHEET001'), ('sheet.name', 'SHEET002')),
        f AS (SELECT user_id::VARCHAR AS doc_id, CASE event_type WHEN 'click' THEN 'HEADING001' WHEN 'view' THEN 'HEADING003' WHEN 'error' THEN 'SHEET001' ELSE 'META001' END AS rule_id,
@@ -514,7 +515,7 @@ def d17_predict(spark: SparkSession, sf: str) -> DataFrame:
         "event_id", text_key("user_id").alias("doc_id"), rule.alias("rule_id"), F.get_json_object("props", "$.k").alias("path"),
         "value", F.when(F.col("user_id") % 2 == 0, "heading.level").otherwise("sheet.name").alias("kind_id"),
     )
-    answers = events.filter("event_id % 3 = 0").select("doc_id", "kind_id", "path").distinct()
+    answers = events.select("doc_id", "kind_id", "path").distinct()
     return update.predict(answers, events, events.filter("value > 30"))
 
 
@@ -572,7 +573,7 @@ def d19_name_referenced(spark: SparkSession, sf: str) -> DataFrame:
     """WITH n AS (SELECT c_nationkey AS doc_id, CASE WHEN c_custkey % 10 = 0 THEN 'Twin' ELSE c_name END AS name FROM customer),
        r AS (SELECT c_nationkey AS doc_id, CASE WHEN c_custkey % 10 = 0 THEN 'Twin' WHEN c_custkey % 22 = 0 THEN 'Gone' || c_custkey ELSE c_name END AS old,
          CASE c_custkey % 7 WHEN 0 THEN 'New' || c_custkey WHEN 1 THEN upper(c_name) WHEN 2 THEN c_name WHEN 3 THEN 'Same' WHEN 4 THEN 'TWIN'
-           ELSE 'Customer#' || lpad((c_custkey * 7 % 3000)::VARCHAR, 9, '0') END AS new FROM customer WHERE c_custkey % 2 = 0),
+           ELSE 'Customer#' || lpad((c_custkey * 7 % 3000)::VARCHAR, 9, '0') END AS new FROM customer),
        have AS (SELECT doc_id, name AS old, count(*) AS same FROM n GROUP BY 1, 2),
        fold AS (SELECT doc_id, lower(name) AS k, count(DISTINCT name) AS sp, min(name) AS one FROM n GROUP BY 1, 2),
        asked AS (SELECT doc_id, lower(new) AS k, count(*) AS a FROM r GROUP BY 1, 2),
@@ -592,7 +593,7 @@ def d20_rename_conflicts(spark: SparkSession, sf: str) -> DataFrame:
         F.when(k % 7 == 0, F.concat(F.lit("New"), k)).when(k % 7 == 1, F.upper(name)).when(k % 7 == 2, name)
         .when(k % 7 == 3, "Same").when(k % 7 == 4, "TWIN").otherwise(other)
     )
-    renames = customers.filter(k % 2 == 0).select(
+    renames = customers.select(
         F.col("c_nationkey").alias("doc_id"), F.coalesce(twin, F.when(k % 22 == 0, F.concat(F.lit("Gone"), k)), name).alias("old"), new.alias("new")
     )
     return update.rename_conflicts(names, renames)

@@ -53,14 +53,14 @@ _POLICY_KINDS = ["document.metadata", "heading.level", "table.headers", "languag
 @query(
     "k2_plan_policy",
     f"""WITH a AS (SELECT o_custkey AS plan_id, {pick_sql("o_orderkey", _POLICY_KINDS)} AS kind, o_orderkey % 5 = 0 AS has_id, o_orderkey % 7 = 0 AS lang,
-           o_custkey % 9 = 0 AS tracked FROM orders WHERE o_orderkey % 4 = 0 OR o_custkey % 2 = 0),
+           o_custkey % 9 = 0 AS tracked FROM orders),
         g AS (SELECT plan_id, bool_or(tracked AND NOT (kind = 'document.metadata' AND NOT lang)) AS t, bool_or(kind IN ('table.headers', 'text.linkify_addresses')) AS c,
           bool_or(kind = 'language.target' OR (kind = 'link.description' AND NOT has_id)) AS s FROM a GROUP BY 1)
         SELECT plan_id, CASE WHEN t THEN 'tracked revisions' WHEN c AND s THEN 'ordinal targets beside structural edits' END AS reason FROM g""",
 )
 def k2_plan_policy(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("o_orderkey")
-    answers = table(spark, sf, "orders").filter((k % 4 == 0) | (F.col("o_custkey") % 2 == 0)).select(
+    answers = table(spark, sf, "orders").select(
         F.col("o_custkey").alias("plan_id"), F.col("o_custkey").alias("doc_id"), pick(k, _POLICY_KINDS).alias("kind_id"),
         F.when(k % 5 == 0, "content/link[id=x]").otherwise("content/link[3]").alias("path"), F.when(k % 7 == 0, "en").alias("language"),
     )
