@@ -371,15 +371,14 @@ def d12_figures(spark: SparkSession, sf: str) -> DataFrame:
          CASE WHEN l_discount > 0.08 THEN 3 WHEN l_discount > 0.05 THEN 2 ELSE 1 END AS cs, l_tax > 0.07 AS cov FROM lineitem),
        f AS (SELECT id, rows, cols, bool_or(cov OR rs > 1 OR cs > 1) AS complex, bool_or(NOT cov AND (y + rs > rows OR x + cs > cols)) AS beyond,
          sum(CASE WHEN cov THEN 0 ELSE rs * cs END) AS area FROM c JOIN t USING (id) GROUP BY ALL),
-       g AS (SELECT *, rows * cols > 100000 AS large, area > rows * cols AS crowded FROM f WHERE complex),
-       s AS (SELECT id FROM g WHERE NOT large AND NOT beyond AND NOT crowded),
+       g AS (SELECT *, area > rows * cols AS crowded FROM f WHERE complex),
+       s AS (SELECT id FROM g WHERE NOT beyond AND NOT crowded),
        o AS (SELECT id, y + dy AS y, x + dx AS x FROM c JOIN s USING (id), range(0, 2) a(dy), range(0, 3) b(dx) WHERE NOT cov AND dy < rs AND dx < cs),
        k AS (SELECT id, y, x, count(*) AS n FROM o GROUP BY 1, 2, 3),
        ov AS (SELECT DISTINCT id FROM k WHERE n > 1),
        orp AS (SELECT DISTINCT c.id FROM c JOIN s USING (id) LEFT JOIN k ON k.id = c.id AND k.y = c.y AND k.x = c.x WHERE cov AND k.id IS NULL)
-       SELECT id AS table_id, 'too large' AS reason FROM g WHERE large
-       UNION ALL SELECT id, 'beyond grid' FROM g WHERE NOT large AND beyond
-       UNION ALL SELECT id, 'overlap' FROM g WHERE NOT large AND NOT beyond AND (crowded OR id IN (SELECT id FROM ov))
+       SELECT id AS table_id, 'beyond grid' AS reason FROM g WHERE beyond
+       UNION ALL SELECT id, 'overlap' FROM g WHERE NOT beyond AND (crowded OR id IN (SELECT id FROM ov))
        UNION ALL SELECT id, 'covered without origin' FROM g WHERE id IN (SELECT id FROM orp)""",
 )
 def d13_grid_coverage(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafwright.functions.text import is_blank
 
-MAX_COMPLEX_CELLS = 100_000
 ROW_BUCKET = 4096
 TYPED_VALUES = ["float", "percentage", "currency", "date", "time", "boolean"]
 NUMERIC_VALUES = ["float", "percentage", "currency", "date", "time"]
@@ -17,10 +16,11 @@ MAX_LABEL = 80
 def grid_coverage(tables: DataFrame, cells: DataFrame) -> DataFrame:
     """TABLE002 reasons per table.
 
-    ``tables``: doc_id, table_id, rows, columns.  ``cells``: doc_id, table_id, y, x (0-based),
-    row_span, col_span, covered.  Only tables that hold spans are looked at, those beyond the cell
-    bound are refused, and rectangles whose summed area exceeds the grid must overlap, so the
-    expansion per table never passes the bound.
+    ``tables``: doc_id, table_id, rows, columns.  ``cells``: doc_id, table_id, y, x (0-based), row_span,
+    col_span, covered.  Only tables that hold spans are looked at.  A rectangle becomes one interval per row,
+    and a row's intervals are swept with a running maximum of their ends, so the work is spread over (table,
+    row) and no grid is too large.  Rectangles whose summed area exceeds their grid must overlap and are
+    never spelled out.
     """
     key = ["doc_id", "table_id"]
     area = F.when(~F.col("covered"), F.col("row_span") * F.col("col_span")).otherwise(0)
@@ -38,36 +38,31 @@ def grid_coverage(tables: DataFrame, cells: DataFrame) -> DataFrame:
         F.first("columns").alias("columns"),
     )
     facts = facts.filter("complex").withColumn("cells", F.col("rows") * F.col("columns"))
-    large = F.col("cells") > MAX_COMPLEX_CELLS
     crowded = F.col("area") > F.col("cells")
-    simple = facts.filter(~large & ~F.col("beyond") & ~crowded).select(*key)
+    simple = facts.filter(~F.col("beyond") & ~crowded).select(*key)
     y = F.explode(F.sequence(F.col("y"), F.col("y") + F.col("row_span") - 1)).alias("y")
-    x = F.explode(F.sequence(F.col("x"), F.col("x") + F.col("col_span") - 1)).alias("x")
     bounded = cells.join(simple, key, "left_semi")
+    # an origin counts before a covered cell at the same place
     origin = (
-        bounded.filter(~F.col("covered"))
-        .select(*key, y, "x", "col_span")
-        .select(*key, "y", x, F.lit(1).alias("o"), F.lit(0).alias("c"))
-    )
+        bounded.filter(~F.col("covered")).select(*key, y, "x", "col_span")
+        .select(*key, "y", "x", (F.col("x") + F.col("col_span")).alias("end"), F.lit(0).alias("covered"))
+    )
     hidden = bounded.filter("covered").select(
-        *key, "y", "x", F.lit(0).alias("o"), F.lit(1).alias("c")
-    )
-    spots = origin.unionByName(hidden).groupBy(*key, "y", "x").agg(
-        F.sum("o").alias("o"), F.sum("c").alias("c")
+        *key, "y", "x", F.lit(None).cast("long").alias("end"), F.lit(1).alias("covered")
     )
-    found = spots.groupBy(*key).agg(
-        F.bool_or(F.col("o") > 1).alias("overlap"),
-        F.bool_or((F.col("o") == 0) & (F.col("c") > 0)).alias("orphan"),
+    before = Window.partitionBy(*key, "y").orderBy("x", "covered", "end").rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.coalesce(F.max("end").over(before) > F.col("x"), F.lit(False))
+    swept = origin.unionByName(hidden).withColumn("under", reached)
+    found = swept.groupBy(*key).agg(
+        F.bool_or((F.col("covered") == 0) & F.col("under")).alias("overlap"),
+        F.bool_or((F.col("covered") == 1) & ~F.col("under")).alias("orphan"),
     )
     joined = facts.join(found, key, "left")
     no = F.lit(False)
     reasons = F.array_compact(
         F.array(
-            F.when(large, "too large"),
-            F.when(~large & F.col("beyond"), "beyond grid"),
-            F.when(
-                ~large & ~F.col("beyond") & (crowded | F.coalesce("overlap", no)), "overlap"
-            ),
+            F.when(F.col("beyond"), "beyond grid"),
+            F.when(~F.col("beyond") & (crowded | F.coalesce("overlap", no)), "overlap"),
             F.when(F.coalesce("orphan", no), "covered without origin"),
         )
     )

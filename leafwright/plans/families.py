@@ -75,15 +75,15 @@ def table_findings(cells: DataFrame) -> DataFrame:
     written = cells.filter("NOT sheet")
     kinds = grids.classify_tables(written).filter("rule_id IS NOT NULL")
     sizes = written.groupBy(*key).agg(F.max("y_end").alias("rows"), F.max("x_end").alias("columns"))
-    # Repeats are spelled out only within the cell bound; larger grids are refused unexpanded.
-    small = sizes.filter(F.col("rows") * F.col("columns") <= grids.MAX_COMPLEX_CELLS).select(*key)
+    # Only tables with spans are looked at.  A run of plain cells is one rectangle; merged and covered cells
+    # are spelled out where they repeat.
+    merged = written.join(written.filter("spans").select(*key).distinct(), key, "left_semi")
     spread = lambda a, b: F.explode(F.sequence(F.col(a), F.col(b)))
-    single = (
-        written.join(small, key, "left_semi")
-        .withColumn("y", spread("y", "y_end"))
-        .withColumn("x", spread("x", "x_end"))
-        .unionByName(written.join(small, key, "left_anti"))
+    plain = merged.filter("NOT spans").withColumns(
+        {"row_span": F.col("y_end") - F.col("y") + 1, "col_span": F.col("x_end") - F.col("x") + 1}
     )
+    spelled = merged.filter("spans").withColumn("y", spread("y", "y_end")).withColumn("x", spread("x", "x_end"))
+    single = plain.unionByName(spelled)
     zero = single.withColumn("y", F.col("y") - 1).withColumn("x", F.col("x") - 1)
     broken = grids.grid_coverage(sizes, zero)
     unsafe = broken.select(*key).distinct()
