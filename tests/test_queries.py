@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from leafwright.bindings import ORACLES, QUERIES
 from tests.conftest import SF
 
 
@@ -32,11 +33,11 @@ def _plain(values, names):
     return sorted((tuple(cell(row[i]) for i in order) for row in values), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, con, name):
-    frame = entry.queries()[name](spark, SF)
+    frame = QUERIES[name](spark, SF)
     got = [tuple(r) for r in frame.collect()]
-    cursor = con.execute(entry.oracle_sql()[name])
+    cursor = con.execute(ORACLES[name])
     names = [c[0] for c in cursor.description]
     assert sorted(names) == sorted(frame.columns)
     assert _plain(got, frame.columns) == _plain(cursor.fetchall(), names)
