@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from leafwright.operators.structure import list_level
 from leafwright.session import stored
-from leafwright.sources.corpus import MAX_SOURCE_BYTES
+from leafwright.sources.corpus import ROW_BYTES
 from leafwright.sources.xml import shred_xml
 
 # Package members by logical part, word separators and content nobody reads.
@@ -44,8 +44,7 @@ def document_parts(corpus: DataFrame) -> DataFrame:
             for doc_id, content in zip(batch["doc_id"], batch["content"], strict=True):
                 try:
                     with zipfile.ZipFile(io.BytesIO(bytes(content))) as archive:
-                        total = sum(i.file_size for i in archive.infolist())
-                        names = set(archive.namelist()) if total <= MAX_SOURCE_BYTES else set()
+                        names = {i.filename for i in archive.infolist() if i.file_size <= ROW_BYTES}
                         for part, name in PARTS.items():
                             if name in names:
                                 rows.append((doc_id, part, archive.read(name)))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_SOURCE_BYTES = 256 << 20
+ROW_BYTES = (1 << 31) - 1  # what one value of a row can hold
 MEMBERS = (
     "doc_id string, ord int, name string, size long, stored boolean, sha256 string, "
     "ascii_clean boolean, encrypted boolean, problem string"
@@ -20,8 +20,8 @@ _CHUNK = 1 << 20
 _FLUSH = 20_000  # rows handed back to Spark at once
 
 
-def identify(df: DataFrame, doc_id: Column, path: Column, content: Column, limit=MAX_SOURCE_BYTES):
-    """Corpus rows with a digest bound to the bytes; ``admitted`` is false past the size bound.
+def identify(df: DataFrame, doc_id: Column, path: Column, content: Column, limit: int | None = None):
+    """Corpus rows with a digest bound to the bytes; ``admitted`` is false past the size bound, if any.
 
     Oversize rows stay in the result: they are refused, never dropped.
     """
@@ -33,21 +33,32 @@ def identify(df: DataFrame, doc_id: Column, path: Column, content: Column, limit
         content.alias("content"),
         F.sha2(data, 256).alias("sha256"),
         size.alias("n_bytes"),
-        (size <= limit).alias("admitted"),
+        (F.lit(True) if limit is None else size <= limit).alias("admitted"),
     )
 
 
-def read_corpus(spark: SparkSession, path: str, limit: int = MAX_SOURCE_BYTES) -> DataFrame:
-    """Every file below ``path`` as one opaque row with its digest."""
+def read_corpus(spark: SparkSession, path: str, limit: int = ROW_BYTES) -> DataFrame:
+    """Every file below ``path`` as one opaque row with its digest.
+
+    The bound is pushed down to the file listing: a larger file is refused unread, without a digest.
+    """
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     )
     name = F.regexp_extract("path", "([^/]*)$", 1)
-    return identify(files, F.col("path"), name, F.col("content"), limit)
+    known = files.filter(F.col("length") <= limit)
+    refused = files.filter(F.col("length") > limit).select(
+        F.col("path").alias("doc_id"), name.alias("path"), F.lit(None).cast("binary").alias("content"),
+        F.lit(None).cast("string").alias("sha256"), F.col("length").alias("n_bytes"), F.lit(False).alias("admitted"),
+    )
+    return identify(known, F.col("path"), name, F.col("content")).unionByName(refused)
 
 
-def _inventory(content: bytes) -> Iterator[tuple]:
+def _inventory(content: bytes, most: int | None) -> Iterator[tuple]:
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        # Members never yield more than they declare, so the declared sizes bound the work.
+        if most is not None and sum(i.file_size for i in archive.infolist()) > most:
+            raise ValueError("unpacks to more than was asked for")
         for ord_, info in enumerate(archive.infolist()):
             digest, clean = hashlib.sha256(), True
             edge, size = b"", 0
@@ -63,9 +74,11 @@ def _inventory(content: bytes) -> Iterator[tuple]:
             yield ord_, info.filename, info.file_size, stored, digest.hexdigest(), clean, locked
 
 
-def package_members(corpus: DataFrame) -> DataFrame:
+def package_members(corpus: DataFrame, most: int | None = None) -> DataFrame:
     """One row per package member, read member by member with a streaming digest.
 
+    With ``most``, a package that declares to unpack to more bytes is refused before it is unpacked.
+
     An unreadable package gives one row with ``problem`` (PKG001) instead of members.
     """
     names = [part.split()[0] for part in MEMBERS.split(", ")]
@@ -78,7 +91,7 @@ def package_members(corpus: DataFrame) -> DataFrame:
         for batch in batches:
             for doc_id, content in zip(batch["doc_id"], batch["content"], strict=True):
                 try:
-                    rows.extend([(doc_id, *row, None) for row in _inventory(bytes(content))])
+                    rows.extend([(doc_id, *row, None) for row in _inventory(bytes(content), most)])
                 except (zipfile.BadZipFile, OSError, RuntimeError, ValueError, EOFError) as error:
                     rows.append((doc_id, *[None] * 7, type(error).__name__))
                 if len(rows) >= _FLUSH:

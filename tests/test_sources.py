@@ -158,3 +158,12 @@ def test_large_xml_is_flushed_while_read(spark):
     big = nodes.filter("doc_id = 'big' AND tag = 'p'")
     assert big.count() == 60_000 and big.filter("tail <> 't' OR text <> attrs['n']").count() == 0
     assert rows(nodes.filter("problem IS NOT NULL"), "doc_id", "problem") == [("cut", "ParseError")]
+
+
+def test_a_file_no_row_can_hold_is_refused_unread(spark, tmp_path):
+    (tmp_path / "small.txt").write_bytes(b"x")
+    with open(tmp_path / "large.bin", "wb") as file:
+        file.truncate(3 << 30)  # sparse
+    rows = {r.path: r for r in src.read_corpus(spark, str(tmp_path)).drop("content").collect()}
+    assert rows["small.txt"].admitted and rows["small.txt"].sha256
+    assert not rows["large.bin"].admitted and rows["large.bin"].n_bytes == 3 << 30
