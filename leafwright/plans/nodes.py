@@ -95,8 +95,24 @@ def body(nodes: DataFrame) -> DataFrame:
         owner.isNotNull() & ((owner["tag"] != "table:table") | F.array_contains("above", "office:spreadsheet")),
         F.concat(F.lit("content/"), place),
     ).otherwise("content")
-    flow = in_flow(F.concat("above", F.array("tag")))
-    return kept.filter(inside).withColumn("context", context).withColumn("flow", flow)
+    rows = kept.filter(inside).withColumn("context", context)
+    # What a section hides, at once or on a condition, is not read; its nodes know the sections above them.
+    attr = lambda n: F.col("attrs")[n]
+    hides = attr("text:display").isin("none", "condition") | attr("text:condition").isNotNull()
+    hiding = rows.filter((F.col("tag") == "text:section") & F.coalesce(hides, F.lit(False))).select(
+        "doc_id", F.col("node_id").alias("__section")
+    )
+    self_ = F.struct(F.col("node_id").alias("id"), F.col("tag").alias("tag"))
+    sections = F.filter(F.concat("ancestors", F.array(self_)), lambda a: a["tag"] == "text:section")
+    hidden = (
+        rows.select("doc_id", "node_id", F.explode(sections).alias("__s"))
+        .select("doc_id", "node_id", F.col("__s.id").alias("__section"))
+        .join(hiding, ["doc_id", "__section"], "left_semi")
+        .groupBy("doc_id", "node_id").agg(F.lit(True).alias("hidden"))
+    )
+    marked = rows.join(hidden, ["doc_id", "node_id"], "left").fillna(False, ["hidden"])
+    flow = in_flow(F.concat("above", F.array("tag"))) & ~F.col("hidden")
+    return marked.withColumn("flow", flow)
 
 
 def words(nodes: DataFrame, owners: list[str]) -> DataFrame:

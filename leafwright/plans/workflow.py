@@ -98,10 +98,14 @@ def _text_findings(nodes: DataFrame) -> DataFrame:
     silent = links.filter(words_.is_blank(F.col("words")) & words_.is_blank(attr("office:title")))
     raw = links.filter(words_.raw_link_text(F.col("words"), attr("office:title")) & F.array_contains("above", "office:spreadsheet"))
     moving = links.filter(is_relative_link(attr("xlink:href"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+    # A paragraph's prose is its own text and the tails of what stands in it, also after a link.
     outside = ~F.array_contains("above", "text:a")
-    prose = flow.filter(F.col("tag").isin("text:p", "text:h", "text:span") & outside).select(
-        "doc_id", "node_id", F.explode(words_.addresses(F.coalesce("text", F.lit("")))).alias("raw")
+    own = flow.filter(F.col("tag").isin("text:p", "text:h", "text:span") & outside)
+    after = body.filter(
+        odf.innermost(F.col("above")).isin("text:p", "text:h", "text:span") & outside & odf.in_flow(F.col("above")) & ~F.col("hidden")
     )
+    raw_of = lambda c: F.explode(words_.addresses(F.coalesce(c, F.lit("")))).alias("raw")
+    prose = own.select("doc_id", "node_id", raw_of("text")).unionByName(after.select("doc_id", "node_id", raw_of("tail")))
     marked = flow.filter(
         (F.col("tag") == "text:p") & ~F.array_contains("above", "text:list") & words_.typed_marker(F.col("words"))
     )

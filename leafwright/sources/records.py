@@ -20,14 +20,23 @@ BATCH_KEYS = ["id", "source", "plan"]
 
 
 def read_answers(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Answers and rejected records of a JSON lines file."""
-    rows = (
-        spark.read.schema(ANSWERS + ", _corrupt_record string")
-        .option("mode", "PERMISSIVE")
-        .json(path)
+    """Answers and rejected records of a JSON lines file; an unknown key rejects a record."""
+    keys = lambda c: F.map_keys(F.from_json(c, "map<string,string>"))
+    names = lambda fields: F.array(*[F.lit(f.split()[0]) for f in fields.split(", ")])
+    outer = names(ANSWERS.partition(", answer")[0] + ", answer string")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    read = F.from_json("value", ANSWERS + ", _corrupt_record string", options)
+    unknown = F.concat(
+        F.array_except(keys(F.col("value")), outer),
+        F.coalesce(F.array_except(keys(F.get_json_object("value", "$.answer")), names(ANSWER)), F.array()),
     )
-    bad = F.col("_corrupt_record").isNotNull() | F.col("kind_id").isNull()
-    return rows.filter(~bad).drop("_corrupt_record"), rows.filter(bad)
+    rows = spark.read.text(path).filter(F.trim("value") != "").select("value", read.alias("r"), unknown.alias("__unknown"))
+    bad = (
+        F.col("r._corrupt_record").isNotNull() | F.col("r.kind_id").isNull()
+        | F.coalesce(F.size("__unknown") > 0, F.lit(True))
+    )
+    good = rows.filter(~bad).select("r.*").drop("_corrupt_record")
+    return good, rows.filter(bad).select("r.*", "value").withColumn("_corrupt_record", F.col("value")).drop("value")
 
 
 def check_batch(raw: DataFrame, record: str = "record", batch: str = "batch_id") -> DataFrame:

@@ -31,6 +31,11 @@ BAD = (
     '<text:h text:outline-level="2">1. Start</text:h><text:h text:outline-level="4">x</text:h><text:p>see https://a.b/c. now</text:p>'
     '<text:p/><text:a xlink:href="#none"/><text:list><text:p>x</text:p></text:list><draw:frame><draw:image/></draw:frame>'
 )
+HIDDEN = (
+    '<text:section text:display="none"><text:h text:outline-level="5">x</text:h><text:p>https://a.b/c</text:p></text:section>'
+    '<text:section text:condition="of:1"><text:list><text:p>x</text:p></text:list></text:section>'
+)
+TAIL = '<text:p>See <text:a xlink:href="https://x.example/">x</text:a> and http://tail.example/a</text:p>'
 GOOD = '<text:h text:outline-level="1">Start</text:h><text:p>words<text:span> and </text:span>more</text:p>'
 
 
@@ -56,6 +61,8 @@ def files(tmp_path_factory):
     folder = tmp_path_factory.mktemp("corpus")
     (folder / "bad.fodt").write_text(HEAD + BAD + FOOT)
     (folder / "good.fodt").write_text(HEAD + GOOD + FOOT)
+    (folder / "hidden.fodt").write_text(HEAD + GOOD + HIDDEN + FOOT)
+    (folder / "tail.fodt").write_text(HEAD + GOOD + TAIL + FOOT)
     (folder / "dtd.fodt").write_text("<!DOCTYPE x>" + HEAD + GOOD + FOOT)
     (folder / "bad.odt").write_bytes(_package(BAD))
     (folder / "good.odt").write_bytes(_package(GOOD))
@@ -73,6 +80,8 @@ def test_audit_of_files(spark, files):
     assert "good.fodt" not in got and "good.odt" not in got
     assert got["dtd.fodt"] == {"XML001"} and got["broken.odt"] == {"PKG001"}
     assert "PKG008" in got["nomanifest.odt"]
+    assert not {"HEADING002", "HEADING003", "LINK001"} & got.get("hidden.fodt", set())
+    assert "LINK001" in got["tail.fodt"]
     # Package and flat form of one document give the same findings.
     assert got["bad.odt"] == got["bad.fodt"]
     want = {"HEADING002", "HEADING003", "HEADING004", "LINK001", "LINK003", "LIST002", "REF001", "STYLE002", "GRAPHIC001"}
@@ -83,7 +92,7 @@ def test_audit_of_files(spark, files):
 
 def test_oversize_is_refused_not_dropped(spark, files):
     corpus = src.read_corpus(spark, files, limit=600)
-    assert corpus.count() == 7 and corpus.filter("NOT admitted").count() >= 5
+    assert corpus.count() == 9 and corpus.filter("NOT admitted").count() >= 5
 
 
 def test_xml_tree_and_tails(spark):
@@ -115,9 +124,10 @@ def test_strict_records(spark, tmp_path):
     lines = [{"id": "a", "source": "x", "plan": "p"}, {"id": "A", "source": "x", "plan": "p"}, {"id": "b", "source": "/x", "plan": "p"}, {"id": "c", "source": "x", "plan": "p", "y": "1"}]
     (tmp_path / "b.json").write_text("\n".join(map(json.dumps, lines)))
     assert [r["problem"] for r in records.read_batch(spark, str(tmp_path)).orderBy("id").collect()] == ["duplicate id", "duplicate id", "path", "keys"]
-    (tmp_path / "a.jsonl").write_text('{"plan_id":"1","kind_id":"heading.level","path":"p","answer":{"level":2}}\n{"plan_id":\n')
+    (tmp_path / "a.jsonl").write_text('{"plan_id":"1","kind_id":"heading.level","path":"p","answer":{"level":2}}\n{"plan_id":\n'
+        '{"plan_id":"1","kind_id":"k","more":1}\n{"plan_id":"1","kind_id":"k","answer":{"levle":2}}\n')
     good, bad = records.read_answers(spark, str(tmp_path / "a.jsonl"))
-    assert good.select("answer.level").first()[0] == 2 and bad.count() == 1
+    assert [r.level for r in good.select("answer.level").collect()] == [2] and bad.count() == 3
 
 
 def test_sinks(spark, tmp_path):
