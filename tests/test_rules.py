@@ -44,11 +44,11 @@ def test_style_chains(spark):
     assert {got[n][0] for n in ("x", "y", "tail")} == {"cyclic"}
 
 
-def test_reachability_cap(spark):
+def test_reachability_goes_on_past_the_limit(spark):
     edges = [("a", f"n{i}", f"n{i + 1}") for i in range(5)] + [("b", "n0", "n1"), ("b", "n1", "n0")]
     refs = spark.createDataFrame(edges, "doc_id string, node string, target string")
     roots = spark.createDataFrame([("a", "n0"), ("b", "n0"), ("c", "n0")], "doc_id string, node string")
-    assert rows(graph.reachable(roots, refs, 3)) == [("a", 3, True), ("b", 1, False), ("c", 0, False)]
+    assert rows(graph.reachable(roots, refs, 3)) == [("a", 5, True), ("b", 1, False), ("c", 0, False)]
 
 
 def test_reference_states(spark):
