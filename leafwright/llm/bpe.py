@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,9 +35,15 @@ from leafwright.llm.registry import query
 LONG = 40  # bytes from which a piece's equal pairs are contracted together
 GROUP_CHARS = 4_000_000  # characters of text handled at once
 ROUNDS = 32  # rounds of a recursive query before it starts again from where it is
-MEMORY_PIECES = 200_000  # pieces whose tokens a task remembers
+MEMORY_PIECES = 500_000  # pieces whose tokens a Python worker remembers
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
+# Fixed value: the pattern of the public rank files.  For texts of Latin letters, digits below the
+# superscripts, and general punctuation the standard library's classes agree with it, and are faster.
+_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_PLAIN_PATTERN = re.compile(_PATTERN.replace(r"[^\s\p{L}\p{N}]", r"(?:[^\s\w]|_)").replace(r"\p{L}", r"[^\W\d_]").replace(r"\p{N}", r"\d"))
+_EXOTIC = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u02af\u2010-\u2027]")
+
 _ONE_PAIR = """
 WITH RECURSIVE step AS (
   SELECT 0 AS round, piece, pos, token FROM tokens
@@ -81,7 +88,7 @@ ORDER BY piece, pos
 """
 
 _DECODE = """
-SELECT t.piece, unhex(string_agg(hex(v.bytes), '' ORDER BY t.pos)) AS bytes
+SELECT unhex(string_agg(v.spelling, '' ORDER BY t.pos)) AS bytes
 FROM tokens t JOIN vocabulary v ON v.token = t.token GROUP BY t.piece ORDER BY t.piece
 """
 
@@ -104,16 +111,18 @@ class Codec:
                     left.append(a), right.append(b), merged.append(rank)
         # Tokens that have a lower rank together with a neighbour than by themselves.
         early = {a for a, m in zip(left, merged) if m < a} | {b for b, m in zip(right, merged) if m < b}
+        self.memory: dict[str, bytes] = {}
+        self.spelled: dict[bytes, bytes] = {}
         self._np = np
         self._byte = np.array([vocabulary[bytes([b])] for b in range(256)], np.int32)
         self._db = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": ".tmp/bpe"})
         self._table("merges", l=left, r=right, merged=merged, single=[m in early for m in merged])
-        self._table("vocabulary", token=list(vocabulary.values()), bytes=list(vocabulary))
+        self._table("vocabulary", token=list(vocabulary.values()), spelling=[t.hex() for t in vocabulary])
 
     def _table(self, name: str, **columns) -> None:
         table = pa.table(
             {
-                k: pa.array(v, pa.int32()) if k not in ("single", "bytes") else pa.array(v)
+                k: pa.array(v, pa.int32()) if k not in ("single", "spelling") else pa.array(v)
                 for k, v in columns.items()
             }
         )
@@ -164,7 +173,7 @@ class Codec:
         np = self._np
         lengths = np.fromiter((len(r) // 4 for r in runs), np.int64, len(runs))
         self._rows(lengths, np.frombuffer(b"".join(runs), "<u4").astype(np.int32))
-        return [bytes(b) for (b,) in self._db.execute(f"SELECT bytes FROM ({_DECODE}) ORDER BY piece").fetchall()]
+        return [b for (b,) in self._db.execute(_DECODE).fetchall()]
 
 
 _codecs: dict[str, Codec] = {}
@@ -195,18 +204,26 @@ def _tokenize(batches, text: str, pattern: str, ranks: bytes):
     """(group of rows, per row a list of runs, bytes of each run): every text as runs of tokens."""
     import regex
 
+    def plain(t: str) -> bool:
+        return pattern == _PATTERN and not _EXOTIC.search(t)
+
+    find_plain = _PLAIN_PATTERN.findall
     engine, find = codec(ranks), regex.compile(pattern).findall
-    memory: dict[str, bytes] = {}
-    spelled: dict[bytes, bytes] = {}
+    memory, spelled = engine.memory, engine.spelled
     for group in _groups(batches, text):
-        texts = [find(t) if t else [] for t in group.column(text).to_pylist()]
+        texts = [(find_plain if plain(t) else find)(t) if t else [] for t in group.column(text).to_pylist()]
         if len(memory) > MEMORY_PIECES:
-            memory, spelled = {}, {}
-        new = list({p for pieces in texts for p in pieces if p not in memory})
-        memory.update(zip(new, engine.encode([p.encode() for p in new])))
-        runs = list({memory[p] for p in new if memory[p] not in spelled})
-        spelled.update(zip(runs, engine.decode(runs)) if runs else ())
-        yield group, [[memory[p] for p in pieces] for pieces in texts], spelled
+            memory.clear(), spelled.clear()
+        met: set[str] = set()
+        for pieces in texts:
+            met.update(pieces)
+        new = list(met.difference(memory))
+        if new:
+            memory.update(zip(new, engine.encode([p.encode() for p in new])))
+        runs = list({memory[p] for p in new} - spelled.keys())
+        if runs:
+            spelled.update(zip(runs, engine.decode(runs)))
+        yield group, [list(map(memory.__getitem__, pieces)) for pieces in texts], spelled
 
 
 def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text") -> DataFrame:
@@ -260,7 +277,7 @@ def round_trip(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text")
                 whole = b"".join(runs)
                 counts.append(len(whole) // 4)
                 ids.append(hashlib.sha256(whole).hexdigest())
-                decoded.append(hashlib.sha256(b"".join([spelled[r] for r in runs])).hexdigest())
+                decoded.append(hashlib.sha256(b"".join(map(spelled.__getitem__, runs))).hexdigest())
             out = group.select(kept)
             for name, values, kind in zip(added, (counts, ids, decoded), (pa.int64(), pa.string(), pa.string())):
                 out = out.append_column(name, pa.array(values, kind))
