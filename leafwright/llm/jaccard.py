@@ -10,9 +10,9 @@ Lists are worked off in two rounds, so that sets that resemble each other do not
   one leader it meets most often.  Sets that link with their leader take over its component, and the
   shared counts of a set with its leader bound its overlap with every other set of that leader, from
   below and above, so most of the remaining pairs are settled without looking at the sets.
-* *Skipping by blocks.*  Only lists that still hold two components are read again.  They are cut into
-  blocks, blocks meet in pairs, and inside a pair the sizes and positions bound the overlap: pairs that
-  cannot reach it are skipped.  What is left is checked exactly.
+* *Skipping by blocks.*  Only lists that still hold two components are read again.  The sets of a list's
+  main component are cut into blocks, which the other sets visit; inside a block, ordered by size, sizes and
+  positions bound the overlap, and sets that cannot reach it are skipped.  What is left is checked exactly.
 
 Shingle frequencies order the index and nothing else, so they may be rough: they are counts, over all
 documents, of shingles that repeat within a task's group of documents, added up in ``BUCKETS`` hash
@@ -21,7 +21,7 @@ hashes, sets by 128-bit ones.
 
 Defined results: a null, empty or blank text has an empty set, links with nothing and is its own
 component; a text of fewer than five words has one shingle, its whole word sequence; rows with equal
-sets are one class; rows that share an id are one document with the sets of all of them; a null id is
+sets are one class; of rows that share an id but not the text one text stands for all in links; a null id is
 left out of links; an empty table gives an empty result.
 """
 
@@ -42,6 +42,8 @@ PERCENT = 80
 BUCKETS = 1 << 21
 GROUP = 1_000_000  # shingles among which a task looks for repeated ones
 LIST_BLOCK = 2048  # rows of a list that meet at once
+PARTNERS = 64  # partners checked against one copy of a leader's text
+PAIR_ROWS = 1 << 16  # rows whose pairs a task forms at once, beside the group that is open
 SALT_ROWS = 1 << 14  # rows of a list that one task sees in the first round
 _MULTIPLIERS = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64
@@ -213,33 +215,50 @@ def shared_lists(index: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, schema_with(index, leader="long"))
 
 
-def checked(pairs: DataFrame, docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
+def packed(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
+    """id, packed: the compressed texts of the wanted documents (id), one row each.
+
+    Texts are moved several times, so they are compressed once before.  This join, like those of the lists,
+    is a merge join at every size: the other side grows with the corpus.
+    """
+
+    def run(batches):
+        from zstandard import ZstdCompressor
+
+        pack = ZstdCompressor(level=3).compress
+        for b in batches:
+            texts = [pack(t or b"") for t in _bytes(b.column(text))]
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(texts, pa.binary())], ["id", "packed"])
+
+    texts = docs.select(key, text).mapInArrow(run, "id long, packed binary")
+    return texts.join(wanted.hint("merge"), "id", "left_semi").groupBy("id").agg(F.min("packed").alias("packed"))
+
+
+def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """a, b, n_a, n_b, overlap of each pair (a, b), from the texts of both.
 
-    Rows are dealt by ``a`` and a part number; each part starts with the text of ``a`` and streams the
-    texts of its partners, so a task holds two sets at a time.
+    Rows are dealt by ``a`` and a part of about ``PARTNERS`` partners; each part starts with the text of
+    ``a`` and streams the texts of its partners, so a task holds two sets at a time.
     """
-    width = 64
+    unique = pairs.select("a", "b").distinct()
+    parts = unique.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
     dealt = stored(
-        pairs.select("a", "b").distinct().withColumn("part", F.pmod(F.xxhash64("b"), F.lit(width)).cast("int"))
+        unique.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
     )
-    parts = dealt.select("a", "part").distinct()
-    wanted = dealt.select(F.col("a").alias("id")).union(dealt.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    texts = stored(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]))
-    heads = parts.join(texts.withColumnRenamed("id", "a"), "a").select(
-        "a", "part", F.lit(None).cast("long").alias("b"), "text"
+    heads = dealt.select("a", "part").distinct().select(
+        F.col("a").alias("id"), "a", "part", F.lit(None).cast("long").alias("b")
     )
-    members = dealt.join(texts.withColumnRenamed("id", "b"), "b").select("a", "part", "b", "text")
+    members = dealt.select(F.col("b").alias("id"), "a", "part", "b")
 
     def run(batches):
+        from zstandard import ZstdDecompressor
+
+        unpack = ZstdDecompressor().decompress
         head, own = None, None
         for batch in batches:
             out: dict[str, list] = {c: [] for c in ("a", "b", "n_a", "n_b", "overlap")}
-            for a, b, value in zip(
-                batch.column("a").to_pylist(), batch.column("b").to_pylist(), _bytes(batch.column("text"))
-            ):
-                found = shingles(value)
+            for a, b, value in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "packed"))):
+                found = shingles(unpack(value))
                 if b is None:
                     head, own = a, found
                     continue
@@ -251,8 +270,8 @@ def checked(pairs: DataFrame, docs: DataFrame, key: str, text: str, percent: int
                     column.append(item)
             yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in out.items()})
 
-    rows = heads.unionByName(members).repartition("a", "part")
-    ordered = rows.sortWithinPartitions(F.col("a"), F.col("part"), F.col("b").asc_nulls_first())
+    rows = heads.union(members).hint("merge").join(texts, "id").select("a", "part", "b", "packed")
+    ordered = rows.repartition("a", "part").sortWithinPartitions(F.col("a"), F.col("part"), F.col("b").asc_nulls_first())
     return stored(ordered.mapInArrow(run, "a long, b long, n_a long, n_b long, overlap long"))
 
 
@@ -266,77 +285,76 @@ def remaining_pairs(lists: DataFrame, percent: int = PERCENT) -> DataFrame:
     ``lists``: h, id, n, pos, part (the component so far), head and common (the set's leader and what
     it shares with it, null if it was not checked), head_n (the leader's size).
     """
+    per = lists.groupBy("h", "part").agg(F.count("*").alias("c"))
     mixed = (
-        lists.groupBy("h").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("rows"))
-        .filter("lo < hi").select("h", F.ceil(F.col("rows") / LIST_BLOCK).cast("int").alias("blocks"))
-    )
-    rows = lists.join(mixed, "h").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    meet = F.explode(
-        F.transform(
-            F.sequence(F.lit(0), F.col("blocks") - 1),
-            lambda k: F.struct(F.least("block", k).alias("x"), F.greatest("block", k).alias("y")),
+        per.groupBy("h").agg(
+            F.max_by("part", F.struct("c", "part")).alias("main"), F.sum("c").alias("rows"), F.count("*").alias("parts")
         )
-    )
-    met = rows.withColumn("m", meet).select(
-        "h", "m.x", "m.y", "block", "id", "n", "pos", "part", "head", "common", "head_n"
-    )
-
-    def run(batches):
-        held, key = [], None
-        names = ["block", "id", "n", "pos", "part", "head", "common", "head_n"]
-
-        def pairs(parts):
-            v = {c: np.concatenate([p[c] for p in parts]) for c in names}
-            order = np.argsort(v["n"], kind="stable")
-            v = {c: x[order] for c, x in v.items()}
-            same_block = v["block"].min() == v["block"].max()
-            n, out = v["n"], []
-            for i in range(len(n) - 1):
-                # sizes rise: partners end where the smaller set cannot cover enough of the larger
-                end = np.searchsorted(n, 100 * n[i] // percent, "right")
-                j = slice(i + 1, end)
-                want = needed(n[i], n[j], percent)
-                room = 1 + np.minimum(n[i] - v["pos"][i], n[j] - v["pos"][j]) - 1
-                ok = (v["part"][j] != v["part"][i]) & (room >= want) & (v["id"][j] != v["id"][i])
-                if not same_block:
-                    ok &= v["block"][j] != v["block"][i]
-                elif key[1] != key[2]:
-                    ok[:] = False
-                sure = np.zeros(len(ok), bool)
-                if v["head"][i] >= 0 and ok.any():
-                    kin = v["head"][j] == v["head"][i]
-                    c, d = v["common"][i], v["common"][j]
-                    least = c + d - v["head_n"][i]
-                    most = np.minimum(c, d) + np.minimum(n[i] - c, n[j] - d)
-                    sure = kin & (least >= want)
-                    ok &= ~kin | (most >= want)
-                at = np.flatnonzero(ok)
-                if len(at):
-                    one, two = np.full(len(at), v["id"][i]), v["id"][j][at]
-                    out.append((np.minimum(one, two), np.maximum(one, two), sure[at]))
-            if out:
+        .filter("parts > 1").select("h", "main", F.ceil(F.col("rows") / LIST_BLOCK).cast("int").alias("blocks"))
+    )
+    # Sets of the list's main component need not meet each other: they are dealt to blocks, and the others
+    # come to every block.
+    own = F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = lists.join(mixed.hint("merge"), "h").withColumn("rest", (F.col("part") != F.col("main")).cast("int"))
+    met = rows.withColumn(
+        "x", F.explode(F.when(F.col("rest") == 0, own).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    ).select("h", "x", "rest", "id", "n", "pos", "part", "head", "common", "head_n")
+
+    names = ["h", "x", "rest", "id", "n", "pos", "part", "head", "common", "head_n"]
+
+    def pairs(parts):
+        v = {c: np.concatenate([p[c] for p in parts]) for c in names}
+        order = np.lexsort((v["n"], v["x"], v["h"]))
+        v = {c: x[order] for c, x in v.items()}
+        group = np.cumsum(np.r_[0, (np.diff(v["h"]) != 0) | (np.diff(v["x"]) != 0)])
+        # Sizes rise inside a group: once a partner is too large for a set, so are those after it.
+        i, step = np.arange(len(group) - 1), 1
+        while len(i):
+            i = i[i + step < len(group)]
+            j = i + step
+            i = i[(group[j] == group[i]) & (v["n"][j] * percent <= 100 * v["n"][i])]
+            j, step = i + step, step + 1
+            n, m = v["n"][i], v["n"][j]
+            want = needed(n, m, percent)
+            room = np.minimum(n - v["pos"][i], m - v["pos"][j])
+            ok = (v["part"][i] != v["part"][j]) & (room >= want) & (v["id"][i] != v["id"][j])
+            # two of the others meet in every block; the first one is enough
+            ok &= (v["x"][i] == 0) | (v["rest"][i] + v["rest"][j] < 2)
+            kin = (v["head"][i] >= 0) & (v["head"][i] == v["head"][j])
+            c, d = v["common"][i], v["common"][j]
+            sure = kin & (c + d - v["head_n"][i] >= want)
+            ok &= ~kin | (np.minimum(c, d) + np.minimum(n - c, m - d) >= want)
+            at = np.flatnonzero(ok)
+            if len(at):
+                one, two = v["id"][i[at]], v["id"][j[at]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([o[k] for o in out])) for k in range(3)], ["a", "b", "sure"]
+                    [pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(sure[at])], ["a", "b", "sure"]
                 )
 
+    def run(batches):
+        held, size, last = [], 0, None
         for b in batches:
-            h, x, y = (b.column(c).to_numpy() for c in ("h", "x", "y"))
-            if not len(h):
+            if not b.num_rows:
                 continue
             columns = {c: b.column(c).to_numpy() for c in names}
-            starts = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
-            for s, e in zip(starts, [*starts[1:], len(h)]):
-                now = (h[s], x[s], y[s])
-                if now != key and held:
+            h, x = columns["h"], columns["x"]
+            first = (h[0], x[0])
+            if held and size >= PAIR_ROWS:
+                # what belongs to the group that is still open goes with it
+                same = int(np.argmin(np.r_[(h == last[0]) & (x == last[1]), False]))
+                held.append({c: v[:same] for c, v in columns.items()})
+                columns = {c: v[same:] for c, v in columns.items()}
+                if same < len(h) or first != last:
                     yield from pairs(held)
-                    held = []
-                key = now
-                held.append({c: v[s:e] for c, v in columns.items()})
+                    held, size = [], 0
+            held.append(columns)
+            size += len(columns["h"])
+            last = (h[-1], x[-1])
         if held:
             yield from pairs(held)
 
     filled = met.fillna({"head": -1, "common": 0, "head_n": 0})
-    ordered = filled.repartition("h", "x", "y").sortWithinPartitions("h", "x", "y")
+    ordered = filled.repartition("h", "x").sortWithinPartitions("h", "x")
     found = ordered.mapInArrow(run, "a long, b long, sure boolean")
     return found.groupBy("a", "b").agg(F.bool_or("sure").alias("sure"))
 
@@ -358,7 +376,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     met = lists.filter("id <> leader").groupBy("id", "leader").agg(F.count("*").alias("times"))
     best = met.groupBy("id").agg(F.max_by("leader", F.struct("times", -F.col("leader"))).alias("a"))
     tried = best.select("a", F.col("id").alias("b")).union(across).distinct()
-    first = checked(tried, docs, key, text, percent)
+    texts = stored(packed(docs, key, text, lists.select("id").distinct()))
+    first = checked(tried, texts)
     same = sets.filter("n > 0").join(classes, ["f1", "f2"]).select(
         F.col("class_id").alias("a"), F.col("id").alias("b")
     ).filter("a <> b")
@@ -372,13 +391,13 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
         F.col("s.n_a").alias("head_n"),
     )
     placed = (
-        lists.join(parts.withColumnRenamed("node", "id"), "id", "left").join(head, "id", "left")
+        lists.join(parts.withColumnRenamed("node", "id").hint("merge"), "id", "left").join(head.hint("merge"), "id", "left")
         .select("h", "id", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"),
                 F.coalesce("component", "id").alias("part"), "head", "common", "head_n")
     )
     left = stored(remaining_pairs(placed, percent))
     known = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = checked(left.filter("not sure").join(known, ["a", "b"], "left_anti"), docs, key, text, percent)
+    second = checked(left.filter("not sure").join(known, ["a", "b"], "left_anti"), texts)
     found = linked(second, percent).select("a", "b").union(left.filter("sure").select("a", "b"))
     whole = components(
         found.union(parts.select(F.col("component").alias("a"), F.col("node").alias("b")))

@@ -257,7 +257,10 @@ def _least(nodes, linked):
     return {n: find(n) for n in nodes}
 
 
-def test_jaccard_by_brute_force(spark, odd):
+@pytest.mark.parametrize("block", [2048, 3])
+def test_jaccard_by_brute_force(spark, odd, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "LIST_BLOCK", block)
+    monkeypatch.setattr(jaccard, "PAIR_ROWS", 8 * block)
     rng = random.Random(11)
     vocabulary = [f"v{i}" for i in range(4000)]
     passage = [rng.choice(vocabulary) for _ in range(60)]
