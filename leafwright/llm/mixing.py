@@ -197,8 +197,9 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     with_goal = rows.join(
         goal.select("__gs", "source_size", "target"), F.col(source).eqNullSafe(F.col("__gs")), "left"
     )
+    # Both sides grow with the corpus, so the rows are moved at every size.
     joined = with_goal.join(
-        extras,
+        extras.hint("merge"),
         F.col(key).cast("long").eqNullSafe(F.col("__k")) & (F.col("size") == F.col("__z"))
         & F.col(source).eqNullSafe(F.col("__s")),
         "left",
