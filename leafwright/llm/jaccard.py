@@ -139,7 +139,7 @@ def frequency_table(summary: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, key: str, text: str, table: np.ndarray, percent: int) -> DataFrame:
-    """h, salt, id, n, pos: the index.  Equal sets met by one task count once."""
+    """h, salt, id, n, pos: the index.  Equal sets met by one task count once.  Lists that are not dealt have salt -1."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
@@ -168,6 +168,7 @@ def prefixes(docs: DataFrame, key: str, text: str, table: np.ndarray, percent: i
             # A list whose bucket says it may be long is dealt to several tasks.
             spread = np.maximum(1, (1 << np.maximum(0, rank // 2 + 1)) // SALT_ROWS)
             salt = (_mixed(ids.view(np.uint64)) % spread.astype(np.uint64)).astype(np.int32)
+            salt[spread == 1] = -1
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([p[0] for p in parts]).view(np.int64)), pa.array(salt), pa.array(ids),
@@ -186,10 +187,18 @@ def needed_prefix(n: int, percent: int = PERCENT) -> int:
 
 
 def shared_lists(index: DataFrame) -> DataFrame:
-    """The rows of lists with at least two sets, each with the leader of its part of the list."""
+    """The rows of lists with at least two sets, each with the leader of its part of the list.
+
+    A row that is alone in its part of a dealt list is kept without a leader: the list's other parts decide.
+    """
 
     def run(batches):
         last = None  # (h, salt), leader, the part's first row if it is still alone
+
+        def waiting(continues):
+            if last is not None and last[2] is not None and (continues or last[0][1] >= 0):
+                yield last[2].append_column("leader", pa.array([last[1] if continues else None], pa.int64()))
+
         for b in batches:
             h, salt, ids = (b.column(c).to_numpy() for c in ("h", "salt", "id"))
             if not len(h):
@@ -199,17 +208,18 @@ def shared_lists(index: DataFrame) -> DataFrame:
             leaders = np.repeat(ids[starts], sizes)
             alone = np.repeat(sizes == 1, sizes)
             continues = last is not None and (h[0], salt[0]) == last[0]
-            if last is not None and last[2] is not None and continues:
-                yield last[2].append_column("leader", pa.array([last[1]], pa.int64()))
+            yield from waiting(continues)
             if continues:
                 leaders[: sizes[0]], alone[: sizes[0]] = last[1], False
             tail = slice(starts[-1], len(h))
             key = (h[-1], salt[-1])
             held = b.slice(len(h) - 1) if alone[-1] else None
-            keep = ~alone
+            keep = ~alone | (salt >= 0)
+            keep[-1] = ~alone[-1]
             last = (key, leaders[tail][0], held)
             if keep.any():
-                yield b.append_column("leader", pa.array(leaders)).filter(pa.array(keep))
+                yield b.append_column("leader", pa.array(leaders, mask=alone)).filter(pa.array(keep))
+        yield from waiting(False)
 
     ordered = index.repartition("h", "salt").sortWithinPartitions("h", "salt", "id")
     return ordered.mapInArrow(run, schema_with(index, leader="long"))
@@ -366,13 +376,19 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     sets = summary.filter("n is not null").select("id", "n", "f1", "f2")
     classes = sets.filter("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("class_id"))
     table = frequency_table(summary)
-    lists = stored(shared_lists(prefixes(docs, key, text, table, percent)))
+    dealt = stored(shared_lists(prefixes(docs, key, text, table, percent)))
+    # A row alone in its part of a list goes to the list's top, if the list has another part, else it is dropped.
+    tops = dealt.filter("salt >= 0").groupBy("h", "salt").agg(F.min("id").alias("id"), F.min("leader").alias("leader"))
+    heads = stored(tops.groupBy("h").agg(F.min("id").alias("top"), F.count("*").alias("c")).filter("c > 1").drop("c"))
+    lone = stored(
+        dealt.filter("leader is null").drop("leader").join(heads, "h").withColumnRenamed("top", "leader").select(dealt.columns)
+    )
+    lists = dealt.filter("leader is not null").union(lone)
 
     # First round: each set with the leader it meets most often; leaders of a list's parts meet too.
-    tops = lists.groupBy("h", "salt").agg(F.min("id").alias("leader"))
-    across = tops.join(
-        tops.groupBy("h").agg(F.min("leader").alias("top"), F.count("*").alias("c")).filter("c > 1"), "h"
-    ).select(F.col("top").alias("a"), F.col("leader").alias("b")).filter("a <> b")
+    across = tops.filter("leader is not null").join(heads, "h").select(
+        F.col("top").alias("a"), F.col("leader").alias("b")
+    ).filter("a <> b")
     met = lists.filter("id <> leader").groupBy("id", "leader").agg(F.count("*").alias("times"))
     best = met.groupBy("id").agg(F.max_by("leader", F.struct("times", -F.col("leader"))).alias("a"))
     tried = best.select("a", F.col("id").alias("b")).union(across).distinct()

@@ -289,6 +289,32 @@ def test_jaccard_by_brute_force(spark, odd, monkeypatch, block):
     assert {r.id: (r.n_shingles, r.component_id) for r in found} == {i: (len(sets[i]), want[i]) for i in ids}
 
 
+def test_jaccard_short_lists_in_dealt_buckets(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SALT_ROWS", 1)
+    rng = random.Random(19)
+    rows = []
+    for family in range(40):
+        base = [f"u{family}_{i}" for i in range(120)]
+        for _ in range(2 + family % 3):
+            w = list(base)
+            w[rng.randrange(len(w))] = f"x{len(rows)}"
+            rows.append((10 + len(rows) * 7, " ".join(w)))
+    rows += [(5000 + i, f"alone {i} " + " ".join(f"q{i}_{k}" for k in range(20))) for i in range(20)]
+    sets = _sets(rows)
+    ids = sorted(sets)
+    linked = [
+        (a, b) for k, a in enumerate(ids) for b in ids[:k] if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    ]
+    assert len(linked) > 40
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {r.id: r.component_id for r in found} == _least(ids, linked)
+
+
 def test_jaccard_threshold_and_empty(spark, empty):
     base = [f"w{i}" for i in range(24)]
     near, far = base[:22] + ["x", "y"], base[:21] + ["x", "y", "z"]
