@@ -8,7 +8,9 @@ branch is cut from each page.  Importance mixes both as ``(1 - g^l) * presentati
 ``l`` presentations, so one fixed presentation is judged by its content.
 
 Elements that say what they are (``nav``, ``footer``, ``class="cookie-notice"``, ...) are cut whatever
-their content, and if a page has an article (or else a ``main``) its text is the article's.
+their content, and if a page has an article (or else a ``main``) its text is the article's.  A class or id
+says so only if all its parts do (``has-sidebar`` does not), and never cuts an outermost article or what
+holds one; if a page has no text without such names, they are ignored.
 
 Nodes are counted per task, added up by a partial aggregation (a host of a third of all pages is one row
 per node and task), and joined back as one short list per host; the list is broadcast only if it was
@@ -94,33 +96,44 @@ def host_of(url: str | None) -> str:
 class _Open:
     """An open element."""
 
-    __slots__ = ("tag", "path", "depth", "noise", "cut", "main", "shape", "texts", "container", "kids")
+    __slots__ = (
+        "tag", "path", "depth", "noise", "cut", "main", "shape", "texts", "container", "kids", "named", "skip",
+    )
 
-    def __init__(self, tag, path, depth, noise, cut, main, container):
+    def __init__(self, tag, path, depth, noise, cut, main, container, named=None, skip=False):
         self.tag, self.path, self.depth, self.noise, self.cut, self.main = tag, path, depth, noise, cut, main
         self.shape, self.texts, self.container, self.kids = [], [], container, Counter()
+        # innermost element that only a name marks as noise: [has an article, the next one outside]; text is not read
+        self.named, self.skip = named, skip
 
 
-def _named_noise(tag: str, attributes: str, main: int) -> tuple[bool, str]:
-    """Whether an element says it is not main text, and its class for the path."""
+def _named_noise(tag: str, attributes: str, main: int) -> tuple[bool, bool, str]:
+    """Whether an element is not main text by its kind, or by its name alone, and its class for the path."""
     values = {}
     if attributes and not attributes.isspace():
         for name, value in _ATTRIBUTE.findall(attributes):
             values.setdefault(name.lower(), value.strip("\"'") if value else "")
     names = " ".join(values.get(a, "") for a in ("class", "id"))
-    words = {w.lower() for w in _NAMES.findall(names)}
+    words, named = set(), False
+    for token in names.split():
+        parts = {w.lower() for w in _NAMES.findall(token)}
+        words |= parts
+        named = named or (bool(parts) and (parts <= NOISE_NAMES or (parts == {"header"} and not main)))
     noise = (
-        tag in NOISE or not NOISE_NAMES.isdisjoint(words) or values.get("role", "").lower() in NOISE_ROLES
-        or "hidden" in values or values.get("aria-hidden") == "true"
-        or ((tag == "header" or "header" in words) and not main)
+        tag in NOISE or values.get("role", "").lower() in NOISE_ROLES
+        or "hidden" in values or values.get("aria-hidden") == "true" or (tag == "header" and not main)
     )
-    return noise and tag not in ("html", "body", "main"), " ".join(sorted(words))
+    exempt = tag in ("html", "body", "main")
+    return noise and not exempt, named and not exempt and (tag != "article" or main == 2), " ".join(sorted(words))
 
 
-def walk(page: str | None, low: frozenset[int] = frozenset(), close=None) -> list[tuple[int, bool, str]]:
+def walk(
+    page: str | None, low: frozenset[int] = frozenset(), close=None, by_name: bool = True
+) -> list[tuple[int, bool, str]]:
     """The blocks of a page: (2 in an article, 1 in main, else 0; cut for its importance; text).
 
-    Text in named noise is left out.  ``close`` is called with each container that ends.
+    Text in named noise is left out, unless ``by_name`` is false and a class or id is all that names it.
+    ``close`` is called with each container that ends.
     """
     from xxhash import xxh3_64_intdigest
 
@@ -128,7 +141,7 @@ def walk(page: str | None, low: frozenset[int] = frozenset(), close=None) -> lis
     stack = [_Open("", 0, 0, False, False, 0, True)]
     holders = stack[:]  # the open containers
     opened: Counter = Counter()
-    blocks: list[tuple[int, bool, str]] = []
+    blocks: list[tuple[int, bool, str, list | None]] = []
     buffer: list[str] = []
 
     def flush() -> None:
@@ -137,7 +150,7 @@ def walk(page: str | None, low: frozenset[int] = frozenset(), close=None) -> lis
             buffer.clear()
             if text:
                 top = stack[-1]
-                blocks.append((top.main, top.cut, text))
+                blocks.append((top.main, top.cut, text, top.named))
                 if close is not None:
                     holders[-1].texts.append(xxh3_64_intdigest(text))
 
@@ -148,13 +161,14 @@ def walk(page: str | None, low: frozenset[int] = frozenset(), close=None) -> lis
             holders.pop()
             if close is not None:
                 close(element)
-                holders[-1].texts.extend(element.texts)
+                if element.named is stack[-1].named or element.named[0]:
+                    holders[-1].texts.extend(element.texts)
 
     at = 0
     while True:
         found = _TOKEN.search(page, at)
         upto = found.start() if found else len(page)
-        if upto > at and not stack[-1].noise:
+        if upto > at and not (stack[-1].noise or stack[-1].skip):
             buffer.append(entities.unescape(page[at:upto]))
         if not found:
             break
@@ -174,7 +188,7 @@ def walk(page: str | None, low: frozenset[int] = frozenset(), close=None) -> lis
                     end()
             continue
         if tag == "br":
-            buffer.append(" ") if not stack[-1].noise else None
+            buffer.append(" ") if not (stack[-1].noise or stack[-1].skip) else None
             continue
         if block:
             flush()
@@ -186,7 +200,8 @@ def walk(page: str | None, low: frozenset[int] = frozenset(), close=None) -> lis
         parent = stack[-1]
         if tag in VOID:
             continue
-        noise, label = _named_noise(tag, found.group(3), parent.main)
+        noise, named, label = _named_noise(tag, found.group(3), parent.main)
+        named = named and by_name
         if parent.depth < DEPTH:
             parent.kids[tag, label] += 1
             path = xxh3_64_intdigest(f"{tag} {label} {parent.kids[tag, label]}", seed=parent.path)
@@ -203,20 +218,26 @@ def walk(page: str | None, low: frozenset[int] = frozenset(), close=None) -> lis
         if found.group(3).rstrip().endswith("/") and tag in ("svg", "math"):
             continue
         noise = noise or parent.noise
-        container = tag in CONTAINER and not noise and parent.depth < DEPTH
-        stack.append(_Open(tag, path, parent.depth + 1, noise, cut, main, container))
+        outermost = tag == "article" and parent.main < 2 and not noise
+        mark = parent.named if outermost else None
+        while mark and not mark[0]:
+            mark[0], mark = True, mark[1]
+        # names of elements inside a line cut the line, not the block
+        skip = not outermost and (parent.skip or (named and not block))
+        container = tag in CONTAINER and not noise and not skip and parent.depth < DEPTH
+        stack.append(_Open(tag, path, parent.depth + 1, noise, cut, main, container, [False, parent.named] if named else parent.named, skip))
         opened[tag] += 1
         if container:
             holders.append(stack[-1])
     flush()
     while len(stack) > 1:
         end()
-    return blocks
+    return [b[:3] for b in blocks if not b[3] or b[3][0]]
 
 
 def main_text(page: str | None, low: frozenset[int] = frozenset()) -> str:
     """The main text: blocks of the article, else of main, else of the page, without the cut ones."""
-    blocks = walk(page, low)
+    blocks = walk(page, low) or walk(page, low, by_name=False)
     level = max((b[0] for b in blocks), default=0)
     kept = [b for b in blocks if b[0] == level]
     return "\n\n".join(t for _, _, t in [b for b in kept if not b[1]] or kept)

@@ -470,6 +470,21 @@ def test_main_text_of_hard_pages():
     assert style_tree.main_text("</b>" * 50_000 + "<i>" * 20_000 + "q") == "q"
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<div id='content' class='has-sidebar'><p>A</p></div>", "A"),
+    ("<div class='no-comments'><p>A</p></div><div class='comments'><p>B</p></div>", "A"),
+    ("<article class='post category-social'><p>A</p></article>", "A"),
+    ("<article class='social'><p>A</p></article><p>B</p>", "A"),
+    ("<div class='widget'><p>B</p><article><p>A</p></article></div><p>C</p>", "A"),
+    ("<app-root class='social'><article><p>A</p></article></app-root>", "A"),
+    ("<article><p>A</p><div class='comments'><article class='comment'>B</article></div></article>", "A"),
+    ("<p>one <span class='ad'>buy</span>two</p><div class='cookie-notice'>B</div><div class='sidebar-2'>C</div>", "one two"),
+    ("<div class='notice'><p>A</p></div><footer>B</footer>", "A"),
+])
+def test_main_text_survives_names(page, want):
+    assert style_tree.main_text(page) == want
+
+
 def test_style_tree_cuts_what_pages_share(spark):
     def page(i):
         return (f"<body><div><p>Home</p><p>Shop</p></div><div><h1>T{i}</h1><p>text {i} of this page</p></div>"
