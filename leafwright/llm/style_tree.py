@@ -4,7 +4,8 @@ The pages of a host share templates.  Their trees are merged: container elements
 tags, classes and places among like siblings are one node of the host's style tree.  A node is important if its pages disagree, in
 presentation (the entropy of its child sequences) or in content (how few pages share the texts below
 it); a menu, notice or advert that looks and reads alike everywhere has importance near zero, and that
-branch is cut from each page.  Importance mixes both as ``(1 - g^l) * presentation + g^l * content`` for
+branch is cut from each page.  Only branches on many different pages of the host are judged; copies of a page
+are one page, so what they share with each other is no template.  Importance mixes both as ``(1 - g^l) * presentation + g^l * content`` for
 ``l`` presentations, so one fixed presentation is judged by its content.
 
 Elements that say what they are (``nav``, ``footer``, ``class="cookie-notice"``, ...) are cut whatever
@@ -18,7 +19,8 @@ counted to be small, else pages meet it by a join on the host that may be split.
 by one with patterns that cannot backtrack over a page.
 
 Defined results: a null or empty page has an empty text; a null or odd address belongs to the host "";
-on hosts with fewer than ``MIN_PAGES`` pages nothing is cut for its importance; if the cuts would leave
+what fewer than
+``MIN_PAGES`` different pages of a host or less than ``MIN_SHARE`` of them hold is not cut for its importance; if the cuts would leave
 nothing, only named elements are cut; repeated rows are extracted alike; an empty table gives an empty
 result; other columns pass through, and columns named like an added one are replaced.
 """
@@ -31,7 +33,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafwright.llm.common import read, schema_with
@@ -39,6 +41,7 @@ from leafwright.llm.registry import query
 from leafwright.session import stored
 
 MIN_PAGES = 4
+MIN_SHARE = 0.1
 LOW = 0.35
 DECAY = 0.9
 DEPTH = 64  # deeper elements count as parts of their ancestor at this depth
@@ -87,10 +90,9 @@ _NAMES = re.compile(r"[A-Za-z]+")
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)")
 
 
-def host_of(url: str | None) -> str:
+def host_of(url: str) -> Column:
     """The host of an address, or the empty one."""
-    found = _HOST.match(url or "")
-    return found.group(1).lower() if found else ""
+    return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), _HOST.pattern, 1))
 
 
 class _Open:
@@ -244,14 +246,18 @@ def main_text(page: str | None, low: frozenset[int] = frozenset()) -> str:
 
 
 def count_nodes(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """host, path, kind, value, pages: of how many pages a node has a presentation (kind 0), a text
-    below it (1), or is there at all (2)."""
+    """host, path, kind, value, pages: on how many different pages a node has a presentation (kind 0), a text
+    below it (1), or is there at all (2).  Path 0 is the host itself."""
+    different = (
+        pages.select(host_of(url).alias("host"), F.col(html).alias("html")).filter("html is not null")
+        .groupBy("host", F.md5("html")).agg(F.first("html").alias("html")).select("host", "html")
+    )
 
     def run(batches):
         for b in batches:
             total: Counter = Counter()
-            for address, page in zip(b.column(url).to_pylist(), b.column(html).to_pylist()):
-                seen: set = set()
+            for host, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
+                seen: set = {(0, 2, 0)}
 
                 def close(element, seen=seen):
                     if element.tag in NEVER_CUT:
@@ -261,7 +267,6 @@ def count_nodes(pages: DataFrame, url: str, html: str) -> DataFrame:
                     seen.update((element.path, 1, t) for t in element.texts)
 
                 walk(page, close=close)
-                host = host_of(address)
                 total.update((host, *s) for s in seen)
             keys = list(total)
             columns = list(zip(*keys)) if keys else [(), (), (), ()]
@@ -276,7 +281,7 @@ def count_nodes(pages: DataFrame, url: str, html: str) -> DataFrame:
                 ["host", "path", "kind", "value", "pages"],
             )
 
-    return pages.select(url, html).mapInArrow(run, "host string, path long, kind int, value long, pages long")
+    return different.mapInArrow(run, "host string, path long, kind int, value long, pages long")
 
 
 def hash_of(text: str) -> int:
@@ -306,13 +311,20 @@ def importance(nodes: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """``pages`` without ``html``, with ``text`` and ``n_chars``."""
-    low = stored(importance(count_nodes(pages, url, html)).filter(F.col("importance") < LOW).select("host", "path"))
-    per_host = low.groupBy("host").agg(F.collect_set("path").alias("__low")).withColumnRenamed("host", "__host")
-    if low.count() <= SMALL:
+    low = stored(
+        importance(count_nodes(pages, url, html)).filter((F.col("importance") < LOW) | (F.col("path") == 0))
+        .select("host", "path", "pages")
+    )
+    nodes, node = F.col("path") != 0, F.struct("path", "pages")
+    per_host = (
+        low.groupBy("host").agg(F.collect_set(F.when(nodes, node)).alias("nodes"), F.max(F.when(~nodes, F.col("pages"))).alias("all"))
+        .select(F.col("host").alias("__host"), F.filter("nodes", lambda n: n.pages >= MIN_SHARE * F.col("all")).alias("nodes"))
+        .filter(F.size("nodes") > 0).select("__host", F.col("nodes.path").alias("__low"))
+    )
+    if low.filter(nodes).count() <= SMALL:
         per_host = F.broadcast(per_host)
     kept = [c for c in pages.columns if c not in (html, "text", "n_chars")]
-    host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), _HOST.pattern, 1))
-    joined = pages.select(*kept, html).join(per_host, host == F.col("__host"), "left").drop("__host")
+    joined = pages.select(*kept, html).join(per_host, host_of(url) == F.col("__host"), "left").drop("__host")
     schema = schema_with(pages.select(*kept), text="string", n_chars="long")
 
     def run(batches):

@@ -485,6 +485,22 @@ def test_main_text_survives_names(page, want):
     assert style_tree.main_text(page) == want
 
 
+def test_style_tree_keeps_what_copies_share(spark):
+    inner = ["<ul><li>B</li></ul>", "<table><tr><td>B</td></tr></table>"]
+    rows = []
+    for k, part in enumerate(inner):
+        rows += [(100 * k + i, f"https://h{k}.example/{i}", f"<article><p>A</p>{part}</article>") for i in range(6)]
+        near = "<article><p>C{i}</p><div>D</div>" + part + "</article>"
+        rows += [(100 * k + 10 + i, f"https://h{k}.example/n{i}", near.replace("{i}", str(i))) for i in range(4)]
+        rows += [
+            (100 * k + 20 + i, f"https://h{k}.example/o{i}", f"<article><p>T{i}</p></article>") for i in range(60)
+        ]
+    got = {r.page_id: r.text for r in style_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in (0, 100):
+        assert [got[k + i] for i in range(6)] == ["A\n\nB"] * 6
+        assert [got[k + 10 + i] for i in range(4)] == [f"C{i}\n\nD\n\nB" for i in range(4)]
+
+
 def test_style_tree_cuts_what_pages_share(spark):
     def page(i):
         return (f"<body><div><p>Home</p><p>Shop</p></div><div><h1>T{i}</h1><p>text {i} of this page</p></div>"
