@@ -51,7 +51,5 @@ def n_words(text: str | Column) -> Column:
 
 def schema_with(rows: DataFrame, **added: str) -> StructType:
     """A frame's schema with further columns; ``add`` on the frame's own schema would change the frame."""
-    schema = StructType(list(rows.schema.fields))
-    for name, kind in added.items():
-        schema = schema.add(name, kind)
-    return schema
+    extra = StructType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in added.items()))
+    return StructType(list(rows.schema.fields) + extra.fields)

@@ -27,7 +27,7 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 @pytest.fixture(scope="module")
 def con():
     connection = duckdb.connect()
-    for name in ("documents", "embeddings"):
+    for name in ("documents", "embeddings", "benchmark"):
         connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     return connection
 
