@@ -38,9 +38,9 @@ TAGS = rf"""
 pieces AS (
   SELECT page_id, url, unnest(p) AS piece, generate_subscripts(p, 1) AS ord FROM (
     SELECT page_id, url, regexp_extract_all(
-      regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'),
-        '(?is)(<script\b[^>]*>).*?</script>', '\1</script>', 'g'),
-        '(?is)(<style\b[^>]*>).*?</style>', '\1</style>', 'g'),
+      regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?(?:-->|\z)', '', 'g'),
+        '(?is)(<script\b[^<>]*>).*?(?:</script>|\z)', '\1</script>', 'g'),
+        '(?is)(<style\b[^<>]*>).*?(?:</style>|\z)', '\1</style>', 'g'),
       '{_PIECE}', 0) AS p FROM pages)),
 tags AS (
   SELECT page_id, url, ord::BIGINT AS ord, regexp_extract(piece, '{_PIECE}', 1) = '/' AS closing,

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from leafwright.bindings.registry import HREF, TAGS, query
 from leafwright.functions.uri import is_relative_link
 from leafwright.operators.findings import raise_rules, summary, union_findings
+from leafwright.operators.nesting import with_owners
 from leafwright.rules import category_of
 from leafwright.rules import rules as rule_dimension
 from leafwright.session import literal_frame, stored, table
@@ -205,12 +206,19 @@ def document_xml(spark: SparkSession, sf: str) -> DataFrame:
 )
 def a3_xml_nodes(spark: SparkSession, sf: str) -> DataFrame:
     """Flat XML shredded to nodes; documents with a type declaration give one problem row."""
-    nodes = shred_xml(document_xml(spark, sf))
-    return nodes.select(
+    nodes = stored(shred_xml(document_xml(spark, sf)))
+    key = ["doc_id", "part", "node_id"]
+    # The path is spelled out from the pairs of the structural join: every element with those above it.
+    pairs = with_owners(nodes.filter("problem IS NULL").select(*key, "last_id", "tag"), F.lit(True))
+    steps = F.sort_array(F.collect_list(F.struct("owner_id", "owner_tag")))
+    paths = pairs.filter("owner_id <> node_id").groupBy(*key).agg(
+        F.array_join(F.transform(steps, lambda s: s["owner_tag"]), "/").alias("above")
+    )
+    placed = nodes.join(paths, key, "left")
+    return placed.select(
         "doc_id", "node_id", "parent_id", F.col("ord").cast("long"), F.col("depth").cast("long"),
         "tag", "text", F.col("attrs")["text:style-name"].alias("style"),
-        F.array_join(F.transform("ancestors", lambda a: a["tag"]), "/").alias("above"),
-        "problem",
+        F.when(F.col("problem").isNull(), F.coalesce("above", F.lit(""))).alias("above"), "problem",
     )
 
 

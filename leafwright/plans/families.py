@@ -41,10 +41,8 @@ def _at(kind: str, pos: Column) -> Column:
 
 def table_cells(body: DataFrame, said: DataFrame) -> DataFrame:
     """Cells with logical position (1-based), spans, header state, value type and words."""
-    owner = odf.innermost(F.filter("ancestors", lambda a: a["tag"] == "table:table"))["id"]
-    inside = lambda wrapper: F.exists(
-        "ancestors", lambda a: (a["tag"] == wrapper) & (a["id"] > owner)
-    )
+    owner = odf.nearest("table:table")
+    inside = lambda wrapper: F.coalesce(odf.nearest(wrapper) > owner, F.lit(False))
     key = ["doc_id", "table_id"]
     rows = body.filter("flow AND tag = 'table:table-row'").select(
         "doc_id", owner.alias("table_id"), F.col("node_id").alias("row_id"),
@@ -103,13 +101,12 @@ def table_findings(cells: DataFrame) -> DataFrame:
 
 def sheet_findings(body: DataFrame, cells: DataFrame) -> DataFrame:
     """SHEET003 for empty sheets after the last filled one, ORDER003 for hidden rows and columns."""
-    sheets = body.filter((F.col("tag") == "table:table") & (odf.innermost(F.col("above")) == "office:spreadsheet"))
+    sheets = body.filter((F.col("tag") == "table:table") & (F.col("parent_tag") == "office:spreadsheet"))
     shown = cells.filter("sheet").groupBy("doc_id", F.col("table_id").alias("node_id")).agg(
         F.bool_or(~is_blank(F.col("words"))).alias("filled")
     )
     drawn = body.filter(F.col("tag").startswith("draw:") & _under("office:spreadsheet"))
-    table_above = odf.innermost(F.filter("ancestors", lambda a: a["tag"] == "table:table"))["id"]
-    drawn = drawn.groupBy("doc_id", table_above.alias("node_id")).agg(F.lit(True).alias("drawn"))
+    drawn = drawn.groupBy("doc_id", odf.nearest("table:table").alias("node_id")).agg(F.lit(True).alias("drawn"))
     both = sheets.join(shown, ["doc_id", "node_id"], "left").join(drawn, ["doc_id", "node_id"], "left")
     no = F.lit(False)
     empty = ~F.coalesce("filled", no) & ~F.coalesce("drawn", no)
@@ -134,7 +131,7 @@ def page_findings(body: DataFrame) -> DataFrame:
     titles = titles.groupBy("doc_id", "node_id").agg(F.max("title").alias("title"))
     named = pages.join(titles, ["doc_id", "node_id"], "left").withColumn("name", _attr("draw:name"))
     listed = pages.select("doc_id", F.col("node_id").alias("page_id"), _attr("draw:nav-order").alias("nav_order"))
-    shapes = body.filter(F.col("tag").isin(SHAPES) & (odf.innermost(F.col("above")) == "draw:page")).select(
+    shapes = body.filter(F.col("tag").isin(SHAPES) & (F.col("parent_tag") == "draw:page")).select(
         "doc_id", F.col("parent_id").alias("page_id"), F.coalesce(_attr("xml:id"), _attr("draw:id")).alias("shape_id")
     )
     order = graph.navigation(
@@ -150,7 +147,7 @@ def page_findings(body: DataFrame) -> DataFrame:
 def math_findings(nodes: DataFrame) -> DataFrame:
     """MATH001-004 of formula documents: a MathML root, a meaning, spoken text, no outside content."""
     ok = nodes.filter("problem IS NULL AND part = 'content'")
-    above = F.transform("ancestors", lambda a: _local(a["tag"]))
+    above = F.transform(F.map_keys("nearest"), _local)
     docs = ok.filter((F.col("tag") == "math:math") & F.col("parent_id").isNull()).select("doc_id").distinct()
     rows = ok.join(docs, "doc_id", "left_semi").select(
         "doc_id", _local(F.col("tag")).alias("tag"), F.col("parent_id").isNull().alias("root"), "text", _attr("alttext").alias("alttext"),
@@ -206,7 +203,7 @@ def database_findings(body: DataFrame, nodes: DataFrame, members: DataFrame) ->
         F.when(tag == "office:database", "database")
         .when(tag.isin("db:connection-resource", "db:file-based-database", "db:server-database"), "connection")
         .when(tag == "db:login", "login").when(tag == "db:query", "query").when(tag == "db:component", "component")
-        .when(odf.innermost(F.col("ancestors"))["tag"] == "office:scripts", "script")
+        .when(F.col("parent_tag") == "office:scripts", "script")
     )
     rows = ok.select("doc_id", kind.alias("tag"), F.coalesce(_attr("xlink:href"), F.lit("")).alias("href"), _attr("db:user-name").alias("user"))
     name = F.coalesce(*[F.when(tag == t, _attr(a)) for t, a in SETTINGS.items()])
@@ -214,9 +211,11 @@ def database_findings(body: DataFrame, nodes: DataFrame, members: DataFrame) ->
     own = ok.filter(tag.isin(list(SETTINGS))).select("doc_id", "node_id", name.alias("name"), kind_of.alias("kind"), F.col("text").alias("value"))
     values = ok.filter(tag == "db:data-source-setting-value").select("doc_id", F.col("parent_id").alias("node_id"), F.col("text").alias("v"))
     settings = own.join(values, ["doc_id", "node_id"], "left").withColumn("value", F.coalesce("v", "value"))
-    path = F.array_join(F.concat("above", F.array("tag")), "/")
+    # A name is one of its collection or table, or of the database.
+    holder = odf.nearest("office:database", "db:query-collection", "db:component-collection", "db:table-representation")
+    path = F.concat(F.lit("content/"), F.lit("holder["), holder, F.lit("]/"), _local(F.col("tag")))
     objects = body.filter(F.col("tag").isin("db:query", "db:component", "db:table-representation", "db:column")).select(
-        "doc_id", F.concat(path, F.lit("/"), F.coalesce(_attr("db:name"), F.lit(""))).alias("path"), _attr("db:description").alias("description")
+        "doc_id", F.concat(path, F.lit("[name="), F.coalesce(_attr("db:name"), F.lit("")), F.lit("]")).alias("path"), _attr("db:description").alias("description")
     )
     return fo.union_findings(
         fo.raise_rule(documents.audit_database(rows.filter("tag IS NOT NULL"), members), F.col("rule_id"), details={"count": F.col("n")}),

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafwright.operators.structure import list_level
+from leafwright.operators.nesting import with_enclosing, with_owners
 from leafwright.session import stored
 from leafwright.sources.corpus import ROW_BYTES
 from leafwright.sources.xml import shred_xml
@@ -27,6 +27,16 @@ SEPARATORS = ["text:s", "text:tab", "text:line-break", "text:p", "text:h"]
 HIDDEN = ["svg:title", "svg:desc", "office:binary-data"]
 EXCLUDED = ["office:annotation", "text:tracked-changes", "text:hidden-text", "text:conditional-text"]
 BOUNDARIES = ["table:table-cell", "table:covered-table-cell", "draw:text-box"]
+# What a check asks for above a node; every other element leaves no mark on what is below it.
+WATCHED = [
+    *EXCLUDED, *HIDDEN, *BOUNDARIES, "office:body", "office:spreadsheet", "office:chart", "office:image", "office:scripts",
+    "office:database", "text:note", "text:a", "text:list", "text:list-item", "text:section", "text:event-listeners",
+    "draw:page", "draw:a", "draw:control", "form:control", "form:event-listeners", "office:event-listeners", "script:event-listener",
+    "table:table", "table:table-header-rows", "table:table-header-columns", "chart:title", "math:annotation",
+    "math:annotation-xml", "math:mphantom", "db:query-collection", "db:component-collection", "db:table-representation",
+]
+HIDING = "#hidden"  # the mark of a section that hides what is in it
+UNKNOWN = "{"  # the mark of an element of another namespace
 PARTS_SCHEMA = "doc_id string, part string, content binary"
 _FLUSH_BYTES = 64 << 20  # unpacked bytes handed back to Spark at once
 
@@ -63,56 +73,59 @@ def document_parts(corpus: DataFrame) -> DataFrame:
     return packed.unionByName(flat)
 
 
+def placed(nodes: DataFrame) -> DataFrame:
+    """Node rows with parent_tag, nearest and level (see ``operators.nesting``); unread documents keep their row."""
+    attr = lambda n: F.col("attrs")[n]
+    # What a section hides, at once or on a condition, is not read.
+    hides = attr("text:display").isin("none", "condition") | attr("text:condition").isNotNull()
+    mark = lambda test, name: F.when(test, name)
+    marks = F.array_compact(
+        F.array(
+            mark(F.col("tag").isin(WATCHED), F.col("tag")), mark(F.col("tag").startswith("{"), F.lit(UNKNOWN)),
+            mark((F.col("tag") == "text:section") & F.coalesce(hides, F.lit(False)), F.lit(HIDING)),
+        )
+    )
+    known = with_enclosing(nodes.filter("problem IS NULL"), marks, "text:list", BOUNDARIES)
+    return known.unionByName(nodes.filter("problem IS NOT NULL"), allowMissingColumns=True)
+
+
 def document_nodes(corpus: DataFrame) -> DataFrame:
     """All node rows of a corpus, shredded once and stored for the checks that read them."""
-    return stored(shred_xml(document_parts(corpus)))
+    return stored(placed(stored(shred_xml(document_parts(corpus)))))
 
 
-def innermost(ancestors: Column) -> Column:
-    """The last element of an outermost-first array; null for an empty one."""
-    return F.get(ancestors, F.size(ancestors) - 1)
+def nearest(*tags: str) -> Column:
+    """The id of the innermost element above with one of the tags; null without one."""
+    ids = [F.col("nearest")[t] for t in tags]
+    return F.greatest(*ids) if len(ids) > 1 else ids[0]
 
 
-def tags_above(nodes: DataFrame) -> Column:
-    return F.transform("ancestors", lambda a: a["tag"])
+def above(tag: str) -> Column:
+    return F.col("nearest")[tag].isNotNull()
 
 
-def in_flow(self_too: Column) -> Column:
-    """Whether neither the node nor an ancestor leaves the current reading flow."""
-    return ~F.exists(self_too, lambda t: t.isin(EXCLUDED) | t.startswith("{"))
+def in_flow(tag: Column | None = None) -> Column:
+    """Whether no ancestor, nor an element of that tag itself, leaves the current reading flow."""
+    out = F.arrays_overlap(F.map_keys("nearest"), F.array(*[F.lit(t) for t in (*EXCLUDED, UNKNOWN, HIDING)]))
+    return ~out if tag is None else ~out & ~tag.isin(EXCLUDED) & ~tag.startswith("{")
 
 
 def body(nodes: DataFrame) -> DataFrame:
-    """Readable nodes of the body with their ancestor tags, level and reading context."""
-    above = tags_above(nodes)
-    kept = nodes.filter("problem IS NULL AND part = 'content'").withColumn("above", above)
-    inside = F.array_contains("above", "office:body")
-    owner = innermost(
-        F.filter("ancestors", lambda a: a["tag"].isin("text:note", "draw:text-box", "draw:page", "table:table"))
+    """Readable nodes of the body with the tags above them, their level and reading context."""
+    owners = ["text:note", "draw:text-box", "draw:page", "table:table"]
+    rows = nodes.filter("problem IS NULL AND part = 'content'").filter(above("office:body"))
+    owner = nearest(*owners)
+    kind = F.coalesce(*[F.when(F.col("nearest")[t] == owner, t) for t in owners])
+    place = F.concat(F.split_part(kind, F.lit(":"), F.lit(-1)), F.lit("["), owner, F.lit("]"))
+    own_context = owner.isNotNull() & ((kind != "table:table") | above("office:spreadsheet"))
+    context = F.when(own_context, F.concat(F.lit("content/"), place)).otherwise("content")
+    hides = (F.col("tag") == "text:section") & F.coalesce(
+        F.col("attrs")["text:display"].isin("none", "condition") | F.col("attrs")["text:condition"].isNotNull(), F.lit(False)
     )
-    place = F.concat(F.split_part(owner["tag"], F.lit(":"), F.lit(-1)), F.lit("["), owner["id"], F.lit("]"))
-    context = F.when(
-        owner.isNotNull() & ((owner["tag"] != "table:table") | F.array_contains("above", "office:spreadsheet")),
-        F.concat(F.lit("content/"), place),
-    ).otherwise("content")
-    rows = kept.filter(inside).withColumn("context", context)
-    # What a section hides, at once or on a condition, is not read; its nodes know the sections above them.
-    attr = lambda n: F.col("attrs")[n]
-    hides = attr("text:display").isin("none", "condition") | attr("text:condition").isNotNull()
-    hiding = rows.filter((F.col("tag") == "text:section") & F.coalesce(hides, F.lit(False))).select(
-        "doc_id", F.col("node_id").alias("__section")
-    )
-    self_ = F.struct(F.col("node_id").alias("id"), F.col("tag").alias("tag"))
-    sections = F.filter(F.concat("ancestors", F.array(self_)), lambda a: a["tag"] == "text:section")
-    hidden = (
-        rows.select("doc_id", "node_id", F.explode(sections).alias("__s"))
-        .select("doc_id", "node_id", F.col("__s.id").alias("__section"))
-        .join(hiding, ["doc_id", "__section"], "left_semi")
-        .groupBy("doc_id", "node_id").agg(F.lit(True).alias("hidden"))
+    return (
+        rows.withColumn("above", F.map_keys("nearest")).withColumn("context", context)
+        .withColumn("hidden", above(HIDING) | hides).withColumn("flow", in_flow(F.col("tag")) & ~hides)
     )
-    marked = rows.join(hidden, ["doc_id", "node_id"], "left").fillna(False, ["hidden"])
-    flow = in_flow(F.concat("above", F.array("tag"))) & ~F.col("hidden")
-    return marked.withColumn("flow", flow)
 
 
 def words(nodes: DataFrame, owners: list[str]) -> DataFrame:
@@ -121,37 +134,33 @@ def words(nodes: DataFrame, owners: list[str]) -> DataFrame:
     Each text piece is sent to the owners above it and joined in reading order: a text counts at
     its node, a tail after the node's last descendant.
     """
-    rows = nodes.filter("problem IS NULL AND part = 'content'")
-    self_ = F.struct(F.col("node_id").alias("id"), F.col("tag").alias("tag"))
-    listed = lambda a: F.filter(a, lambda x: x["tag"].isin(owners))
-    shown = ~F.col("tag").isin(HIDDEN) & ~F.exists("ancestors", lambda a: a["tag"].isin(HIDDEN))
-    gap = F.when(F.col("tag").isin(SEPARATORS), " ").otherwise("")
-    text = F.struct(
-        F.col("node_id").alias("at"), F.lit(0).alias("late"), F.lit(0).alias("deep"),
-        F.when(shown, F.concat(gap, F.coalesce("text", F.lit("")))).otherwise("").alias("piece"),
-        listed(F.concat("ancestors", F.array(self_))).alias("to"),
-    )
-    tail = F.struct(
-        F.col("last_id").alias("at"), F.lit(1).alias("late"), (-F.col("depth")).alias("deep"),
-        F.coalesce("tail", F.lit("")).alias("piece"), listed(F.col("ancestors")).alias("to"),
-    )
-    pieces = rows.select("doc_id", F.explode(F.array(text, tail)).alias("p")).filter("p.piece <> ''")
-    sent = pieces.select("doc_id", F.explode("p.to").alias("o"), "p")
-    ordered = F.sort_array(F.collect_list(F.struct("p.at", "p.late", "p.deep", "p.piece")))
-    joined = F.array_join(F.transform(ordered, lambda s: s["piece"]), "")
     from leafwright.functions.text import visible_words
 
-    return sent.groupBy("doc_id", F.col("o.id").alias("node_id")).agg(visible_words(joined).alias("words"))
+    rows = nodes.filter("problem IS NULL AND part = 'content'")
+    shown = ~F.col("tag").isin(HIDDEN) & ~F.arrays_overlap(F.map_keys("nearest"), F.array(*[F.lit(t) for t in HIDDEN]))
+    gap = F.when(F.col("tag").isin(SEPARATORS), " ").otherwise("")
+    said = F.when(shown, F.concat(gap, F.coalesce("text", F.lit("")))).otherwise("")
+    pieces = rows.select(
+        "doc_id", "part", "node_id", "last_id", "tag", "depth", said.alias("said"), F.coalesce("tail", F.lit("")).alias("tail")
+    )
+    # Only what says something, and the owners themselves, go through the join.
+    pieces = pieces.filter((F.col("said") != "") | (F.col("tail") != "") | F.col("tag").isin(owners))
+    sent = with_owners(pieces, F.col("tag").isin(owners))
+    piece = lambda at, late, deep, text: F.struct(at.alias("at"), F.lit(late).alias("late"), deep.alias("deep"), text.alias("piece"))
+    text = piece(F.col("node_id"), 0, F.lit(0), F.col("said"))
+    tail = F.when(F.col("owner_id") != F.col("node_id"), piece(F.col("last_id"), 1, -F.col("depth"), F.col("tail")))
+    listed = sent.select("doc_id", "owner_id", F.explode(F.array_compact(F.array(text, tail))).alias("p")).filter("p.piece <> ''")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda s: s["piece"]), "")
+    return listed.groupBy("doc_id", F.col("owner_id").alias("node_id")).agg(visible_words(joined).alias("words"))
 
 
 def lists_of(nodes: DataFrame) -> DataFrame:
     """Lists in the layout the continuation check reads."""
     rows = body(nodes).filter("tag = 'text:list' AND flow")
-    boundary = innermost(F.filter("ancestors", lambda a: a["tag"].isin(BOUNDARIES)))["id"]
-    domain = F.concat_ws("#", "context", boundary.cast("string"))
+    domain = F.concat_ws("#", "context", nearest(*BOUNDARIES).cast("string"))
     return rows.select(
         "doc_id", F.col("node_id").alias("list_id"), domain.alias("context"),
-        list_level(F.col("above"), "text:list", BOUNDARIES).alias("level"),
+        "level",
         F.col("attrs")["text:style-name"].alias("style"), F.col("attrs")["xml:id"].alias("xml_id"),
         F.col("attrs")["text:continue-list"].alias("continue_list"),
         F.col("attrs")["text:continue-numbering"].alias("continue_numbering"),

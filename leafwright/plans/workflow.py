@@ -43,7 +43,7 @@ def _kind_findings(corpus: DataFrame, nodes: DataFrame) -> DataFrame:
     tag, root = F.col("tag"), F.col("parent_id").isNull()
     ok = nodes.filter("problem IS NULL")
     entry = tag.eqNullSafe("manifest:file-entry") & (attr("manifest:full-path") == "/")
-    under = lambda name: odf.innermost(F.col("ancestors"))["tag"] == name
+    under = lambda name: F.col("parent_tag") == name
     pick = lambda test, value: F.max(F.when(test, value))
     agg = ok.groupBy("doc_id").agg(
         pick(root & (F.col("part") == "content"), tag).alias("root"),
@@ -102,7 +102,7 @@ def _text_findings(nodes: DataFrame) -> DataFrame:
     outside = ~F.array_contains("above", "text:a")
     own = flow.filter(F.col("tag").isin("text:p", "text:h", "text:span") & outside)
     after = body.filter(
-        odf.innermost(F.col("above")).isin("text:p", "text:h", "text:span") & outside & odf.in_flow(F.col("above")) & ~F.col("hidden")
+        F.col("parent_tag").isin("text:p", "text:h", "text:span") & outside & odf.in_flow() & ~F.col("hidden")
     )
     raw_of = lambda c: F.explode(words_.addresses(F.coalesce(c, F.lit("")))).alias("raw")
     prose = own.select("doc_id", "node_id", raw_of("text")).unionByName(after.select("doc_id", "node_id", raw_of("tail")))
@@ -117,9 +117,8 @@ def _text_findings(nodes: DataFrame) -> DataFrame:
     twice = fo.duplicates(lists.filter("xml_id IS NOT NULL"), ["doc_id", "xml_id"])
     edges = stored(structure.continuations(lists))
     circles = graph.cycles(edges.select("doc_id", F.col("list_id").alias("node"), F.col("continues").alias("next")))
-    parents = structure.attach_parent(body, ["tag"])
     member = structure.list_membership(
-        parents.withColumn("continue_numbering", attr("text:continue-numbering")), "text:list", "text:list-item", "text:list-header"
+        body.withColumn("continue_numbering", attr("text:continue-numbering")), "text:list", "text:list-item", "text:list-header"
     )
     bad_lists = member.select(
         "doc_id", "node_id", F.explode(F.array_compact(F.array(
@@ -220,7 +219,7 @@ def _object_findings(nodes: DataFrame) -> DataFrame:
         F.transform("above", lambda t: F.split_part(t, F.lit(":"), F.lit(-1))).alias("ancestors"),
     )
     frames = stored(frames)
-    sheets = body.filter((F.col("tag") == "table:table") & (odf.innermost(F.col("above")) == "office:spreadsheet"))
+    sheets = body.filter((F.col("tag") == "table:table") & (F.col("parent_tag") == "office:spreadsheet"))
     from leafwright.functions.names import name_rule
 
     named = sheets.withColumn("rule_id", name_rule(F.coalesce(attr("table:name"), F.lit("")))).filter("rule_id IS NOT NULL")

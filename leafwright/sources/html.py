@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafwright.operators.sequence import BLOCK, running_max, running_sum, scan
-from leafwright.session import stored
+from leafwright.operators.nesting import match, match_in_order
 
 # What counts as one tag, and the elements that never open a level because they are
 # void or are commonly left unclosed.  A tag ends at the next "<" at the latest; nothing is taken back
@@ -19,10 +18,13 @@ p b i em strong span u s small font option dt dd
 
 
 def cleaned(html: Column) -> Column:
-    """A page without comments and without the bodies of scripts and styles."""
-    bare = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    bare = F.regexp_replace(bare, r"(?is)(<script\b[^>]*>).*?</script>", "$1</script>")
-    return F.regexp_replace(bare, r"(?is)(<style\b[^>]*>).*?</style>", "$1</style>")
+    """A page without comments and without the bodies of scripts and styles.
+
+    What is opened and never closed runs to the end of the page, so every character is looked at once.
+    """
+    bare = F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", "")
+    bare = F.regexp_replace(bare, r"(?is)(<script\b[^<>]*+>).*?(?:</script>|\z)", "$1</script>")
+    return F.regexp_replace(bare, r"(?is)(<style\b[^<>]*+>).*?(?:</style>|\z)", "$1</style>")
 
 
 def shred_html(pages: DataFrame, doc: str = "page_id", html: str = "html") -> DataFrame:
@@ -51,31 +53,20 @@ def attribute(attrs: Column, name: str) -> Column:
     return F.when(attrs.rlike(pattern), value)
 
 
-def with_tree(events: DataFrame, doc: str = "page_id", block=BLOCK) -> DataFrame:
+def _step() -> Column:
+    """1 for an event that opens a level, -1 for one that closes one, else 0."""
+    level = ~F.col("tag").isin(FLAT)
+    return F.when(level & ~F.col("closing"), 1).when(level & F.col("closing"), -1).otherwise(0)
+
+
+def with_tree(events: DataFrame, doc: str = "page_id", block: int | None = None) -> DataFrame:
     """Opening events with depth and parent.
 
-    Depth counts the open elements that open a level.  The parent of a node at depth d is the
-    latest opener at depth d-1, found by a scan per (page, level).  The two scans read the events
-    four times, so they are written once instead of shredding the pages again.
+    Depth counts the open elements that open a level.  The events of ``shred_html`` come page by page and
+    are matched where they are; with ``block``, events in any arrangement are dealt by blocks first.
     """
-    events = stored(events)
-    level = ~F.col("tag").isin(FLAT)
-    step = F.when(level & ~F.col("closing"), 1).when(level & F.col("closing"), -1).otherwise(0)
-    deep = scan(events, [doc], "ord", {"__open": running_sum(step.cast("long"), False)}, block)
-    opened = deep.filter(~F.col("closing")).withColumn("depth", F.col("__open") + 1)
-    ends = F.array(
-        F.struct(F.col("depth").alias("level"), F.lit(False).alias("opener")),
-        F.when(level, F.struct((F.col("depth") + 1).alias("level"), F.lit(True).alias("opener"))),
-    )
-    rows = opened.withColumn("__end", F.explode(F.array_compact(ends))).select(
-        *[c for c in opened.columns if c != "__open"],
-        F.col("__end.level").alias("__level"),
-        F.col("__end.opener").alias("__opener"),
-    )
-    opener = F.when(F.col("__opener"), F.struct(F.col("ord").alias("o"), F.col("tag").alias("t")))
-    found = scan(rows, [doc, "__level"], "ord", {"__parent": running_max(opener, False)}, block)
-    return found.filter(~F.col("__opener")).select(
-        *[c for c in opened.columns if c != "__open"],
-        F.col("__parent.o").alias("parent_ord"),
-        F.col("__parent.t").alias("parent_tag"),
-    )
+    if block is None:
+        deep = match_in_order(events, doc, "ord", "tag", _step())
+    else:
+        deep = match(events, doc, "ord", "tag", _step(), block)
+    return deep.filter(~F.col("closing"))

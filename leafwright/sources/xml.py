@@ -1,7 +1,8 @@
 """XML documents as node rows.
 
 The one parser used is the standard library's, inside a task, one document at a time and flushed in
-batches; Spark decides which task reads which document.
+batches; Spark decides which task reads which document.  A node knows its parent and the last node below
+it; what else stands above it is found by ``operators.nesting``.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 NODES = (
     "doc_id string, part string, node_id long, parent_id long, ord int, depth int, tag string, "
     "text string, tail string, attrs map<string,string>, "
-    "ancestors array<struct<id:long,tag:string>>, last_id long, problem string"
+    "last_id long, problem string"
 )
 # Namespace ends and the prefixes they are shown with.
 PREFIXES = {
@@ -70,12 +71,8 @@ class _Shredder:
         self._count += 1
         self._places[-1] += 1
         parent = self._open[-1][0] if self._open else None
-        above = [{"id": row[0], "tag": row[4]} for row in self._open]
         attrs = [(_name(k), v) for k, v in attrib.items()]
-        row = [
-            self._count, parent, self._places[-1], len(self._open) + 1, _name(tag), [], [], attrs,
-            above,
-        ]
+        row = [self._count, parent, self._places[-1], len(self._open) + 1, _name(tag), [], [], attrs]
         self._open.append(row)
         self._places.append(0)
         self._last = None
@@ -122,7 +119,6 @@ _COLUMNS = pa.schema(
         ("doc_id", pa.string()), ("part", pa.string()), ("node_id", pa.int64()), ("parent_id", pa.int64()),
         ("ord", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()), ("text", pa.string()),
         ("tail", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())),
-        ("ancestors", pa.list_(pa.struct([("id", pa.int64()), ("tag", pa.string())]))),
         ("last_id", pa.int64()), ("problem", pa.string()),
     ]
 )
@@ -153,7 +149,7 @@ def shred_xml(parts: DataFrame) -> DataFrame:
                             yield _batch(rows)
                             rows = []
                 except (ET.ParseError, expat.ExpatError, UnicodeError) as error:
-                    rows.append((doc_id.as_py(), part.as_py(), *[None] * 10, type(error).__name__))
+                    rows.append((doc_id.as_py(), part.as_py(), *[None] * 9, type(error).__name__))
         if rows:
             yield _batch(rows)
 

@@ -84,10 +84,11 @@ def test_family(found, name):
 
 def test_formula_checks(spark):
     from leafwright.plans.families import math_findings
+    from leafwright.plans.nodes import placed
     from leafwright.sources.xml import shred_xml
 
     xml = "<math xmlns='http://www.w3.org/1998/Math/MathML' {}>{}</math>"
     rows = [("bad", "content", xml.format("", "<mphantom><mi>x</mi></mphantom><mi> </mi>")), ("good", "content", xml.format("alttext='x'", "<mi>x</mi>"))]
-    nodes = shred_xml(spark.createDataFrame(rows, "doc_id string, part string, content string"))
+    nodes = placed(shred_xml(spark.createDataFrame(rows, "doc_id string, part string, content string")))
     got = {(r["doc_id"], r["rule_id"]) for r in math_findings(nodes).collect()}
     assert got == {("bad", "MATH002"), ("bad", "MATH003")}
