@@ -13,7 +13,7 @@ MAX_RENDER_PIXELS = 20_000_000
 INK_THRESHOLD = 200
 RASTER_TOLERANCE = 0.15
 EXCERPT = 40
-WORD_BLOCK = 256
+RUN = 256  # characters
 
 
 def multiset_diff(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
@@ -60,43 +60,54 @@ def geometry_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def numbered_pages(pages: DataFrame, block=BLOCK) -> DataFrame:
-    """Each page's words with the number of words before it in its document.
+    """Each page's clean text with the characters before it in its document: doc_id, clean, n, offset.
 
-    ``pages``: doc_id, page (long), text.  Only page sizes are scanned; no document is assembled,
-    and moved page breaks do not matter.
+    ``pages``: doc_id, page (long), text.  Only page sizes are scanned; no document is assembled, and moved
+    page breaks do not matter.  A page that says something ends with one space, so ``n`` counts that too.
     """
-    clean = pages.select("doc_id", "page", visible_words(F.col("text")).alias("clean"))
-    spaces = F.length("clean") - F.length(F.replace("clean", F.lit(" "), F.lit("")))
-    n = F.when(F.col("clean") == "", 0).otherwise(spaces + 1).cast("long")
-    # The clean text is read by several branches, most of which need the sizes only.
-    counted = stored(clean.withColumn("n", n))
-    placed = scan(counted, ["doc_id"], "page", {"offset": running_sum(F.col("n"), False)}, block)
-    none = F.array().cast("array<string>")
-    return placed.select(
-        "doc_id", "page", "n", "offset",
-        F.when(F.col("n") == 0, none).otherwise(F.split("clean", " ")).alias("words"),
+    clean = pages.select("doc_id", "page", visible_words(F.col("text")).alias("__c"))
+    counted = stored(
+        clean.withColumn("clean", F.when(F.col("__c") != "", F.concat("__c", F.lit(" "))).otherwise(""))
+        .withColumn("n", F.char_length("clean").cast("long")).drop("__c")
     )
+    placed = scan(counted, ["doc_id"], "page", {"offset": running_sum(F.col("n"), False)}, block)
+    return stored(placed.select("doc_id", "clean", "n", "offset"))
 
 
-def _words(numbered: DataFrame, name: str) -> DataFrame:
-    exploded = numbered.select("doc_id", "offset", F.posexplode("words").alias("__i", name))
-    return exploded.select("doc_id", (F.col("offset") + F.col("__i")).alias("idx"), name)
+def _digest(text: Column) -> Column:
+    """96 bits of a run of characters."""
+    return F.struct(F.xxhash64(text).alias("h"), F.hash(text, F.char_length(text)).alias("i"))
 
 
-def _word_blocks(numbered: DataFrame, side: str) -> DataFrame:
-    """Two digests and the length of every run of ``WORD_BLOCK`` words.
+def _run_digests(numbered: DataFrame, side: str) -> DataFrame:
+    """One digest per document and run of ``RUN`` characters: doc_id, run, ``side``.
 
-    The words of a page follow each other, so nearly everything combines before the shuffle.
+    Runs inside a page are cut and hashed in its row.  Only a page's two edges leave it as text, and what
+    meets in a run is one run long at most.
     """
-    rows = _words(numbered, "w").withColumn("blk", F.col("idx") - F.pmod("idx", F.lit(WORD_BLOCK)))
-    return rows.groupBy("doc_id", "blk").agg(
-        F.struct(
-            F.bit_xor(F.xxhash64("idx", "w")).alias("h1"),
-            F.bit_xor(F.xxhash64("w", "idx")).alias("h2"),
-            F.count("*").alias("n"),
-        ).alias(f"h_{side}"),
-        F.sum(F.length("w") + 1).alias(f"chars_{side}"),
+    rest = F.pmod(F.lit(RUN) - F.pmod("offset", F.lit(RUN)), F.lit(RUN)).cast("int")
+    cut = numbered.filter("n > 0").withColumn("__head", F.least(rest, F.col("n").cast("int")))
+    tail = F.substr("clean", F.col("__head") + 1)
+    cut = cut.withColumn("__runs", F.regexp_extract_all(tail, F.lit(f"(?s).{{1,{RUN}}}"), F.lit(0)))
+    last = F.get("__runs", F.size("__runs") - 1)
+    odd = F.coalesce(F.char_length(last) < RUN, F.lit(False))
+    inner = F.when(odd, F.slice("__runs", 1, F.greatest(F.size("__runs") - 1, F.lit(0)))).otherwise(F.col("__runs"))
+    first = F.ceil((F.col("offset") / RUN)).cast("long")  # the first run that starts in the page
+    cut = cut.withColumn("__first", first)
+    whole = cut.select("doc_id", "__first", F.posexplode(F.transform(inner, _digest)).alias("__i", side)).select(
+        "doc_id", (F.col("__first") + F.col("__i")).alias("run"), side
+    )
+    piece = lambda run, start, text: F.struct(run.alias("run"), start.alias("start"), text.alias("text"))
+    edges = F.array_compact(
+        F.array(
+            F.when(F.col("__head") > 0, piece(F.col("__first") - 1, F.col("offset"), F.substr("clean", F.lit(1), F.col("__head")))),
+            F.when(odd, piece(F.col("__first") + F.size("__runs") - 1, F.col("offset") + F.col("n") - F.char_length(last), last)),
+        )
     )
+    pieces = cut.select("doc_id", F.explode(edges).alias("p"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p.start", "p.text"))), lambda p: p["text"]), "")
+    met = pieces.groupBy("doc_id", F.col("p.run").alias("run")).agg(_digest(joined).alias(side))
+    return whole.unionByName(met)
 
 
 def _common_prefix(a: Column, b: Column) -> Column:
@@ -105,90 +116,45 @@ def _common_prefix(a: Column, b: Column) -> Column:
     return F.when(miss == 0, F.size(pairs)).otherwise(miss - 1)
 
 
+def _around(numbered: DataFrame, spots: DataFrame, low: Column, high: Column, name: str) -> DataFrame:
+    """The characters from ``low`` to ``high`` of each document in ``spots``; a few hundred at most."""
+    rows = numbered.join(spots.select("doc_id", low.alias("__low"), high.alias("__high")), "doc_id")
+    rows = rows.filter((F.col("offset") < F.col("__high")) & (F.col("offset") + F.col("n") > F.col("__low")))
+    start = F.greatest(F.col("__low") - F.col("offset"), F.lit(0))
+    end = F.least(F.col("__high") - F.col("offset"), F.col("n"))
+    text = F.substr("clean", (start + 1).cast("int"), (end - start).cast("int"))
+    ordered = F.sort_array(F.collect_list(F.struct("offset", text.alias("text"))))
+    return rows.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda p: p["text"]), "").alias(name))
+
+
 def first_diff(before: DataFrame, after: DataFrame, block=BLOCK) -> DataFrame:
     """FIDELITY003: character position of the first difference in the normalised text.
 
-    If one text is a prefix of the other the position is the shorter length.  Runs of words are
-    compared by digest first, so only the words around the first unlike run are joined.  The
-    excerpts hold up to 40 characters on either side, rebuilt from those words.
+    If one text is a prefix of the other the position is the shorter length.  Aligned runs of characters are
+    compared by digest, so only the texts around the first unlike run are read again.  The excerpts hold up
+    to 40 characters on either side.
     """
     source, target = numbered_pages(before, block), numbered_pages(after, block)
-    # Both small results below are read more than once, hence written once: one row per run of
-    # words, then at most three runs of words per differing document.
-    blocks = stored(
-        _word_blocks(source, "a").join(_word_blocks(target, "b"), ["doc_id", "blk"], "full")
-    )
-    unlike = ~F.col("h_a").eqNullSafe(F.col("h_b"))
-    first = (
-        blocks.groupBy("doc_id").agg(F.min(F.when(unlike, F.col("blk"))).alias("first")).filter("first IS NOT NULL")
-    )
-    # Characters before the first unlike block: those blocks are equal on both sides.
-    led = (
-        blocks.join(first, "doc_id")
-        .groupBy("doc_id", "first")
-        .agg(
-            F.coalesce(F.sum(F.when(F.col("blk") < F.col("first"), F.col("chars_a"))), F.lit(0)).alias("led")
-        )
-    )
-
-    def near_words(numbered: DataFrame, name: str) -> DataFrame:
-        low, high = F.col("first") - WORD_BLOCK, F.col("first") + 2 * WORD_BLOCK
-        touching = (F.col("offset") < high) & (F.col("offset") + F.col("n") > low)
-        rows = numbered.join(led, "doc_id").filter(touching)
-        exploded = rows.select(
-            "doc_id", "first", "led", "offset", F.posexplode("words").alias("__i", name)
-        ).withColumn("idx", F.col("offset") + F.col("__i"))
-        within = (F.col("idx") >= low) & (F.col("idx") < high)
-        return exploded.filter(within).select("doc_id", "first", "led", "idx", name)
-
-    key = ["doc_id", "first", "led", "idx"]
-    near = stored(near_words(source, "__a").join(near_words(target, "__b"), key, "full"))
-    inside = F.col("idx") >= F.col("first")
-    differs = inside & ~F.col("__a").eqNullSafe(F.col("__b"))
-    at = near.filter(differs).groupBy("doc_id").agg(
-        F.min("idx").alias("__at"), F.min_by(F.struct("__a", "__b"), "idx").alias("__pair")
-    )
-    near = near.join(at, "doc_id")
-    early = inside & (F.col("idx") < F.col("__at"))
-    around = F.abs(F.col("idx") - F.col("__at")) <= EXCERPT
-    agg = near.groupBy("doc_id").agg(
-        F.first("__at").alias("at"),
-        F.first("__pair").alias("pair"),
-        (
-            F.first("led") + F.coalesce(F.sum(F.when(early, F.length("__a") + 1)), F.lit(0))
-        ).alias("lead"),
-        # At most 81 words each: these lists are bounded by the excerpt, not by the document.
-        F.sort_array(F.collect_list(F.when(around, F.struct("idx", "__a")))).alias("near_a"),
-        F.sort_array(F.collect_list(F.when(around, F.struct("idx", "__b")))).alias("near_b"),
-    )
-    a, b = F.col("pair")["__a"], F.col("pair")["__b"]
-    ended = a.isNull() | b.isNull()
-    # Where one text ends, the separator before the next word is the first difference.
-    position = F.when(ended, F.greatest(F.col("lead") - 1, F.lit(0))).otherwise(
-        F.col("lead") + _common_prefix(a, b)
-    )
-    # A word that is a prefix of the other ends its text or is followed by a separator: both
-    # differ from the longer word right after the common prefix, so the position stands.
-    def excerpt(name: str, word: str) -> Column:
-        text = F.array_join(F.transform(F.col(name), lambda s: s[word]), " ")
-        first = F.col(name)[0]["idx"]
-        skipped = F.aggregate(
-            F.filter(F.col(name), lambda s: s["idx"] < F.col("at")),
-            F.lit(0).cast("long"),
-            lambda acc, s: acc + F.coalesce(F.length(s[word]), F.lit(0)) + 1,
-        )
-        start = F.when(first.isNull(), F.lit(0)).otherwise(F.col("lead") - skipped)
-        begin = F.greatest(position - EXCERPT, F.lit(0)) - start
-        return F.coalesce(
-            F.substr(text, begin.cast("int") + 1, (position - start - begin).cast("int") + EXCERPT),
-            F.lit(""),
-        )
-
-    return agg.select(
-        "doc_id",
-        position.cast("long").alias("position"),
-        excerpt("near_a", "__a").alias("source"),
-        excerpt("near_b", "__b").alias("candidate"),
+    both = _run_digests(source, "a").join(_run_digests(target, "b"), ["doc_id", "run"], "full")
+    spots = stored(both.filter(~F.col("a").eqNullSafe(F.col("b"))).groupBy("doc_id").agg(F.min("run").alias("run")))
+    run = F.col("run") * RUN
+
+    def pair(marked: DataFrame, low: Column, high: Column) -> DataFrame:
+        joined = marked
+        for numbered, name in ((source, "__a"), (target, "__b")):
+            joined = joined.join(_around(numbered, marked, low, high, name), "doc_id", "left").fillna("", [name])
+        return joined
+
+    for numbered, name in ((source, "__len_a"), (target, "__len_b")):
+        sizes = numbered.join(spots, "doc_id", "left_semi").groupBy("doc_id").agg(F.greatest(F.sum("n") - 1, F.lit(0)).alias(name))
+        spots = spots.join(sizes, "doc_id", "left").fillna(0, [name])
+    at = F.least(run + _common_prefix(F.col("__a"), F.col("__b")), "__len_a", "__len_b").cast("long")
+    found = stored(pair(spots, run, run + RUN).select("doc_id", at.alias("position"), "__len_a", "__len_b"))
+    low, high = F.greatest(F.col("position") - EXCERPT, F.lit(0)), F.col("position") + EXCERPT
+    # The space that ends the last page is no part of the text.
+    bounded = lambda text, size: F.substr(text, F.lit(1), F.greatest(F.least(high, F.col(size)) - low, F.lit(0)).cast("int"))
+    return pair(found, low, high).select(
+        "doc_id", "position", bounded("__a", "__len_a").alias("source"), bounded("__b", "__len_b").alias("candidate")
     )
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafwright.session import cut, stored
+from leafwright.session import Appended, cut, stored
 
 # Structure types a role needs no mapping for.
 STANDARD_ROLES = """
@@ -196,25 +196,51 @@ def navigation(pages: DataFrame, listed: DataFrame, shapes: DataFrame) -> DataFr
     return joined.select(*key, n.alias("n_shapes"), rule.alias("rule_id"))
 
 
+def contracted(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges between the nodes where paths meet, part or begin: doc_id, node, target, inner.
+
+    A node with one reference in and one out that is no root stands in a chain; a chain becomes one edge that
+    counts the ``inner`` nodes it passes, found by doubling.  Nothing else leads into a chain but the
+    reference to its first node, so it is reached with the edge or not at all.
+    """
+    key = ["doc_id", "node"]
+    out = edges.groupBy(*key).agg(F.count("*").alias("__out"), F.min("target").alias("next"))
+    into = edges.groupBy("doc_id", F.col("target").alias("node")).agg(F.count("*").alias("__in"))
+    single = out.filter("__out = 1").join(into.filter("__in = 1"), key).join(roots.select(*key), key, "left_anti")
+    chained = stored(single.select(*key, "next"))
+    marked = chained.select("doc_id", F.col("node").alias("next"), F.col("node").alias("parent"))
+    ends = resolve_chains(chained.join(marked, ["doc_id", "next"], "left").select(*key, "parent"), key)
+    # Chains that close on themselves are cyclic: no reference leads into them.
+    ends = ends.filter("status IS NULL").select(*key, F.col("root").alias("last"), (F.col("depth") + 1).alias("inner"))
+    last = chained.select("doc_id", F.col("node").alias("last"), F.col("next").alias("exit"))
+    skips = ends.join(last, ["doc_id", "last"]).select("doc_id", F.col("node").alias("target"), "exit", "inner")
+    outside = edges.join(chained.select(*key), key, "left_anti")
+    return outside.join(skips, ["doc_id", "target"], "left").select(
+        *key, F.coalesce("exit", "target").alias("target"), F.coalesce("inner", F.lit(0)).cast("long").alias("inner")
+    )
+
+
 def reachable(roots: DataFrame, refs: DataFrame, limit: int = MAX_EMBEDDED) -> DataFrame:
     """Objects reachable from each document's root: doc_id, n_reached and incomplete.
 
-    ``roots``: doc_id, node.  ``refs``: doc_id, node, target.  The frontier is joined to the references
-    until nothing new appears.  ``incomplete`` says that a document holds more objects than an inspection
-    looks at; the walk and the count go on to the end all the same.
+    ``roots``: doc_id, node.  ``refs``: doc_id, node, target.  Chains are contracted first; then the newest
+    nodes are joined to the references until nothing new appears.  A round writes its new nodes only.
+    ``incomplete`` says that a document holds more objects than an inspection looks at; the walk and the
+    count go on to the end all the same.
     """
-    edges = stored(refs.select("doc_id", "node", F.col("target")).distinct())  # read every round
-    grown = cut(roots.select("doc_id", "node", F.lit(0).alias("step")).distinct())
-    frontier, step = grown, 0
+    key = ["doc_id", "node"]
+    text = lambda f, *names: f.select("doc_id", *[F.col(n).cast("string").alias(n) for n in names]).distinct()
+    refs = refs.filter(F.col("node").isNotNull() & F.col("target").isNotNull())
+    roots = stored(text(roots, "node"))
+    edges = stored(contracted(roots, stored(text(refs, "node", "target"))))  # read every round
+    reached = Appended(roots.sparkSession, roots.schema)
+    frontier, step = reached.add(roots, 0), 0
     while not frontier.isEmpty():
         step += 1
-        next_ = frontier.join(edges, ["doc_id", "node"]).select("doc_id", F.col("target").alias("node")).distinct()
-        fresh = next_.join(grown, ["doc_id", "node"], "left_anti")
-        grown = cut(grown.unionByName(fresh.withColumn("step", F.lit(step))))
-        frontier = grown.filter(F.col("step") == step)
-    reached = grown.groupBy("doc_id").agg((F.count("*") - 1).alias("n"))
-    return reached.select(
-        "doc_id",
-        F.col("n").cast("long").alias("n_reached"),
-        (F.col("n") > limit).alias("incomplete"),
-    )
+        next_ = frontier.join(edges, key).select("doc_id", F.col("target").alias("node")).distinct()
+        frontier = reached.add(next_.join(reached.all(), key, "left_anti"), step)
+    nodes = reached.all().select(*key)
+    passed = edges.filter("inner > 0").join(nodes, key, "left_semi").select("doc_id", F.col("inner").alias("n"))
+    counted = nodes.select("doc_id", F.lit(1).cast("long").alias("n")).unionByName(passed)
+    totals = counted.groupBy("doc_id").agg((F.sum("n") - 1).alias("n"))
+    return totals.select("doc_id", F.col("n").alias("n_reached"), (F.col("n") > limit).alias("incomplete"))

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 # Runtime settings the operators are designed for.  Joins are written with one side aggregated to
 # one row per key, so adaptive execution can split a hot key on the other side.
@@ -83,6 +84,27 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+class Appended:
+    """Rows that an iteration adds step by step in the shared folder; no step is written again.
+
+    A step that runs twice (a lost driver's job, say) replaces its own folder and nothing else.
+    """
+
+    def __init__(self, spark: SparkSession, schema: StructType):
+        self.spark, self.schema = spark, schema
+        self.folder = f"{shared_dir(spark)}/appended-{uuid.uuid4().hex}"
+
+    def add(self, rows: DataFrame, step: int) -> DataFrame:
+        """Write one step and return its rows."""
+        path = f"{self.folder}/step={step}"
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(self.schema).parquet(path)
+
+    def all(self) -> DataFrame:
+        """The rows of all steps so far, with ``step``."""
+        return self.spark.read.schema(StructType([*self.schema.fields, StructField("step", IntegerType())])).parquet(self.folder)
+
+
 # Tables whose rows are long texts, and their unique key.
 TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
 
