@@ -124,7 +124,8 @@ def j1_audit_stream(spark: SparkSession, sf: str) -> DataFrame:
         return secret.unionByName(foreign)
 
     stream = incremental.stream_table(spark, sf, "documents")
-    folder = incremental.audit_stream(stream, audit, incremental.run_folder(spark, "audit"))
+    known = stream.select(F.col("doc_id").cast("string"), "text", "lang", F.sha2("text", 256).alias("sha256"))
+    folder = incremental.audit_stream(known, incremental.run_folder(spark, "audit"), audit)
     return spark.read.parquet(folder).select("doc_id", "rule_id")
 
 

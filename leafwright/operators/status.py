@@ -113,14 +113,6 @@ def stage_plan(docs: DataFrame) -> DataFrame:
     return frame.select("item", F.explode(F.array(*stages)).alias("s")).select("item", "s.*")
 
 
-def progress_state(events: DataFrame, rank: Column) -> DataFrame:
-    """Latest state per item and step; equal times are broken by the state's rank."""
-    return events.groupBy("item", "step").agg(
-        F.max_by("state", F.struct("ts", rank.alias("r"))).alias("state"),
-        F.count("*").alias("n_events"),
-    )
-
-
 def stage_dimension(spark) -> DataFrame:
     """The eight stages as rows."""
     return literal_frame(

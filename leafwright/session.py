@@ -90,9 +90,9 @@ class Appended:
     A step that runs twice (a lost driver's job, say) replaces its own folder and nothing else.
     """
 
-    def __init__(self, spark: SparkSession, schema: StructType):
+    def __init__(self, spark: SparkSession, schema: StructType, folder: str | None = None):
         self.spark, self.schema = spark, schema
-        self.folder = f"{shared_dir(spark)}/appended-{uuid.uuid4().hex}"
+        self.folder = folder or f"{shared_dir(spark)}/appended-{uuid.uuid4().hex}"
 
     def add(self, rows: DataFrame, step: int) -> DataFrame:
         """Write one step and return its rows."""

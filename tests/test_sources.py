@@ -148,8 +148,9 @@ def test_sinks(spark, tmp_path):
 
 
 def test_streams_equal_batches(spark):
-    stream = incremental.stream_table(spark, SF, "documents")
-    folder = incremental.audit_stream(stream, lambda b: b.filter("lang = 'en'").select("doc_id"), incremental.run_folder(spark, "t"))
+    stream = incremental.stream_table(spark, SF, "documents").withColumn("sha256", F.sha2("text", 256))
+    stream = stream.withColumn("doc_id", F.col("doc_id").cast("string"))
+    folder = incremental.audit_stream(stream, incremental.run_folder(spark, "t"), lambda b: b.filter("lang = 'en'").select("doc_id"))
     batch = spark.read.parquet(f"{SF}/documents.parquet").filter("lang = 'en'")
     assert spark.read.parquet(folder).count() == batch.count()
 
