@@ -301,6 +301,41 @@ def e13_classify_tables(spark: SparkSession, sf: str) -> DataFrame:
     return grids.classify_tables(order_cells(spark, sf)).drop("doc_id")
 
 
+@query(
+    "e13_logical_tables",
+    """WITH c AS (SELECT l_suppkey AS t, l_orderkey % 20 + 1 AS y, l_orderkey % 20 + 1 + CASE WHEN l_partkey % 3 = 0 THEN 4 ELSE 0 END AS y_end, l_linenumber AS x,
+          l_linenumber + l_partkey % 2 AS x_end, l_orderkey % 20 < l_suppkey % 4 AS rh, l_suppkey % 5 = 0 AS hc, l_quantity = 7 AND l_suppkey % 3 = 0 AS tall, l_quantity = 9 AND l_suppkey % 3 = 0 AS wide,
+          l_shipdate < TIMESTAMP '1992-06-01' AS typed FROM lineitem),
+        n AS (SELECT t, count(DISTINCT r) AS rows FROM (SELECT t, unnest(range(y, y_end + 1)) AS r FROM c) GROUP BY 1),
+        m AS (SELECT t, count(DISTINCT r) AS columns FROM (SELECT t, unnest(range(x, x_end + 1)) AS r FROM c) GROUP BY 1),
+        s AS (SELECT t, y, bool_or(rh) AS h, lag(bool_or(rh)) OVER (PARTITION BY t ORDER BY y) AS b FROM c GROUP BY 1, 2),
+        q AS (SELECT DISTINCT c.t FROM c JOIN s ON s.t = c.t AND s.h <> s.b AND c.tall AND s.y > c.y AND s.y <= c.y_end + 2
+              UNION SELECT t FROM c WHERE wide AND hc AND x <= 1 AND x_end + 1 > 1),
+        a AS (SELECT t, bool_or(rh OR (hc AND x <= 1)) AS hh, bool_or(tall OR wide) AS cx, bool_or(typed) AS ty,
+          min(y) FILTER (WHERE NOT (rh OR (hc AND x <= 1))) AS fd, max(y) FILTER (WHERE rh OR (hc AND x <= 1)) AS lh FROM c GROUP BY 1),
+        k AS (SELECT a.*, rows, columns, CASE WHEN hh AND q.t IS NOT NULL THEN 'ambiguous' WHEN hh AND (cx OR NOT coalesce(lh < fd, true)) THEN 'complex-data' WHEN hh OR ty THEN 'data'
+          WHEN least(rows, columns) <= 1 THEN 'layout-candidate' ELSE 'ambiguous' END AS kind FROM a JOIN n USING (t) JOIN m USING (t) LEFT JOIN q USING (t))
+        SELECT t AS table_id, rows, columns, kind, CASE WHEN kind IN ('layout-candidate', 'ambiguous') THEN 'TABLE001' WHEN NOT hh THEN 'TABLE003' END AS rule_id FROM k""",
+)
+def e13_logical_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers as tables with repeated rows and columns, merged cells and header bands."""
+    c = F.col
+    flag = lambda test, n: F.when(test, n).otherwise(0)
+    third = c("l_suppkey") % 3 == 0
+    y = c("l_orderkey") % 20 + 1
+    cells = table(spark, sf, "lineitem").select(
+        F.lit("d").alias("doc_id"), c("l_suppkey").alias("table_id"), y.alias("y"), (y + flag(c("l_partkey") % 3 == 0, 4)).alias("y_end"),
+        c("l_linenumber").cast("long").alias("x"), (c("l_linenumber") + c("l_partkey") % 2).alias("x_end"), (y - 1 < c("l_suppkey") % 4).alias("row_header"),
+        flag(c("l_suppkey") % 5 == 0, 1).alias("header_columns"), (flag((c("l_quantity") == 7) & third, 2) + 1).alias("row_span"),
+        (flag((c("l_quantity") == 9) & third, 1) + 1).alias("col_span"), F.lit(False).alias("covered"),
+        F.when(c("l_shipdate") < F.lit("1992-06-01").cast("timestamp"), "float").otherwise("string").alias("value_type"),
+    )
+    placed = cells.withColumn("is_header", c("row_header") | (c("x") <= c("header_columns"))).withColumn(
+        "spans", (c("row_span") > 1) | (c("col_span") > 1)
+    )
+    return grids.classify_tables(placed).drop("doc_id")
+
+
 @query(
     "e14_data_sheets",
     f"""WITH {LINES}, c AS (SELECT doc_id, pos AS row, unnest(string_split(text, '. ')) AS text, pos = 1 AND doc_id % 3 = 0 AS hr, length(text) % 9 = 0 AS mg FROM lines),
@@ -395,16 +430,17 @@ def e19_target_groups(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "e20_measurements",
     f"""WITH {TAGS}, c AS (SELECT page_id, count(*) FILTER (WHERE tag IN ('h1', 'h2', 'h3')) AS headings, count(*) FILTER (WHERE tag = 'img') AS graphics,
-          count(*) FILTER (WHERE tag = 'ul') AS lists, count(*) FILTER (WHERE tag = 'a') AS links FROM tags WHERE NOT closing AND page_id % 9 <> 0 GROUP BY 1),
+          count(*) FILTER (WHERE tag = 'ul') AS lists, count(*) FILTER (WHERE tag = 'a') AS links FROM tags WHERE NOT closing GROUP BY 1),
         d AS (SELECT page_id, coalesce(headings, 0) AS headings, coalesce(graphics, 0) AS graphics, coalesce(lists, 0) AS lists, coalesce(links, 0) AS links
-          FROM pages LEFT JOIN c USING (page_id) WHERE page_id % 4 <> 0)
-        SELECT page_id::VARCHAR AS doc_id, field, value FROM (UNPIVOT d ON headings, graphics, lists, links INTO NAME field VALUE value)""",
+          FROM pages LEFT JOIN c USING (page_id)),
+        u AS (SELECT page_id, field, value FROM (UNPIVOT d ON headings, graphics, lists, links INTO NAME field VALUE value))
+        SELECT page_id::VARCHAR AS doc_id, field, CASE WHEN page_id % 4 <> 0 THEN value END AS value FROM u""",
 )
 def e20_measurements(spark: SparkSession, sf: str) -> DataFrame:
-    """Counts of the inspected pages; a page that was not inspected has no row."""
+    """Counts of every page; one that was not inspected has null for each field."""
     doc = text_key("page_id").alias("doc_id")
-    inspected = table(spark, sf, "pages").filter("page_id % 4 <> 0").select(doc)
-    rows = page_tags(spark, sf).filter(~F.col("closing") & (F.col("page_id") % 9 != 0)).select(doc, "tag")
+    inspected = table(spark, sf, "pages").select(doc, (F.col("page_id") % 4 != 0).alias("inspected"))
+    rows = page_tags(spark, sf).filter(~F.col("closing")).select(doc, "tag")
     tag = F.col("tag")
     return fo.measure(
         inspected,

@@ -321,8 +321,7 @@ _HREF = ["./{h}", "{h}", "a/../{h}", "../{h}", "{h}?q", "folder/{h}/", "%7E{h}",
 
 @query(
     "d11_missing_resources",
-    f"""WITH {LINKS}, h AS (SELECT page_id % 50 AS doc_id, ord % 8 AS form, substr(href, 2) AS h, page_id + ord AS k, replace({pick_sql("ord", _HREF)}, '{{h}}', substr(href, 2)) AS href FROM links
-           WHERE NOT regexp_matches(href, '[^A-Za-z/.,-]')),
+    f"""WITH {LINKS}, h AS (SELECT page_id % 50 AS doc_id, ord % 8 AS form, substr(href, 2) AS h, page_id + ord AS k, replace({pick_sql("ord", _HREF)}, '{{h}}', substr(href, 2)) AS href FROM links),
          m AS (SELECT DISTINCT page_id % 50 AS doc_id, CASE ord % 4 WHEN 1 THEN substr(href, 2) WHEN 3 THEN 'folder/' || substr(href, 2) || '/content.xml' ELSE '~' || substr(href, 2) END AS name FROM links),
          r AS (SELECT *, CASE form WHEN 0 THEN h WHEN 1 THEN h WHEN 2 THEN h WHEN 5 THEN 'folder/' || h WHEN 6 THEN '~' || h END AS member FROM h)
        SELECT doc_id, href, count(*) AS n FROM r WHERE member IS NULL OR NOT EXISTS (SELECT 1 FROM m WHERE m.doc_id = r.doc_id
@@ -333,7 +332,7 @@ def d11_missing_resources(spark: SparkSession, sf: str) -> DataFrame:
     links = page_links(spark, sf)
     bare = F.substr("href", F.lit(2))
     doc = (F.col("page_id") % 50).alias("doc_id")
-    hrefs = links.filter(~F.col("href").rlike("[^A-Za-z/.,-]")).select(
+    hrefs = links.select(
         doc, F.replace(pick(F.col("ord"), _HREF), F.lit("{h}"), bare).alias("href"), (F.col("ord") % 8 == 5).alias("folder")
     )
     hrefs = hrefs.withColumn("member", local_resource(F.col("href")))

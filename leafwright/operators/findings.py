@@ -170,11 +170,14 @@ def merge_facts(facts: DataFrame) -> DataFrame:
 def measure(inspected: DataFrame, rows: DataFrame, measures: dict[str, Column]) -> DataFrame:
     """Long-form counts per document.
 
-    Documents inspected without any row measure 0; documents never inspected have no row at all.
+    Documents inspected without any row measure 0; one marked as not ``inspected`` has null for each field.
     """
     counted = rows.groupBy("doc_id").agg(*[c.alias(n) for n, c in measures.items()])
-    wide = inspected.select("doc_id").join(counted, "doc_id", "left")
-    filled = wide.select("doc_id", *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in measures])
+    if "inspected" not in inspected.columns:
+        inspected = inspected.withColumn("inspected", F.lit(True))
+    wide = inspected.select("doc_id", "inspected").join(counted, "doc_id", "left")
+    value = lambda n: F.when(F.col("inspected"), F.coalesce(n, F.lit(0)).cast("long"))
+    filled = wide.select("doc_id", *[value(n).alias(n) for n in measures])
     return filled.unpivot(["doc_id"], list(measures), "field", "value")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafwright.functions.text import is_blank
+from leafwright.operators.sequence import previous, running_max, scan
 
 ROW_BUCKET = 4096
 TYPED_VALUES = ["float", "percentage", "currency", "date", "time", "boolean"]
@@ -88,24 +89,66 @@ def cells_in_range(ranges: DataFrame, runs: DataFrame, keys: list[str], bucket:
     return joined.filter(overlap & begins).drop("__b")
 
 
+def _extent(cells: DataFrame, keys: list[str], start: str, end: str, name: str) -> DataFrame:
+    """How many logical rows or columns the runs of a table cover together, repeats included."""
+    runs = cells.groupBy(*keys, start).agg(F.max(end).alias("__end"))
+    swept = scan(runs, keys, start, {"__reach": running_max(F.col("__end"), False)})
+    fresh = F.greatest(F.col("__end") - F.greatest(F.col("__reach"), F.col(start) - 1), F.lit(0))
+    return swept.groupBy(*keys).agg(F.sum(fresh).cast("long").alias(name))
+
+
+def crossing_merges(cells: DataFrame) -> DataFrame:
+    """Tables in which a merged origin reaches over the border of a band of header rows or columns.
+
+    ``cells``: doc_id, table_id, y, y_end (1-based), x, x_end, row_span, col_span, covered, row_header,
+    header_columns (leading ones).  Borders are the rows whose header state differs from the row before; an
+    origin crosses one that lies between its first row and its last.
+    """
+    key = ["doc_id", "table_id"]
+    rows = cells.groupBy(*key, "y").agg(F.bool_or("row_header").alias("header"))
+    states = scan(rows, key, "y", {"__before": previous(F.col("header"))})
+    borders = states.filter(F.col("__before") != F.col("header")).select(
+        *key, F.col("y").alias("run_start"), F.col("y").alias("run_end")
+    )
+    origins = cells.filter(~F.col("covered"))
+    tall = origins.filter("row_span > 1").select(
+        *key, (F.col("y") + 1).alias("first_row"), (F.col("y_end") + F.col("row_span") - 1).alias("last_row")
+    )
+    across = F.col("x_end") + F.col("col_span") - 1
+    wide = origins.filter((F.col("col_span") > 1) & (F.col("x") <= F.col("header_columns")) & (across > F.col("header_columns")))
+    return cells_in_range(tall, borders, key).select(*key).unionByName(wide.select(*key)).distinct()
+
+
 def classify_tables(cells: DataFrame) -> DataFrame:
     """Table intent per table from headers, spans and typed values; TABLE001 and TABLE003.
 
-    ``cells``: doc_id, table_id, y, x, row_repeat, is_header, spans, value_type.
+    ``cells``: doc_id, table_id, y, x, is_header, spans, value_type; with ``y_end`` and ``x_end`` rows and
+    columns count as often as they are repeated, and with the columns of ``crossing_merges`` a table whose
+    merged cells cross a header border is ambiguous.
     """
-    agg = cells.groupBy("doc_id", "table_id").agg(
+    key = ["doc_id", "table_id"]
+    # Without repeats every run is one row or column, and counting different ones is enough.
+    repeats = {"y_end", "x_end"} <= set(cells.columns)
+    sizes = [] if repeats else [F.count_distinct("y").alias("rows"), F.count_distinct("x").alias("columns")]
+    agg = cells.groupBy(*key).agg(
+        *sizes,
         F.bool_or("is_header").alias("has_headers"),
         F.bool_or("spans").alias("complex"),
         F.bool_or(F.col("value_type").isin(TYPED_VALUES)).alias("typed"),
-        F.count_distinct("y").alias("rows"),
-        F.count_distinct("x").alias("columns"),
         F.min(F.when(~F.col("is_header"), F.col("y"))).alias("first_data"),
         F.max(F.when(F.col("is_header"), F.col("y"))).alias("last_header"),
     )
+    if repeats:
+        agg = agg.join(_extent(cells, key, "y", "y_end", "rows"), key).join(_extent(cells, key, "x", "x_end", "columns"), key)
+    crosses = F.lit(False)
+    if {"row_header", "header_columns", "row_span", "col_span", "covered"} <= set(cells.columns):
+        agg = agg.join(crossing_merges(cells).withColumn("__crosses", F.lit(True)), key, "left")
+        crosses = F.coalesce("__crosses", F.lit(False))
     leading = F.coalesce(F.col("last_header") < F.col("first_data"), F.lit(True))
     typed = F.coalesce("typed", F.lit(False))
     kind = (
-        F.when(F.col("has_headers") & (F.col("complex") | ~leading), "complex-data")
+        F.when(F.col("has_headers") & crosses, "ambiguous")
+        .when(F.col("has_headers") & (F.col("complex") | ~leading), "complex-data")
         .when(F.col("has_headers") | typed, "data")
         .when(F.least("rows", "columns") <= 1, "layout-candidate")
         .otherwise("ambiguous")
@@ -113,7 +156,18 @@ def classify_tables(cells: DataFrame) -> DataFrame:
     rule = F.when(kind.isin("layout-candidate", "ambiguous"), "TABLE001").when(
         ~F.col("has_headers"), "TABLE003"
     )
-    return agg.select("doc_id", "table_id", "rows", "columns", kind.alias("kind"), rule.alias("rule_id"))
+    return agg.select(*key, "rows", "columns", kind.alias("kind"), rule.alias("rule_id"))
+
+
+def row_widths(cells: DataFrame) -> DataFrame:
+    """TABLE002: tables with a row that is not as wide as the columns they declare.
+
+    ``cells``: doc_id, table_id, row_id, x_end, declared_columns (null without a declaration).
+    """
+    widths = cells.filter("declared_columns IS NOT NULL").groupBy("doc_id", "table_id", "row_id").agg(
+        F.max("x_end").alias("__width"), F.first("declared_columns").alias("__declared")
+    )
+    return widths.filter("__width <> __declared").select("doc_id", "table_id", F.lit("row width").alias("reason")).distinct()
 
 
 def data_sheets(cells: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,29 +68,36 @@ def validate_answers(
     return answers.withColumn("problems", F.array_compact(F.array(*found)))
 
 
+def _left(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """A left join in which null keys meet each other."""
+    renamed = others.withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys])
+    return rows.join(renamed, same, "left").drop(*[f"__k_{k}" for k in keys])
+
+
 def bind_answers(answers: DataFrame, targets: DataFrame, sources: DataFrame) -> DataFrame:
     """Bind every answer to its live target, or say why not.
 
     ``answers``: plan_id, doc_id, source_sha256, kind_id, path, fingerprint.  ``targets``: doc_id,
-    path, fingerprint.  ``sources``: doc_id, sha256.  One problem refuses its whole plan
-    (``plan_ok``), but every reason is kept.
+    path, fingerprint.  ``sources``: doc_id, sha256.  An answer without a path is about its document: it needs
+    no target, and no fingerprint.  One problem refuses its whole plan (``plan_ok``), but every reason is kept.
     """
-    live = targets.groupBy("doc_id", "path").agg(
+    live = targets.filter(F.col("path").isNotNull()).groupBy("doc_id", "path").agg(
         F.count("*").alias("__n"), F.min("fingerprint").alias("__fp")
     )
+    # the document as a target of its own
+    whole = sources.select("doc_id", F.lit(None).cast("string").alias("path")).distinct()
+    live = live.unionByName(whole.select("*", F.lit(1).cast("long").alias("__n"), F.lit(None).cast("string").alias("__fp")))
     asked = answers.groupBy("plan_id", "kind_id", "path").agg(F.count("*").alias("__asked"))
-    joined = (
-        answers.join(sources.select("doc_id", F.col("sha256").alias("__sha")), "doc_id", "left")
-        .join(live, ["doc_id", "path"], "left")
-        .join(asked, ["plan_id", "kind_id", "path"], "left")
-    )
+    joined = _left(answers.join(sources.select("doc_id", F.col("sha256").alias("__sha")), "doc_id", "left"), live, ["doc_id", "path"])
+    joined = _left(joined, asked, ["plan_id", "kind_id", "path"])
     reason = (
         F.when(~F.col("source_sha256").eqNullSafe(F.col("__sha")), "source digest")
         .when(~F.col("kind_id").isin(list(DECISION_RULES)), "unknown kind")
         .when(F.col("__asked") > 1, "answered twice")
         .when(F.col("__n").isNull(), "unknown path")
         .when(F.col("__n") > 1, "ambiguous path")
-        .when(F.col("__fp") != F.col("fingerprint"), "fingerprint")
+        .when(~F.col("__fp").eqNullSafe(F.col("fingerprint")), "fingerprint")
     )
     bound = joined.withColumn("reason", reason).drop("__n", "__fp", "__sha", "__asked")
     bad = bound.filter(F.col("reason").isNotNull()).select("plan_id").distinct()
@@ -98,13 +107,16 @@ def bind_answers(answers: DataFrame, targets: DataFrame, sources: DataFrame) ->
 
 
 def carry(old: DataFrame, available: DataFrame, keys: list[str]) -> DataFrame:
-    """Old answers with the reason they cannot be carried over, null where they can."""
-    now = available.select(*keys, F.col("fingerprint").alias("__fp"))
-    joined = old.join(now, keys, "left")
-    reason = F.when(F.col("__fp").isNull(), "unavailable").when(
-        F.col("__fp") != F.col("fingerprint"), "changed"
+    """Old answers with the reason they cannot be carried over, null where they can.
+
+    A key may be null, as the path of a question about the document itself, and so may a fingerprint.
+    """
+    now = available.select(*keys, F.col("fingerprint").alias("__fp"), F.lit(True).alias("__here"))
+    joined = _left(old, now, keys)
+    reason = F.when(F.col("__here").isNull(), "unavailable").when(
+        ~F.col("__fp").eqNullSafe(F.col("fingerprint")), "changed"
     )
-    return joined.withColumn("reason", reason).drop("__fp")
+    return joined.withColumn("reason", reason).drop("__fp", "__here")
 
 
 def predict(answers: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:

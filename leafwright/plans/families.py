@@ -54,6 +54,7 @@ def table_cells(body: DataFrame, said: DataFrame) -> DataFrame:
         inside("table:table-header-columns").alias("header"),
     )
     wide = structure.leading_headers(columns, key, "node_id", F.col("header"), "n").select(*key, F.col("leading").alias("header_columns"))
+    declared = columns.groupBy(*key).agg(F.sum("n").alias("declared_columns"))
     cells = body.filter("flow").filter(F.col("tag").isin(CELLS)).select(
         "doc_id", "node_id", F.col("parent_id").alias("row_id"), F.col("context"), _under("office:spreadsheet").alias("sheet"),
         _count("table:number-columns-repeated").alias("col_repeat"), _count("table:number-rows-spanned").alias("row_span"),
@@ -61,8 +62,9 @@ def table_cells(body: DataFrame, said: DataFrame) -> DataFrame:
         F.coalesce(_attr("office:value-type"), F.when(_attr("table:formula").isNotNull(), "float")).alias("value_type"),
     )
     cells = structure.logical_runs(cells, ["doc_id", "row_id"], "node_id", "col_repeat").withColumnsRenamed({"run_start": "x", "run_end": "x_end"})
-    placed = cells.join(rows, ["doc_id", "row_id"]).join(wide, key, "left").join(said, ["doc_id", "node_id"], "left")
-    header = F.col("row_header") | (F.col("x") <= F.coalesce("header_columns", F.lit(0)))
+    placed = cells.join(rows, ["doc_id", "row_id"]).join(wide, key, "left").join(declared, key, "left").join(said, ["doc_id", "node_id"], "left")
+    placed = placed.withColumn("header_columns", F.coalesce("header_columns", F.lit(0)))
+    header = F.col("row_header") | (F.col("x") <= F.col("header_columns"))
     spans = F.col("covered") | (F.col("row_span") > 1) | (F.col("col_span") > 1)
     return stored(placed.withColumn("is_header", header).withColumn("spans", spans))
 
@@ -83,7 +85,7 @@ def table_findings(cells: DataFrame) -> DataFrame:
     spelled = merged.filter("spans").withColumn("y", spread("y", "y_end")).withColumn("x", spread("x", "x_end"))
     single = plain.unionByName(spelled)
     zero = single.withColumn("y", F.col("y") - 1).withColumn("x", F.col("x") - 1)
-    broken = grids.grid_coverage(sizes, zero)
+    broken = grids.grid_coverage(sizes, zero).unionByName(grids.row_widths(written))
     unsafe = broken.select(*key).distinct()
     sheets = grids.data_sheets(
         cells.filter("sheet").select(

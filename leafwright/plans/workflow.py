@@ -13,6 +13,7 @@ from leafwright.operators import documents, graph, references, status, structure
 from leafwright.operators import findings as fo
 from leafwright.plans import nodes as odf
 from leafwright.plans.families import family_findings
+from leafwright.plans.targets import named
 from leafwright.session import stored
 from leafwright.sources.corpus import package_members
 
@@ -76,7 +77,7 @@ def _kind_findings(corpus: DataFrame, nodes: DataFrame) -> DataFrame:
         .unionByName(fo.raise_rule(package_root, "ODF012"))
         .unionByName(fo.raise_rule(agreed, "ODF001"))
         .unionByName(fo.raise_rule(manifest, rule))
-        .unionByName(fo.raise_rule(documents.audit_metadata(facts), rule))
+        .unionByName(fo.raise_rule(documents.audit_metadata(facts), rule, kind="document.metadata"))
     )
 
 
@@ -247,12 +248,12 @@ def audit(corpus: DataFrame) -> DataFrame:
     )
     open_, _ = fo.split_blocked(early, corpus.select("doc_id"))
     readable = stored(nodes.join(open_, "doc_id", "left_semi"))
-    named = members.filter("problem IS NULL")
-    late = [_text_findings(readable), _revision_findings(readable), _object_findings(readable), *family_findings(readable, named)]
-    whole = early
-    for frame in late:
+    kept = members.filter("problem IS NULL")
+    late = [_text_findings(readable), _revision_findings(readable), _object_findings(readable), *family_findings(readable, kept)]
+    whole = late[0]
+    for frame in late[1:]:
         whole = whole.unionByName(frame)
-    return whole
+    return stored(early.unionByName(named(whole, readable)))
 
 
 def plan(findings: DataFrame, previous: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
