@@ -96,7 +96,7 @@ def measure(docs: DataFrame, text: str = "text", stop_words: list[str] = STOP_WO
             "n_symbols": (
                 F.char_length(whole_text) - F.char_length(F.translate(whole_text, "#*$%&|<>", ""))
             ).cast("long"),
-            "n_stop_words": F.size(F.filter("__words", lambda w: w.isin(stop_words))).cast("long"),
+            "n_stop_words": F.size(F.filter("__words", lambda w: F.lower(w).isin(stop_words))).cast("long"),
             "n_lines": F.size("__lines").cast("long"),
             "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
             "__windows": windows,
@@ -147,7 +147,7 @@ measures AS (
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
     coalesce(n, 0)::BIGINT AS n_repeat_words,
-    len(list_filter(w, lambda x: x IN ({_STOPS})))::BIGINT AS n_stop_words
+    len(list_filter(w, lambda x: lower(x) IN ({_STOPS})))::BIGINT AS n_stop_words
   FROM parts LEFT JOIN repeats USING (doc_id)),
 judged AS (
   SELECT *, n_words < {MIN_WORDS} OR n_repeat_words * 100 > n_words * {MAX_REPEAT_PERCENT} AS base_failed

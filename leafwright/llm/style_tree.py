@@ -9,9 +9,13 @@ are one page, so what they share with each other is no template.  Importance mix
 ``l`` presentations, so one fixed presentation is judged by its content.
 
 Elements that say what they are (``nav``, ``footer``, ``class="cookie-notice"``, ...) are cut whatever
-their content, and if a page has an article (or else a ``main``) its text is the article's.  A class or id
-says so only if all its parts do (``has-sidebar`` does not), and never cuts an outermost article or what
-holds one; if a page has no text without such names, they are ignored.
+their content.  A class or id says so if all its parts do, if it ends with a place (``site-footer``) or adds
+a mere carrier (``ad-slot``); ``has-sidebar`` does not.  It never cuts an outermost article or what holds
+one, but for readers' comments; if a page has no text without such names, they are ignored.  A name of which
+only a part says so is evidence: the tree decides, with ``DOUBT`` instead of ``LOW``.
+
+The text of a page is that of its ``main`` or of its outermost articles, whichever holds more words; of a
+``main``, that of its articles if they hold most of its words.
 
 Nodes are counted per task, added up by a partial aggregation (a host of a third of all pages is one row
 per node and task), and joined back as one short list per host; the list is broadcast only if it was
@@ -43,6 +47,7 @@ from leafwright.session import stored
 MIN_PAGES = 4
 MIN_SHARE = 0.1
 LOW = 0.35
+DOUBT = 0.6  # the same for elements with a name that partly says noise
 DECAY = 0.9
 DEPTH = 64  # deeper elements count as parts of their ancestor at this depth
 SMALL = 200_000  # nodes that may be broadcast
@@ -61,8 +66,9 @@ CONTAINER = frozenset(
 )
 NEVER_CUT = frozenset("article body main".split())
 NOISE = frozenset(
-    """head nav footer aside form menu dialog search button select svg math object audio video canvas
-    script style textarea title noscript template iframe xmp noembed noframes""".split()
+    """head nav footer aside form menu dialog search button select object audio video canvas
+    script style textarea title noscript template iframe xmp noembed noframes
+    annotation annotation-xml desc metadata defs""".split()
 )
 NOISE_NAMES = frozenset(
     """ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion
@@ -71,6 +77,15 @@ NOISE_NAMES = frozenset(
     replies share sharing social related recommended newsletter subscribe subscription signup login search
     widget toolbar masthead skip""".split()
 )
+# Parts of names: places that decide alone at a name's end, mere carriers after a noise name, beginnings of
+# names that tell about something else, and readers' comments.
+PLACES = frozenset("footer menu nav navbar navigation sidebar breadcrumb breadcrumbs toolbar masthead pagination".split())
+CARRIERS = frozenset(
+    """bar slot area box wrapper wrap container list section block unit panel inner holder links items row group
+    buttons button icons posts stories articles zone""".split()
+)
+ABOUT = frozenset("has no not with without is in category tag type format post single".split())
+COMMENTS = frozenset("comment comments reply replies respond disqus".split())
 NOISE_ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split()
 )
@@ -86,7 +101,7 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>|<[!?][^<>]*+>", re.DOTALL
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'<>]++))?")
-_NAMES = re.compile(r"[A-Za-z]+")
+_NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)")
 
 
@@ -99,40 +114,58 @@ class _Open:
     """An open element."""
 
     __slots__ = (
-        "tag", "path", "depth", "noise", "cut", "main", "shape", "texts", "container", "kids", "named", "skip",
+        "tag", "path", "depth", "noise", "cut", "main", "shape", "texts", "container", "kids", "named", "skip", "doubt",
     )
 
-    def __init__(self, tag, path, depth, noise, cut, main, container, named=None, skip=False):
+    def __init__(self, tag, path, depth, noise, cut, main, container, named=None, skip=False, doubt=False):
+        # main: 1 in a main element, 2 in an article, 3 in both
         self.tag, self.path, self.depth, self.noise, self.cut, self.main = tag, path, depth, noise, cut, main
         self.shape, self.texts, self.container, self.kids = [], [], container, Counter()
-        # innermost element that only a name marks as noise: [has an article, the next one outside]; text is not read
-        self.named, self.skip = named, skip
+        # innermost element that only a name marks as noise: [has an article, the next one outside, is of
+        # comments]; text is not read; a part of its name says noise
+        self.named, self.skip, self.doubt = named, skip, doubt
+
+
+def _said(token: str, main: int) -> tuple[bool, bool, bool]:
+    """Whether a class or id marks noise, readers' comments, or a part of it says noise."""
+    parts = [w.lower() for w in _NAMES.findall(token)]
+    if not parts:
+        return False, False, False
+    doubt = not NOISE_NAMES.isdisjoint(parts)
+    if len(parts) > 1 and parts[0] in ABOUT:
+        return False, False, doubt
+    noise = (
+        NOISE_NAMES.issuperset(parts) or parts[-1] in PLACES or (parts[-1] == "header" and not main)
+        or (len(parts) > 1 and parts[-1] in CARRIERS and NOISE_NAMES.issuperset(parts[:-1]))
+    )
+    comments = parts[0] in COMMENTS or parts[-1] in COMMENTS
+    return noise or comments, comments, doubt and not noise
 
 
-def _named_noise(tag: str, attributes: str, main: int) -> tuple[bool, bool, str]:
-    """Whether an element is not main text by its kind, or by its name alone, and its class for the path."""
+def _named_noise(tag: str, attributes: str, main: int) -> tuple[bool, bool, bool, bool, str]:
+    """Whether an element is not main text by its kind, by its name alone, is of comments, may be noise by a
+    part of its name, and its class for the path."""
     values = {}
     if attributes and not attributes.isspace():
         for name, value in _ATTRIBUTE.findall(attributes):
             values.setdefault(name.lower(), value.strip("\"'") if value else "")
-    names = " ".join(values.get(a, "") for a in ("class", "id"))
-    words, named = set(), False
-    for token in names.split():
-        parts = {w.lower() for w in _NAMES.findall(token)}
-        words |= parts
-        named = named or (bool(parts) and (parts <= NOISE_NAMES or (parts == {"header"} and not main)))
+    tokens = " ".join(values.get(a, "") for a in ("class", "id")).split()
+    said = [_said(token, main) for token in tokens]
+    named, comments, doubt = (any(x[k] for x in said) for k in range(3))
     noise = (
         tag in NOISE or values.get("role", "").lower() in NOISE_ROLES
         or "hidden" in values or values.get("aria-hidden") == "true" or (tag == "header" and not main)
     )
     exempt = tag in ("html", "body", "main")
-    return noise and not exempt, named and not exempt and (tag != "article" or main == 2), " ".join(sorted(words))
+    named = named and not exempt and (tag != "article" or bool(main & 2) or comments)
+    label = " ".join(sorted({w.lower() for token in tokens for w in _NAMES.findall(token)}))
+    return noise and not exempt, named, comments and named, doubt and not named, label
 
 
 def walk(
     page: str | None, low: frozenset[int] = frozenset(), close=None, by_name: bool = True
 ) -> list[tuple[int, bool, str]]:
-    """The blocks of a page: (2 in an article, 1 in main, else 0; cut for its importance; text).
+    """The blocks of a page: (1 in main, 2 in an article, 3 in both, else 0; cut for its importance; text).
 
     Text in named noise is left out, unless ``by_name`` is false and a class or id is all that names it.
     ``close`` is called with each container that ends.
@@ -202,15 +235,13 @@ def walk(
         parent = stack[-1]
         if tag in VOID:
             continue
-        noise, named, label = _named_noise(tag, found.group(3), parent.main)
-        named = named and by_name
+        noise, named, comments, doubt, label = _named_noise(tag, found.group(3), parent.main)
+        named, comments = named and by_name, comments and by_name
         if parent.depth < DEPTH:
             parent.kids[tag, label] += 1
             path = xxh3_64_intdigest(f"{tag} {label} {parent.kids[tag, label]}", seed=parent.path)
         else:
             path = parent.path
-        main = max(parent.main, 2 if tag == "article" else 1 if tag == "main" else 0)
-        cut = parent.cut or (tag not in NEVER_CUT and path in low)
         if tag in RAW:
             stop = re.compile(f"</{tag}\\b[^>]*>", re.IGNORECASE).search(page, at)
             at = stop.end() if stop else len(page)
@@ -220,14 +251,18 @@ def walk(
         if found.group(3).rstrip().endswith("/") and tag in ("svg", "math"):
             continue
         noise = noise or parent.noise
-        outermost = tag == "article" and parent.main < 2 and not noise
+        among = comments or bool(parent.named and parent.named[2])  # readers' comments
+        outermost = tag == "article" and parent.main < 2 and not noise and not among
+        main = parent.main | (2 if outermost else 1 if tag == "main" else 0)
+        cut = (parent.cut and not outermost) or (tag not in NEVER_CUT and path in low)
         mark = parent.named if outermost else None
         while mark and not mark[0]:
             mark[0], mark = True, mark[1]
         # names of elements inside a line cut the line, not the block
         skip = not outermost and (parent.skip or (named and not block))
         container = tag in CONTAINER and not noise and not skip and parent.depth < DEPTH
-        stack.append(_Open(tag, path, parent.depth + 1, noise, cut, main, container, [False, parent.named] if named else parent.named, skip))
+        mark = [False, parent.named, among] if named else parent.named
+        stack.append(_Open(tag, path, parent.depth + 1, noise, cut, main, container, mark, skip, doubt))
         opened[tag] += 1
         if container:
             holders.append(stack[-1])
@@ -238,16 +273,20 @@ def walk(
 
 
 def main_text(page: str | None, low: frozenset[int] = frozenset()) -> str:
-    """The main text: blocks of the article, else of main, else of the page, without the cut ones."""
+    """The main text: blocks of the page's main or articles, else of the page, without the cut ones."""
     blocks = walk(page, low) or walk(page, low, by_name=False)
-    level = max((b[0] for b in blocks), default=0)
-    kept = [b for b in blocks if b[0] == level]
+    size = lambda rows: sum(len(b[2].split()) for b in rows)
+    inside, free = [b for b in blocks if b[0] & 1], [b for b in blocks if b[0] == 2]
+    kept = (inside if size(inside) >= size(free) else free) or blocks
+    inner = [b for b in inside if b[0] == 3]
+    if kept is inside and 2 * size(inner) > size(inside):
+        kept = inner
     return "\n\n".join(t for _, _, t in [b for b in kept if not b[1]] or kept)
 
 
 def count_nodes(pages: DataFrame, url: str, html: str) -> DataFrame:
     """host, path, kind, value, pages: on how many different pages a node has a presentation (kind 0), a text
-    below it (1), or is there at all (2).  Path 0 is the host itself."""
+    below it (1), or is there at all (2, the value says whether its name is in doubt).  Path 0 is the host."""
     different = (
         pages.select(host_of(url).alias("host"), F.col(html).alias("html")).filter("html is not null")
         .groupBy("host", F.md5("html")).agg(F.first("html").alias("html")).select("host", "html")
@@ -262,7 +301,7 @@ def count_nodes(pages: DataFrame, url: str, html: str) -> DataFrame:
                 def close(element, seen=seen):
                     if element.tag in NEVER_CUT:
                         return
-                    seen.add((element.path, 2, 0))
+                    seen.add((element.path, 2, int(element.doubt)))
                     seen.add((element.path, 0, hash_of(" ".join(element.shape))))
                     seen.update((element.path, 1, t) for t in element.texts)
 
@@ -291,12 +330,12 @@ def hash_of(text: str) -> int:
 
 
 def importance(nodes: DataFrame) -> DataFrame:
-    """host, path, pages, importance of every container of the style trees."""
+    """host, path, pages, doubt, importance of every container of the style trees."""
     per = nodes.groupBy("host", "path", "kind", "value").agg(F.sum("pages").alias("n"))
     n = F.col("n")
     of = lambda kind, value: F.sum(F.when(F.col("kind") == kind, value))
     sums = per.groupBy("host", "path").agg(
-        of(2, n).alias("pages"),
+        of(2, n).alias("pages"), (F.max(F.when(F.col("kind") == 2, F.col("value"))) > 0).alias("doubt"),
         of(0, F.lit(1)).alias("shapes"), of(0, n).alias("shaped"), of(0, n * F.log(n)).alias("shape_logs"),
         F.coalesce(of(1, F.lit(1)), F.lit(0)).alias("texts"),
         F.coalesce(of(1, F.log(n)), F.lit(0.0)).alias("text_logs"),
@@ -306,22 +345,21 @@ def importance(nodes: DataFrame) -> DataFrame:
     shape = F.least(F.lit(1.0), (F.log("shaped") - F.col("shape_logs") / F.col("shaped")) / spread)
     content = F.when(F.col("texts") > 0, 1 - F.col("text_logs") / F.col("texts") / spread).otherwise(0.0)
     weight = F.pow(F.lit(DECAY), F.col("shapes"))
-    return sums.select("host", "path", "pages", ((1 - weight) * shape + weight * content).alias("importance"))
+    return sums.select("host", "path", "pages", "doubt", ((1 - weight) * shape + weight * content).alias("importance"))
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """``pages`` without ``html``, with ``text`` and ``n_chars``."""
+    bar = F.when(F.col("doubt"), DOUBT).otherwise(LOW)
     low = stored(
-        importance(count_nodes(pages, url, html)).filter((F.col("importance") < LOW) | (F.col("path") == 0))
+        importance(count_nodes(pages, url, html)).filter((F.col("importance") < bar) | (F.col("path") == 0))
         .select("host", "path", "pages")
     )
-    nodes, node = F.col("path") != 0, F.struct("path", "pages")
-    per_host = (
-        low.groupBy("host").agg(F.collect_set(F.when(nodes, node)).alias("nodes"), F.max(F.when(~nodes, F.col("pages"))).alias("all"))
-        .select(F.col("host").alias("__host"), F.filter("nodes", lambda n: n.pages >= MIN_SHARE * F.col("all")).alias("nodes"))
-        .filter(F.size("nodes") > 0).select("__host", F.col("nodes.path").alias("__low"))
-    )
-    if low.filter(nodes).count() <= SMALL:
+    hosts = low.filter("path = 0").select("host", F.col("pages").alias("all"))
+    # Only what is on a share of a host's pages is gathered: some ten times the elements of a page.
+    nodes = stored(low.filter("path <> 0").join(hosts, "host").filter(F.col("pages") >= MIN_SHARE * F.col("all")))
+    per_host = nodes.groupBy(F.col("host").alias("__host")).agg(F.collect_set("path").alias("__low"))
+    if nodes.count() <= SMALL:
         per_host = F.broadcast(per_host)
     kept = [c for c in pages.columns if c not in (html, "text", "n_chars")]
     joined = pages.select(*kept, html).join(per_host, host_of(url) == F.col("__host"), "left").drop("__host")

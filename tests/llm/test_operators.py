@@ -513,3 +513,75 @@ def test_style_tree_cuts_what_pages_share(spark):
     assert got[50][0].startswith("Home") and got[51] == ("", 0)
     assert all(len(t) == n for t, n in got.values())
     assert style_tree.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<main><p>Long body here</p><article>teaser</article></main>", "Long body here\n\nteaser"),
+        ("<main><article><p>Long body text here</p></article><div>More</div></main>", "Long body text here"),
+        ('<main><p>Real body</p></main><article class="comment"><p>reader says a lot more than the body</p></article>', "Real body"),
+        ('<article><p>Body</p></article><div id="comments"><article>reader one</article></div>', "Body"),
+        ("<main><p>t</p></main><article><p>the whole long story</p></article>", "the whole long story"),
+        ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be <svg><title>i</title><text>y</text></svg></p></article>", "Let x=1 be y"),
+        ('<div class="page-content has-sidebar"><p>body</p></div>', "body"),
+        ('<p>body</p><div class="siteFooter">c</div><div id="navBar">d</div>', "body"),
+    ]
+    + [(f'<p>body</p><div class="{name}">other</div>', "body") for name in
+       ("cookie-bar", "site-footer", "main-menu", "page-header", "ad-slot", "widget-area", "related-posts", "share-buttons")]
+    + [(f'<p>body</p><div class="{name}">other</div>', "body\n\nother") for name in
+       ("has-sidebar", "no-comments", "category-social", "post-header", "content-area", "shadow-box", "header-free-text")],
+)
+def test_main_text_regions_and_names(page, want):
+    assert style_tree.main_text(page) == want
+
+
+def test_importance_by_hand(spark):
+    # one host, eight different pages: the same menu, a list whose shape differs, texts of which some repeat
+    def page(i):
+        items = "".join(f"<li>item {i} {k}</li>" for k in range(1 + i % 2))
+        return f"<div>menu</div><ul>{items}</ul><section><p>{'same' if i < 4 else f'own {i}'}</p></section>"
+
+    rows = [(i, "http://h/", page(i)) for i in range(8)]
+    nodes = style_tree.count_nodes(spark.createDataFrame(rows, "page_id long, url string, html string"), "url", "html")
+    got = sorted(r.importance for r in style_tree.importance(nodes).filter("path <> 0").collect())
+
+    def entropy(shares):
+        return -sum(s * math.log(s) for s in shares) / math.log(8)
+
+    def mixed(shapes, texts):
+        # texts: on how many pages each is
+        presentation = entropy(shapes)
+        content = 1 - sum(math.log(n) for n in texts) / len(texts) / math.log(8)
+        weight = style_tree.DECAY ** len(shapes)
+        return (1 - weight) * presentation + weight * content
+
+    menu = mixed([1.0], [8])
+    entries = mixed([0.5, 0.5], [1] * 12)
+    section = mixed([1.0], [4, 1, 1, 1, 1])
+    assert got == pytest.approx(sorted([menu, entries, section]))
+    # by tag name, what is alike everywhere is cut
+    found = {r.page_id: r.text for r in style_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert menu < style_tree.LOW < min(entries, section)
+    assert found[0] == "item 0 0\n\nsame" and found[5] == "item 5 0\n\nitem 5 1\n\nown 5"
+
+
+def test_names_in_doubt_are_judged_by_the_tree(spark):
+    # half of the texts repeat: too important to be cut, unless a part of the name says noise
+    def page(i, name):
+        note = f"note {i // 4}"
+        return f"<article><p>body {i}</p></article><div class='x'><div class='{name}'>{note}</div><p>t {i}</p></div>"
+
+    for name, cut in (("shadow-free-ad-text", True), ("free-text", False)):
+        rows = [(i, f"http://{name}/", page(i, name).replace("article", "div")) for i in range(12)]
+        frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+        judged = style_tree.importance(style_tree.count_nodes(frame, "url", "html")).collect()
+        assert any(r.doubt for r in judged) == cut
+        assert all("note" not in r.text for r in style_tree.extract(frame).collect()) == cut
+
+
+def test_quality_counts_stop_words_in_any_case(spark):
+    text = " ".join(["the cat and the dog of a house in the town"] * 1 + [f"word{i} of the line" for i in range(20)])
+    docs = spark.createDataFrame([(1, text, "en", "a", 0), (2, text.upper(), "en", "a", 0)], DOCS)
+    low, high = (r for r in quality.judge(docs).orderBy("doc_id").collect())
+    assert low.n_stop_words == high.n_stop_words > 40 and low.kept == high.kept
