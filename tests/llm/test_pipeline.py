@@ -74,3 +74,47 @@ def test_token_stage(steps):
     rows = steps[5].collect()
     assert len(rows) == steps[4].count()
     assert all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in rows)
+
+
+LONG = " ".join(f"the word{i} of" for i in range(60))
+OTHER = " ".join(f"the thing{i} of" for i in range(60))
+ROWS = [
+    (1, LONG, "en", "a", 1), (1, OTHER, "en", "a", 1), (2, OTHER.replace("thing", "item"), "en", "b", 1), (3, LONG, "en", "b", 2),
+    (3, LONG, "en", "b", 2), (4, None, None, None, None), (5, "", "en", "a", 0), (6, " \n ", "en", "a", 3), (None, LONG, "en", "a", 1),
+    (7, LONG + "\n" + " ".join(f"der satz{i} und" for i in range(20_000)), "de", None, 9),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string, lang string, source string, n_chars long")
+    return docs.withColumn("__key", F.lit("mine")).withColumn("kept", F.lit(1)).withColumn("id", F.lit(0)).withColumn("copies", F.lit("x"))
+
+
+@pytest.mark.parametrize("place", range(5))
+def test_stages_on_odd_and_empty_tables(spark, odd, place):
+    name, stage = corpus_pipeline.STAGES[place]
+    rows = stage(spark, odd, SF).collect()
+    assert stage(spark, odd.limit(0), SF).count() == 0
+    ids = collections.Counter(r.doc_id for r in rows)
+    if place == 0:  # blank texts go; all others have enough stop words
+        assert ids == collections.Counter({1: 2, 2: 1, 3: 2, None: 1, 7: 1})
+    elif place == 1:  # no line is on enough sites
+        assert ids == collections.Counter(r[0] for r in ROWS)
+    elif place == 2:
+        texts = {(r.doc_id, r.text) for r in rows}
+        # id 1 has two texts: both stay, each for its own group; 3 is a copy of the first
+        assert texts == {(r[0], r[1]) for r in ROWS if r[0] != 3} and len(rows) == len(texts)
+    elif place == 3:
+        assert all(n <= 2 * sum(r[0] == i for r in ROWS) for i, n in ids.items())
+    else:
+        assert ids == collections.Counter(r[0] for r in ROWS)
+
+
+def test_shared_ids_lose_no_document_and_reruns_agree(spark):
+    docs = spark.createDataFrame([(1, LONG, "en", "b", 1), (1, OTHER, "en", "a", 1), (2, "C c c", "en", "a", 1)] * 2, "doc_id long, text string, lang string, source string, n_chars long")
+    first = sorted(map(tuple, corpus_pipeline.near_duplicates(spark, docs, SF).collect()))
+    again = sorted(map(tuple, corpus_pipeline.near_duplicates(spark, docs.repartition(5), SF).collect()))
+    assert first == again and [(r[0], r[1]) for r in first] == [(1, OTHER), (1, LONG), (2, "C c c")]
