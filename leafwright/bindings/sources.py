@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import warnings
 import zipfile
 from collections.abc import Iterator
@@ -17,11 +18,11 @@ from leafwright.operators.findings import raise_rules, summary, union_findings
 from leafwright.operators.nesting import with_owners
 from leafwright.rules import category_of
 from leafwright.rules import rules as rule_dimension
-from leafwright.session import literal_frame, stored, table
+from leafwright.session import literal_frame, shared_dir, stored, table
 from leafwright.sources.corpus import identify, package_members
 from leafwright.sources.html import attribute, shred_html, with_tree
 from leafwright.sources.records import check_batch
-from leafwright.sources.sinks import report_lines, sarif, sarif_parts
+from leafwright.sources.sinks import publish, published, report_lines, sarif, sarif_parts
 from leafwright.sources.validator import failed_rules, parse_validation, validate_reports
 from leafwright.sources.xml import shred_xml
 
@@ -448,6 +449,28 @@ def a9_publication_state(spark: SparkSession, sf: str) -> DataFrame:
     return guarded_candidate(pages, pages, violations, "page_id")[0]
 
 
+@query(
+    "a9_publication_log",
+    f"""WITH {FINDINGS}, n AS (SELECT count(*) AS a, count(*) FILTER (WHERE severity = 'error') AS e FROM findings)
+       SELECT unnest([1, 2, 3, 4, 5]) AS attempt, unnest(['PREVIEW', 'REFUSED', 'PUBLISHED', 'REFUSED', 'PUBLISHED']) AS state,
+         unnest([0, 0, a, a, e])::BIGINT AS n_rows FROM n""",
+)
+def a9_publication_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Five attempts at one destination and the rows a reader sees after each."""
+    found = stored(page_findings(spark, sf).select("doc_id", "rule_id", "pos", "severity"))
+    errors = found.filter("severity = 'error'")
+    path = f"{shared_dir(spark)}/published-{uuid.uuid4().hex}"
+    attempts = [(found, {"dry_run": True}), (found, {"violations": found}), (found, {}), (errors, {}), (errors, {"replace": True})]
+    log = None
+    for number, (rows, options) in enumerate(attempts, 1):
+        state = publish(rows, path, **options)
+        seen = published(spark, path)
+        counted = spark.range(1).select(F.lit(0).cast("long").alias("n_rows")) if seen is None else seen.agg(F.count("*").alias("n_rows"))
+        entry = counted.select(F.lit(number).alias("attempt"), F.lit(state).alias("state"), "n_rows")
+        log = entry if log is None else log.unionByName(entry)
+    return log
+
+
 @query(
     "e1_severity_summary",
     f"""WITH {FINDINGS} SELECT page_id::VARCHAR AS doc_id, count(*) FILTER (WHERE severity = 'error') AS errors,

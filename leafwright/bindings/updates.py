@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafwright.bindings.registry import query
-from leafwright.bindings.scalars import pick, pick_sql
-from leafwright.operators import status, update
-from leafwright.session import table
+from leafwright.bindings.registry import query, words_sql
+from leafwright.bindings.scalars import ADDR, LINES, TRIM, lines, pick, pick_sql
+from leafwright.operators import edits, status, update
+from leafwright.operators.sequence import ordinal
+from leafwright.session import stored, table
 
 
 def customers(spark: SparkSession, sf: str) -> DataFrame:
@@ -47,6 +48,90 @@ def k1_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return update.apply_answers(customers(spark, sf), answered(spark, sf), "c_custkey", ["c_name", "c_mktsegment"])[1]
 
 
+def paragraph_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of the documents as paragraphs, every fifth with addresses, every sixth empty."""
+    pos = F.col("pos")
+    text = F.when(pos % 6 == 2, " ").when(pos % 5 == 0, F.concat("text", F.lit(" see (https://ex.org/a(b).),; or a.b@c.de."))).otherwise(F.col("text"))
+    place = F.array(pos)
+    return lines(spark, sf).select(
+        edits.row_id(F.col("doc_id"), place).alias("row_id"), "doc_id", place.alias("place"), F.lit("p").alias("kind"), text.alias("text"),
+        F.lit(None).cast("string").alias("href"), F.lit(None).cast("string").alias("parent"), F.col("doc_id").alias("table_id"), "pos",
+        (pos % 4 == 0).alias("breaks"), F.lit(False).alias("protected"),
+    )
+
+
+def typed_edits(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Spacers dropped, header rows grouped and addresses linked, one edit after the other."""
+    rows = paragraph_rows(spark, sf)
+    docs = table(spark, sf, "documents").select("doc_id").distinct()
+    kept, removed, first = edits.drop_spacers(rows, docs.filter("doc_id % 2 = 0"))
+    kept = stored(ordinal(kept, ["doc_id"], "pos", "y"))
+    wanted = docs.select("doc_id", F.col("doc_id").alias("table_id"), (F.col("doc_id") % 4).alias("headers"))
+    headed, grouped, second = edits.header_rows(kept, wanted)
+    linked, split, third = edits.linkify_rows(stored(headed), docs)
+    return linked, removed.unionByName(grouped).unionByName(split), first.unionByName(second).unionByName(third)
+
+
+_EDITED = (
+    TRIM.format(
+        source=f"""{LINES}, para AS (SELECT doc_id, pos, CASE WHEN pos % 6 = 2 THEN ' ' WHEN pos % 5 = 0 THEN text || ' see (https://ex.org/a(b).),; or a.b@c.de.' ELSE text END AS text
+             FROM lines),
+           kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS y, count(*) OVER (PARTITION BY doc_id) AS n, min(pos) OVER (PARTITION BY doc_id) AS p FROM para
+             WHERE NOT (doc_id % 2 = 0 AND {words_sql("text")} = '' AND pos % 4 <> 0)),
+           raw AS (SELECT doc_id, pos, unnest(a) AS raw, generate_subscripts(a, 1)::BIGINT AS n FROM (SELECT doc_id, pos, regexp_extract_all(text, '{ADDR}') AS a FROM kept))""",
+        key="doc_id, pos, n",
+    )
+    + f""", fenced AS (SELECT doc_id, pos, string_split_regex(regexp_replace(text, '({ADDR})', chr(57344) || '\1' || chr(57345), 'g'), '[' || chr(57344) || chr(57345) || ']') AS p FROM kept),
+       pieces AS (SELECT doc_id, pos, unnest(p) AS piece, generate_subscripts(p, 1)::BIGINT - 1 AS i FROM fenced),
+       parts AS (SELECT * FROM (SELECT doc_id, pos, i * 2 AS segment, piece AS words, NULL AS href FROM pieces WHERE i % 2 = 0
+         UNION ALL SELECT p.doc_id, p.pos, i * 2, token, CASE WHEN regexp_matches(token, '(?i)^https?://') THEN token ELSE 'mailto:' || token END
+           FROM pieces p JOIN cut c ON c.doc_id = p.doc_id AND c.pos = p.pos AND c.n = (i + 1) // 2 WHERE i % 2 = 1
+         UNION ALL SELECT p.doc_id, p.pos, i * 2 + 1, substr(raw, length(token) + 1), NULL
+           FROM pieces p JOIN cut c ON c.doc_id = p.doc_id AND c.pos = p.pos AND c.n = (i + 1) // 2 WHERE i % 2 = 1) WHERE length(words) > 0),
+       news AS (SELECT * FROM parts WHERE segment > 0 OR href IS NOT NULL),
+       lead AS (SELECT doc_id, pos, max(CASE WHEN segment = 0 AND href IS NULL THEN words ELSE '' END) AS lead FROM parts GROUP BY 1, 2 HAVING bool_or(segment > 0 OR href IS NOT NULL)),
+       head AS (SELECT DISTINCT doc_id, doc_id || '/' || (p - 1) || '.0' AS wrapper, doc_id % 4 AS h FROM kept WHERE doc_id % 4 BETWEEN 1 AND n - 1)"""
+)
+
+
+@query(
+    "k1_typed_edits",
+    f"""WITH {_EDITED}
+       SELECT k.doc_id, pos::VARCHAR AS place, 'p' AS kind, coalesce(lead, text) AS text, NULL AS href, CASE WHEN y <= h THEN wrapper END AS parent
+         FROM kept k LEFT JOIN lead USING (doc_id, pos) LEFT JOIN head USING (doc_id)
+       UNION ALL SELECT doc_id, pos || '.' || (segment + 1), CASE WHEN href IS NULL THEN 'text' ELSE 'link' END, words, href, doc_id || '/' || pos FROM news
+       UNION ALL SELECT doc_id, split_part(wrapper, '/', 2), 'header', NULL, NULL, NULL FROM head""",
+)
+def k1_typed_edits(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document after three edits that insert, drop and group rows; no other row's place changes."""
+    place = F.array_join(F.transform("place", lambda n: n.cast("string")), ".")
+    return typed_edits(spark, sf)[0].select("doc_id", place.alias("place"), "kind", "text", "href", "parent")
+
+
+@query(
+    "k3_typed_edits",
+    f"""WITH {_EDITED}
+       SELECT reason, count(*) AS n FROM (
+         SELECT 'protected column' AS reason FROM kept WHERE pos % 97 = 3
+         UNION ALL SELECT 'created' FROM kept WHERE pos % 89 = 5
+         UNION ALL SELECT 'unlisted row' FROM kept k LEFT JOIN lead USING (doc_id, pos) LEFT JOIN head USING (doc_id)
+           WHERE lead IS NULL AND NOT coalesce(y <= h, false) AND pos % 83 = 7 AND pos % 97 <> 3) GROUP BY 1""",
+)
+def k3_typed_edits(spark: SparkSession, sf: str) -> DataFrame:
+    """What a spoiled candidate changes beyond the edits' own allowance; the edits alone change nothing else."""
+    after, allowed, _ = typed_edits(spark, sf)
+    pos, own = F.col("pos"), F.col("kind") == "p"
+    spoiled = after.withColumn("breaks", F.when(own & (pos % 97 == 3), ~F.col("breaks")).otherwise(F.col("breaks"))).withColumn(
+        "text", F.when(own & (pos % 83 == 7), F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    )
+    extra = after.filter(own & (pos % 89 == 5)).withColumn("row_id", F.concat("row_id", F.lit("/copy")))
+    columns = ["row_id", "kind", "text", "href", "parent", "breaks", "protected"]
+    wrong = update.preserved(
+        paragraph_rows(spark, sf).select(columns), spoiled.unionByName(extra).select(columns), "row_id", ["text", "parent"], allowed
+    )
+    return wrong.groupBy("reason").agg(F.count("*").alias("n"))
+
+
 _POLICY_KINDS = ["document.metadata", "heading.level", "table.headers", "language.target", "link.description", "text.linkify_addresses"]
 
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import uuid
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafwright.functions.identity import percent_encode
@@ -115,20 +119,87 @@ def sarif_parts(results: DataFrame, run: str, order: list[str], size: int = PART
     )
 
 
+def _commits(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(number, manifest) of every commit file, by number; one is a line, so they are few and short."""
+    files = _files(spark, path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/commits")
+    if not files.exists(folder):
+        return []
+    numbers = sorted(int(f.getPath().getName()) for f in files.listStatus(folder) if f.getPath().getName().isdigit())
+    if not numbers:
+        return []
+    texts = spark.read.text([f"{path}/commits/{n:09d}" for n in numbers], wholetext=True)
+    named = texts.select("value", F.col("_metadata.file_name").alias("name")).toArrow().to_pylist()
+    by_name = {row["name"]: row["value"] for row in named}
+    return [(n, by_name.get(f"{n:09d}", "")) for n in numbers]
+
+
+def _files(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def _manifest(text: str) -> dict | None:
+    """A commit's manifest; null for one whose writer was lost before its end."""
+    try:
+        found = json.loads(text)
+    except ValueError:
+        return None
+    return found if isinstance(found, dict) and found.get("complete") else None
+
+
+def published(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows of the newest complete commit; null where nothing has been published."""
+    for _, text in reversed(_commits(spark, path)):
+        manifest = _manifest(text)
+        if manifest:
+            return spark.read.parquet(f"{path}/{manifest['folder']}")
+    return None
+
+
+def stage(df: DataFrame, path: str) -> dict:
+    """First phase: write the rows where no reader looks; returns what a commit needs."""
+    base = max((n for n, _ in _commits(df.sparkSession, path)), default=-1)
+    folder = f"versions/{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{folder}")
+    return {"folder": folder, "base": base}
+
+
+def commit(spark: SparkSession, path: str, staged: dict, *, replace: bool = False) -> str:
+    """Second phase: make staged rows the published ones by creating the next commit file.
+
+    The file is created only if it is not there (the file system must be able to tell, as HDFS is), so of two
+    publishers that staged on the same base one is refused.  A commit whose writer was lost before its end
+    does not count, and a lost publisher leaves nothing that a reader sees.
+    """
+    known = _commits(spark, path)
+    if any(n > staged["base"] for n, _ in known) or (not replace and any(_manifest(t) for _, t in known)):
+        return "REFUSED"
+    jvm = spark._jvm
+    name = jvm.org.apache.hadoop.fs.Path(f"{path}/commits/{staged['base'] + 1:09d}")
+    try:
+        out = _files(spark, path).create(name, False)
+    except Py4JJavaError as error:
+        if "AlreadyExists" in str(error.java_exception):
+            return "REFUSED"
+        raise
+    out.write(bytearray(json.dumps({"folder": staged["folder"], "complete": True}).encode()))
+    out.close()
+    return "PUBLISHED"
+
+
 def publish(df: DataFrame, path: str, violations: DataFrame | None = None, *, replace=False, dry_run=False):
-    """Write ``df`` unless something forbids it; returns PUBLISHED, PREVIEW or REFUSED.
+    """Publish ``df`` unless something forbids it; returns PUBLISHED, PREVIEW or REFUSED.
 
-    An existing destination is refused unless it may be replaced, any violation refuses, and a dry
-    run writes nothing.
+    An existing destination is refused unless it may be replaced, any violation refuses, and a dry run
+    writes nothing.  Readers (see ``published``) have the old rows until the commit and the new ones after.
     """
     if violations is not None and not violations.isEmpty():
         return "REFUSED"
     if dry_run:
         return "PREVIEW"
-    jvm = df.sparkSession._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    files = target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf())
-    if files.exists(target) and not replace:
+    spark = df.sparkSession
+    foreign = _files(spark, path).exists(spark._jvm.org.apache.hadoop.fs.Path(path)) and not _commits(spark, path)
+    if not replace and (foreign or any(_manifest(text) for _, text in _commits(spark, path))):
         return "REFUSED"
-    df.write.mode("overwrite" if replace else "errorifexists").parquet(path)
-    return "PUBLISHED"
+    return commit(spark, path, stage(df, path), replace=replace)
