@@ -13,6 +13,7 @@ from leafwright.functions.identity import fingerprint, target_path
 from leafwright.functions.uri import local_resource
 from leafwright.operators import compare, grids, references, structure, update
 from leafwright.session import table
+from leafwright.operators.context import with_context
 from leafwright.sources.html import with_tree
 
 _KIND = ["bookmark", "reference-mark", "link"]
@@ -643,3 +644,21 @@ def d23_question_context(spark: SparkSession, sf: str) -> DataFrame:
     heads = tags.filter("tag = 'h1'").groupBy("page_id").agg(F.min_by("text", "ord").alias("page"))
     links = tags.filter("tag = 'a'").select("page_id", F.col("ord").alias("pos"), F.col("text").alias("excerpt"))
     return found.join(links, ["page_id", "pos"], "left").join(heads, "page_id", "left")
+
+
+@query(
+    "d23_nearest_landmarks",
+    f"""WITH {FINDINGS}, m AS (SELECT page_id, ord, text, CASE WHEN tag IN ('h1', 'h2', 'h3') THEN 'heading' ELSE 'block' END AS kind FROM tags
+          WHERE NOT closing AND tag IN ('h1', 'h2', 'h3', 'p', 'li', 'div'))
+        SELECT f.page_id::VARCHAR AS doc_id, f.ord AS pos, f.rule_id, arg_max(m.text, m.ord) FILTER (WHERE m.kind = 'heading' AND m.ord <= f.ord) AS heading,
+          arg_max(m.text, m.ord) FILTER (WHERE m.kind = 'block' AND m.ord <= f.ord) AS block, any_value(l.text) AS excerpt
+        FROM findings f JOIN links l USING (page_id, ord) LEFT JOIN m ON m.page_id = f.page_id GROUP BY 1, 2, 3""",
+)
+def d23_nearest_landmarks(spark: SparkSession, sf: str) -> DataFrame:
+    """Every finding with the nearest heading and block before it, and its link's own words."""
+    found = page_findings(spark, sf).select("doc_id", "pos", "rule_id")
+    tags = page_tags(spark, sf).filter(~F.col("closing")).select(F.col("page_id").cast("string").alias("doc_id"), F.col("ord").alias("pos"), "tag", "text")
+    kind = F.when(F.col("tag").isin("h1", "h2", "h3"), "heading").when(F.col("tag").isin("p", "li", "div"), "block")
+    marks = tags.withColumn("kind", kind).filter("kind IS NOT NULL").withColumnRenamed("text", "name")
+    excerpts = tags.filter("tag = 'a'").withColumnRenamed("text", "excerpt")
+    return with_context(found, marks, ["heading", "block"], excerpts)

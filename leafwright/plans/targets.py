@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwright.functions.identity import row_weight
+from leafwright.operators.context import with_context
 from leafwright.operators.nesting import with_owners
 from leafwright.operators.sequence import ordinal
+from leafwright.plans import nodes as odf
 
 # Elements by the kind their path names, and what an answer may change in them.
 KINDS = {
@@ -16,6 +18,7 @@ KINDS = {
     "text:note": "note", "office:chart": "chart",
 }
 ANSWERABLE = ["text:outline-level", "office:title", "draw:decorative", "table:name", "draw:name", "draw:nav-order"]
+EXCERPT = 200  # characters
 ANSWERED_ELEMENTS = ["svg:title", "svg:desc"]
 
 
@@ -62,3 +65,24 @@ def named(findings: DataFrame, nodes: DataFrame) -> DataFrame:
         "fingerprint": F.when(about & F.col("kind_id").isNotNull(), F.col("target_fingerprint")).otherwise(F.col("fingerprint")),
     }
     return joined.select(*[values[c].alias(c) if c in values else F.col(c) for c in findings.columns])
+
+
+def landmarks(nodes: DataFrame) -> DataFrame:
+    """doc_id, pos, kind (page, sheet, heading), name: what a reader knows a place by."""
+    rows = odf.body(nodes)
+    tag, attrs = F.col("tag"), F.col("attrs")
+    pages = rows.filter("tag = 'draw:page'").select("doc_id", F.col("node_id").alias("pos"), F.lit("page").alias("kind"), attrs["draw:name"].alias("name"))
+    sheets = rows.filter((tag == "table:table") & (F.col("parent_tag") == "office:spreadsheet")).select(
+        "doc_id", F.col("node_id").alias("pos"), F.lit("sheet").alias("kind"), attrs["table:name"].alias("name")
+    )
+    heads = rows.filter("flow AND tag = 'text:h'").join(odf.words(nodes, ["text:h"]), ["doc_id", "node_id"], "left").select(
+        "doc_id", F.col("node_id").alias("pos"), F.lit("heading").alias("kind"), F.coalesce("words", F.lit("")).alias("name")
+    )
+    return pages.unionByName(sheets).unionByName(heads)
+
+
+def question_context(findings: DataFrame, corpus: DataFrame) -> DataFrame:
+    """The findings that ask a question, with page, sheet, heading and an excerpt of the element's words."""
+    nodes = odf.document_nodes(corpus)
+    said = odf.words(nodes, list(KINDS)).select("doc_id", F.col("node_id").alias("pos"), F.left("words", F.lit(EXCERPT)).alias("excerpt"))
+    return with_context(findings.filter("kind_id IS NOT NULL"), landmarks(nodes), ["page", "sheet", "heading"], said)

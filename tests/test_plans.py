@@ -96,3 +96,37 @@ def test_tables_by_their_logical_rows(spark):
         ("once.fodt", "TABLE001"): "layout-candidate", ("five.fodt", "TABLE001"): "ambiguous",
         ("cross.fodt", "TABLE001"): "ambiguous", ("narrow.fodt", "TABLE002"): "row width",
     }
+
+
+def test_questions_know_their_place(spark):
+    from leafwright.plans.targets import question_context
+
+    sheets = "".join(
+        f'<table:table table:name="{name}"><table:table-row><table:table-cell><draw:frame><draw:image xlink:href="a.png"/></draw:frame></table:table-cell></table:table-row></table:table>'
+        for name in ("One", "Two")
+    )
+    docs = corpus(spark, a_fodt=flat("text", BODY, "text"), s_fods=flat("spreadsheet", sheets, "spreadsheet"))
+    got = question_context(leafwright.audit(docs), docs).collect()
+    text = {r.path: (r.heading, r.excerpt) for r in got if r.doc_id == "a.fodt"}
+    assert text["content/frame[1]"] == ("One", None) and text["content/heading[2]"] == ("Two", "Two")
+    assert text["content/paragraph[1]"] == ("One", "see https://x.example/a now")
+    assert sorted(r.sheet for r in got if r.doc_id == "s.fods" and r.kind_id == "graphic.alternative") == ["One", "Two"]
+
+
+@pytest.mark.parametrize("block", [3, 1 << 18])
+def test_nearest_landmarks_by_brute_force(spark, block):
+    import random
+
+    from leafwright.operators.context import with_context
+
+    rng = random.Random(block)
+    marks = [(f"d{rng.randrange(3)}", rng.randrange(40), rng.choice("xy"), f"n{i}") for i in range(30)]
+    marks = list({(d, p, k): (d, p, k, n) for d, p, k, n in marks}.values())
+    asked = [(f"d{rng.randrange(4)}", rng.randrange(40), i) for i in range(60)]
+    frame = with_context(
+        spark.createDataFrame(asked, "doc_id string, pos long, q int"),
+        spark.createDataFrame(marks, "doc_id string, pos long, kind string, name string"), ["x", "y"], block=block,
+    )
+    last = lambda d, p, k: max(((m[1], m[3]) for m in marks if m[0] == d and m[1] <= p and m[2] == k), default=(0, None))[1]
+    got = {r.q: (r.x, r.y) for r in frame.collect()}
+    assert got == {q: (last(d, p, "x"), last(d, p, "y")) for d, p, q in asked}
