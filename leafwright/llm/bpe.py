@@ -7,7 +7,11 @@ joins neighbouring tokens with the merge table and contracts the leftmost pair o
 piece, until no piece has a pair left.  Decoding joins tokens with the vocabulary and aggregates their
 bytes in order.
 
-A long piece (a run of one symbol, say) would need as many rounds as it has merges, so pieces over
+No merge crosses a place that no token of the vocabulary spans in the text as it stands, so a piece over
+``LONG`` bytes is cut there first, in one scan for the longest token at each byte; the parts are encoded like
+pieces.  That makes a run of any length linear, unless tokens span all of it.
+
+A long part (a run of one symbol, say) would need as many rounds as it has merges, so parts over
 ``LONG`` bytes contract all occurrences of their least pair in one round, left to right.  That gives
 the same result unless the new token has a still lower rank together with a neighbour; such tokens are
 marked in the merge table and are contracted one at a time.
@@ -111,6 +115,8 @@ class Codec:
                     left.append(a), right.append(b), merged.append(rank)
         # Tokens that have a lower rank together with a neighbour than by themselves.
         early = {a for a, m in zip(left, merged) if m < a} | {b for b, m in zip(right, merged) if m < b}
+        self._vocabulary = vocabulary
+        self._prefixes: set[bytes] = set()
         self.memory: dict[str, bytes] = {}
         self.spelled: dict[bytes, bytes] = {}
         self._np = np
@@ -157,8 +163,31 @@ class Codec:
         ids = np.asarray(found["token"]).astype("<u4").tobytes()
         return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
+    def _parts(self, piece: bytes) -> list[bytes]:
+        """A piece cut at the places that no token spans."""
+        if not self._prefixes:
+            self._prefixes = {t[:i] for t in self._vocabulary for i in range(1, len(t) + 1)}
+        prefixes, vocabulary = self._prefixes, self._vocabulary
+        out, start, reach = [], 0, 1
+        for at in range(len(piece)):
+            if at and reach <= at:
+                out.append(piece[start:at])
+                start = at
+            end = at + 1
+            while end <= len(piece) and (spelled := piece[at:end]) in prefixes:
+                if end > reach and spelled in vocabulary:
+                    reach = end
+                end += 1
+        return [*out, piece[start:]]
+
     def encode(self, pieces: list[bytes]) -> list[bytes]:
         """Tokens of each non-empty piece, as little-endian 32-bit numbers."""
+        whole = [[p] if len(p) <= LONG else self._parts(p) for p in pieces]
+        distinct = {p: i for i, p in enumerate(dict.fromkeys(p for parts in whole for p in parts))}
+        ids = self._encode_parts(list(distinct))
+        return [b"".join(ids[distinct[p]] for p in parts) for parts in whole]
+
+    def _encode_parts(self, pieces: list[bytes]) -> list[bytes]:
         short = [i for i, p in enumerate(pieces) if len(p) <= LONG]
         long = [i for i, p in enumerate(pieces) if len(p) > LONG]
         out: list[bytes] = [b""] * len(pieces)

@@ -585,3 +585,29 @@ def test_quality_counts_stop_words_in_any_case(spark):
     docs = spark.createDataFrame([(1, text, "en", "a", 0), (2, text.upper(), "en", "a", 0)], DOCS)
     low, high = (r for r in quality.judge(docs).orderBy("doc_id").collect())
     assert low.n_stop_words == high.n_stop_words > 40 and low.kept == high.kept
+
+
+def test_bpe_long_runs_are_linear():
+    import time
+
+    import tiktoken
+
+    ranks, pattern = bpe.vocabulary()
+    codec = bpe.Codec(ranks)
+    table = {base64.b64decode(t): int(r) for t, r in (line.split() for line in ranks.splitlines())}
+    whole = tiktoken.Encoding("x", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+    rng = random.Random(7)
+    runs = [
+        "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000)),
+        "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(50_000)),
+        "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(30_000)),
+        "".join(rng.choice("的一是不了人我在有他这中大来上国") for _ in range(20_000)),
+        "the" * 2_000 + "ab" * 100,
+    ]
+    for run in runs:
+        start = time.perf_counter()
+        (ids,) = codec.encode([run.encode()])
+        assert time.perf_counter() - start < 60
+        assert np.frombuffer(ids, "<u4").tolist() == whole.encode_ordinary(run)
+    parts = codec._parts(runs[0].encode())
+    assert b"".join(parts).decode() == runs[0] and max(map(len, parts)) < 2_000
