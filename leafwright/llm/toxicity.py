@@ -9,7 +9,9 @@ neither says alone.  The pairs cost no more than the terms, by the identity
 It is fitted to a sample of the labelled rows of at most about ``MAX_LABELLED`` documents, drawn by a
 hash of the key, and keeps the terms that stand in at least ``MIN_SUPPORT`` of them and there much more
 or less often with the label than chance would have it (``MIN_DEVIATIONS``), so that the many indifferent
-words of a long text do not add up.  Both bounds do not
+words of a long text do not add up.  A term that says nothing alone is kept as well if it does beside a kept
+one: if among the texts with that one the label goes with it much more or less often (``PAIR_SUPPORT``,
+``PAIR_DEVIATIONS``).  All bounds do not
 depend on the corpus, so the model (a few megabytes) is fitted on the driver and broadcast.  All whole
 texts are then scored where they are: a scan and a map, no exchange.
 
@@ -35,6 +37,8 @@ from leafwright.session import stored
 MAX_LABELLED = 20_000
 MIN_SUPPORT = 8
 MIN_DEVIATIONS = 5.0
+PAIR_SUPPORT = 20  # texts with both terms, and with the kept one alone
+PAIR_DEVIATIONS = 6.0
 FACTORS = 6
 EPOCHS = 8
 BATCH = 64
@@ -81,11 +85,18 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, n_terms: int, terms: np.ndar
     bias = float(np.log((positive + 0.5) / (len(labels) - positive + 9.5)))
     weight, seen_w = np.zeros(n_terms), np.full(n_terms, 1e-6)
     factors, seen_v = rng.normal(0, 0.01, (n_terms, FACTORS)), np.full((n_terms, FACTORS), 1e-6)
-    filled = np.array([i for i, r in enumerate(rows) if len(r)], int)
-    for _ in range(EPOCHS if len(filled) else 0):
-        order = rng.permutation(filled)
+    filled = np.array([len(r) > 0 for r in rows], bool)
+    seen_b = 1e-6
+    for _ in range(EPOCHS if filled.any() else 0):
+        order = rng.permutation(len(rows))
         for start in range(0, len(order), BATCH):
             chosen = order[start : start + BATCH]
+            bare, chosen = chosen[~filled[chosen]], chosen[filled[chosen]]
+            g_b = (1 / (1 + np.exp(-bias)) - labels[bare]).sum()  # texts without a term have the bias alone
+            if not len(chosen):
+                seen_b += g_b**2
+                bias -= RATE * g_b / np.sqrt(seen_b)
+                continue
             at = np.concatenate([rows[i] for i in chosen])
             sizes = np.array([len(rows[i]) for i in chosen])
             first = np.cumsum(sizes) - sizes
@@ -94,6 +105,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, n_terms: int, terms: np.ndar
             pairs = ((sums**2) - np.add.reduceat(v**2, first)).sum(1) / 2
             z = bias + np.add.reduceat(weight[at], first) + pairs
             error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[chosen]
+            g_b += error.sum()
+            seen_b += g_b**2
+            bias -= RATE * g_b / np.sqrt(seen_b)
             per_term = np.repeat(error, sizes)
             places, inverse = np.unique(at, return_inverse=True)
             g_w = np.bincount(inverse, per_term) + DECAY * weight[places]
@@ -103,7 +117,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, n_terms: int, terms: np.ndar
             seen_v[places] += g_v**2
             weight[places] -= RATE * g_w / np.sqrt(seen_w[places])
             factors[places] -= RATE / 4 * g_v / np.sqrt(seen_v[places])
-    return Machine(terms, bias, weight, factors)
+    return Machine(terms, float(bias), weight, factors)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, train: Column, key: str, text: str, label: str) -> DataFrame:
@@ -133,8 +147,11 @@ def learn(rows: DataFrame) -> Machine:
     support = hashed.select("label", F.explode("terms").alias("term")).groupBy("term").agg(
         F.count("*").alias("n"), F.sum("label").alias("hits")
     )
+    support = stored(support.filter(F.col("n") >= MIN_SUPPORT))
     far = F.abs(F.col("hits") - F.col("n") * rate) > MIN_DEVIATIONS * F.sqrt(F.col("n") * rate * (1 - rate))
-    frequent = support.filter((F.col("n") >= MIN_SUPPORT) & far).select("term").toArrow()
+    telling = stored(support.filter(far))
+    beside = telling_beside(hashed, telling, support)
+    frequent = telling.select("term").union(beside).distinct().toArrow()
     terms = np.sort(frequent.column("term").to_numpy().view(np.uint64))
     shared = rows.sparkSession.sparkContext.broadcast(terms)
 
@@ -150,6 +167,32 @@ def learn(rows: DataFrame) -> Machine:
     return fit(places, sample.column("label").to_numpy().astype(float), len(terms), terms)
 
 
+def telling_beside(hashed: DataFrame, telling: DataFrame, support: DataFrame) -> DataFrame:
+    """term: those that among the texts with a telling term shift the share of labels.
+
+    ``hashed`` is the bounded sample; its telling terms, a few of each text, meet the text's other terms, and
+    the pairs are counted where they are before they are moved.
+    """
+    # a telling term that leaves no doubt has nothing to shift
+    open_ = telling.filter((F.col("n") >= 2 * PAIR_SUPPORT) & (F.col("hits").between(1, F.col("n") - 1)))
+    known = open_.select(F.col("term").alias("kept"), (F.col("hits") / F.col("n")).alias("share"), F.col("n").alias("n_kept"))
+    listed = hashed.select("draw", F.explode("terms").alias("kept")).join(known.select("kept"), "kept").groupBy("draw").agg(
+        F.collect_set("kept").alias("kept")
+    )
+    pairs = hashed.join(listed, "draw").select("label", "terms", F.explode("kept").alias("kept")).select(
+        "label", "kept", F.explode("terms").alias("term")
+    )
+    counted = pairs.groupBy("kept", "term").agg(F.count("*").alias("n"), F.sum("label").alias("hits")).filter(
+        (F.col("n") >= PAIR_SUPPORT) & (F.col("kept") != F.col("term"))
+    )
+    joined = counted.join(known, "kept").join(telling.select("term"), "term", "left_anti").join(support.select("term"), "term", "left_semi")
+    n, share = F.col("n"), F.col("share")
+    # of n texts drawn without return from those with the kept term
+    spread = F.sqrt(n * share * (1 - share) * (F.col("n_kept") - n) / (F.col("n_kept") - 1))
+    shifts = (F.col("n_kept") - n >= PAIR_SUPPORT) & (F.abs(F.col("hits") - n * share) > PAIR_DEVIATIONS * spread)
+    return joined.filter(shifts).select("term").distinct()
+
+
 def _places(found: np.ndarray, terms: np.ndarray) -> np.ndarray:
     """Where the terms of a text stand among the machine's, those it lacks left out."""
     if not len(terms) or not len(found):

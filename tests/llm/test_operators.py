@@ -611,3 +611,36 @@ def test_bpe_long_runs_are_linear():
         assert np.frombuffer(ids, "<u4").tolist() == whole.encode_ordinary(run)
     parts = codec._parts(runs[0].encode())
     assert b"".join(parts).decode() == runs[0] and max(map(len, parts)) < 2_000
+
+
+def test_toxicity_learns_terms_that_say_nothing_alone(spark):
+    rng = random.Random(9)
+    filler = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in ("lm", "rt", "nd", "st")]
+    rows, labels = [], []
+    for i in range(6000):
+        w = [rng.choice(filler) for _ in range(12)]
+        insult, mild, group = (rng.random() < 0.5 for _ in range(3))
+        w += ["zorkan"] * insult + ["pibbet"] * mild + ["wexil"] * group
+        rng.shuffle(w)
+        rows.append((i, " ".join(w)))
+        labels.append((i, int((insult and group) or (mild and not group))))
+    # alone the group's word goes with both labels alike
+    alone = [y for (_, t), (_, y) in zip(rows, labels) if "wexil" in t.split()]
+    assert abs(sum(alone) / len(alone) - 0.5) < 0.03
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    train = toxicity.fold("doc_id", 4) != 2
+    machine = toxicity.learn(toxicity.training_rows(docs, marks, train, "doc_id", "text", "toxic"))
+    assert set(toxicity.word_terms("wexil")) <= set(machine.terms.tolist())
+    found = toxicity.score(docs.withColumn("held_out", ~train), machine).join(marks, "doc_id").filter("held_out").collect()
+    assert sum((r.score >= 0.5) == (r.toxic == 1) for r in found) >= 0.95 * len(found)
+
+
+def test_machine_equals_a_double_loop():
+    rng = np.random.default_rng(2)
+    machine = toxicity.Machine(np.arange(9, dtype=np.uint64), 0.3, rng.normal(size=9), rng.normal(size=(9, 4)))
+    for size in range(9):
+        at = rng.permutation(9)[:size]
+        z = machine.bias + sum(machine.weight[i] for i in at)
+        z += sum(machine.factors[i] @ machine.factors[j] for k, i in enumerate(at) for j in at[:k])
+        assert machine.logit(at) == pytest.approx(z)
