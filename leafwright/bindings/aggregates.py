@@ -10,7 +10,7 @@ from leafwright.bindings.joins import RANGES, RUNS, series_ranges, value_runs
 from leafwright.bindings.registry import TAGS, query
 from leafwright.bindings.scalars import LINES, lines
 from leafwright.bindings.sources import FINDINGS, page_findings, page_tags
-from leafwright.operators import findings as fo
+from leafwright.operators import documents, findings as fo
 from leafwright.operators import grids, status, structure
 from leafwright.operators.graph import STANDARD_ROLES
 from leafwright.operators.sequence import first_list
@@ -155,11 +155,10 @@ def e6_batch_status(spark: SparkSession, sf: str) -> DataFrame:
 def e7_style_usage(spark: SparkSession, sf: str) -> DataFrame:
     """Use of every style with its parent, most used first."""
     items = table(spark, sf, "lineitem")
-    used = items.groupBy(F.concat("l_returnflag", "l_linestatus", "l_linenumber").alias("style")).agg(F.count("*").alias("n"))
-    defined = items.filter("l_returnflag <> 'R'").groupBy(
-        F.concat("l_returnflag", "l_linestatus", "l_linenumber").alias("style")
-    ).agg(F.min("l_returnflag").alias("parent"))
-    return used.join(defined, "style", "left").orderBy(F.desc("n"), "style")
+    name = F.concat("l_returnflag", "l_linestatus", "l_linenumber").alias("style")
+    defined = items.filter("l_returnflag <> 'R'").groupBy(name).agg(F.min("l_returnflag").alias("parent"))
+    used = documents.style_usage(items.select(name), defined.withColumn("status", F.lit(None).cast("string")), ["style"])
+    return used.select("style", "n", "parent").orderBy(F.desc("n"), "style")
 
 
 @query("e8_tag_histogram", f"WITH {TAGS} SELECT page_id, tag, count(*) AS n FROM tags WHERE NOT closing GROUP BY 1, 2")

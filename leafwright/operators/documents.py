@@ -475,3 +475,15 @@ def audit_languages(blocks: DataFrame, styles: DataFrame) -> DataFrame:
     silent = F.coalesce("western", "asian", "complex").isNull()
     rule = F.when(missing | F.col("status").isNotNull(), "LANG002").when(silent, "LANG001")
     return joined.withColumn("rule_id", rule).filter(F.col("rule_id").isNotNull())
+
+
+def style_usage(blocks: DataFrame, styles: DataFrame, keys: list[str]) -> DataFrame:
+    """Use of every style with its parent and why it cannot be resolved, null where it can (STYLE001).
+
+    ``blocks``: one row per use, with ``keys`` (the last names the style, "" for none).  ``styles``: keys,
+    parent, status; one row per key.
+    """
+    used = blocks.groupBy(*keys).agg(F.count("*").alias("n"))
+    joined = used.join(styles.withColumn("__known", F.lit(True)), keys, "left")
+    missing = F.col("__known").isNull() & (F.col(keys[-1]) != "")
+    return joined.select(*keys, "n", "parent", F.when(missing, "missing").otherwise(F.col("status")).alias("problem"))

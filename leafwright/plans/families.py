@@ -102,7 +102,7 @@ def table_findings(cells: DataFrame) -> DataFrame:
 
 
 def sheet_findings(body: DataFrame, cells: DataFrame) -> DataFrame:
-    """SHEET003 for empty sheets after the last filled one, ORDER003 for hidden rows and columns."""
+    """SHEET003 for empty sheets after the last filled one."""
     sheets = body.filter((F.col("tag") == "table:table") & (F.col("parent_tag") == "office:spreadsheet"))
     shown = cells.filter("sheet").groupBy("doc_id", F.col("table_id").alias("node_id")).agg(
         F.bool_or(~is_blank(F.col("words"))).alias("filled")
@@ -113,15 +113,7 @@ def sheet_findings(body: DataFrame, cells: DataFrame) -> DataFrame:
     no = F.lit(False)
     empty = ~F.coalesce("filled", no) & ~F.coalesce("drawn", no)
     trailing = structure.trailing_empty(both, "doc_id", "node_id", empty)
-    hidden = body.filter(F.col("tag").isin("table:table-row", "table:table-column")).select(
-        "doc_id", _local(F.col("tag")).alias("class"), _attr("table:style-name").alias("style"), _attr("table:visibility").alias("state")
-    )
-    none = hidden.select("doc_id", "style").filter("false").withColumn("hidden", no)
-    counted = documents.hidden_content(hidden, none)
-    return fo.union_findings(
-        fo.raise_rule(trailing, "SHEET003", path=_at("sheet", F.col("ord")), pos=F.col("node_id")),
-        fo.raise_rule(counted, "ORDER003", details={"class": F.col("class"), "count": F.col("n")}),
-    )
+    return fo.union_findings(fo.raise_rule(trailing, "SHEET003", path=_at("sheet", F.col("ord")), pos=F.col("node_id")))
 
 
 def page_findings(body: DataFrame) -> DataFrame:

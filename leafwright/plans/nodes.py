@@ -30,7 +30,7 @@ BOUNDARIES = ["table:table-cell", "table:covered-table-cell", "draw:text-box"]
 # What a check asks for above a node; every other element leaves no mark on what is below it.
 WATCHED = [
     *EXCLUDED, *HIDDEN, *BOUNDARIES, "office:body", "office:spreadsheet", "office:chart", "office:image", "office:scripts",
-    "office:database", "text:note", "text:a", "text:list", "text:list-item", "text:section", "text:event-listeners",
+    "office:database", "office:automatic-styles", "text:note", "text:a", "text:list", "text:list-item", "text:section", "text:event-listeners",
     "draw:page", "draw:a", "draw:control", "form:control", "form:event-listeners", "office:event-listeners", "script:event-listener",
     "table:table", "table:table-header-rows", "table:table-header-columns", "chart:title", "math:annotation",
     "math:annotation-xml", "math:mphantom", "db:query-collection", "db:component-collection", "db:table-representation",

@@ -13,6 +13,7 @@ from leafwright.operators import documents, graph, references, status, structure
 from leafwright.operators import findings as fo
 from leafwright.plans import nodes as odf
 from leafwright.plans.families import family_findings
+from leafwright.plans import styles as style_plans
 from leafwright.plans.targets import named
 from leafwright.session import stored
 from leafwright.sources.corpus import package_members
@@ -81,7 +82,7 @@ def _kind_findings(corpus: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def _text_findings(nodes: DataFrame) -> DataFrame:
+def _text_findings(nodes: DataFrame, styles: DataFrame) -> DataFrame:
     """Headings, links, lists, references, notes, visibility, layout and spacing."""
     attr = lambda n: F.col("attrs")[n]
     body = stored(odf.body(nodes))
@@ -110,8 +111,10 @@ def _text_findings(nodes: DataFrame) -> DataFrame:
     marked = flow.filter(
         (F.col("tag") == "text:p") & ~F.array_contains("above", "text:list") & words_.typed_marker(F.col("words"))
     )
-    blank = body.filter("flow AND tag = 'text:p'").join(said, ["doc_id", "node_id"], "left").select(
-        "doc_id", F.col("words").alias("text"), attr("text:style-name").alias("style"), F.lit(False).alias("breaks"),
+    broken = styles.filter("family = 'paragraph' AND props['breaks'] = 'true'").select("doc_id", "style", F.lit(True).alias("breaks"))
+    blank = body.filter("flow AND tag = 'text:p'").join(said, ["doc_id", "node_id"], "left").withColumn("style", attr("text:style-name"))
+    blank = blank.join(broken, ["doc_id", "style"], "left").select(
+        "doc_id", F.col("words").alias("text"), "style", F.coalesce("breaks", F.lit(False)).alias("breaks"),
         F.exists("above", lambda t: t.isin("table:table-cell", "draw:text-box", "text:list-item", "office:annotation", "text:note")).alias("protected"),
     )
     lists = odf.lists_of(nodes)
@@ -249,7 +252,13 @@ def audit(corpus: DataFrame) -> DataFrame:
     open_, _ = fo.split_blocked(early, corpus.select("doc_id"))
     readable = stored(nodes.join(open_, "doc_id", "left_semi"))
     kept = members.filter("problem IS NULL")
-    late = [_text_findings(readable), _revision_findings(readable), _object_findings(readable), *family_findings(readable, kept)]
+    styles = stored(style_plans.effective(readable))
+    said = odf.words(readable, ["text:p", "text:h"])
+    late = [
+        _text_findings(readable, styles), _revision_findings(readable), _object_findings(readable), *family_findings(readable, kept),
+        style_plans.style_findings(readable, said, styles), style_plans.hidden_findings(readable, styles),
+        style_plans.range_findings(readable), style_plans.resource_findings(readable, kept),
+    ]
     whole = late[0]
     for frame in late[1:]:
         whole = whole.unionByName(frame)
