@@ -175,6 +175,37 @@ def chart_findings(body: DataFrame, said: DataFrame, nodes: DataFrame) -> DataFr
     )
 
 
+def series_findings(body: DataFrame, cells: DataFrame) -> DataFrame:
+    """CHART009-011: series against the cached table of their chart."""
+    tables = body.filter(_under("office:chart") & (F.col("tag") == "table:table")).select(
+        "doc_id", F.col("node_id").alias("table_id"), F.coalesce(_attr("table:name"), F.lit("")).alias("name")
+    )
+    one = tables.groupBy("doc_id", F.col("name").alias("table")).agg(F.count("*").alias("__same"), F.min("table_id").alias("__named"))
+    only = tables.groupBy("doc_id").agg(F.count("*").alias("__all"), F.min("table_id").alias("__only"))
+
+    def resolved(tag: str, address: str, name: str) -> DataFrame:
+        """Ranges of one cached table; an address without a name is of the only one."""
+        rows = body.filter((F.col("tag") == tag) & _under("office:chart")).select("doc_id", F.col("node_id").alias(name), parse_range(_attr(address)).alias("r"))
+        found = rows.filter("r IS NOT NULL").select("doc_id", name, "r.*").join(one, ["doc_id", "table"], "left").join(only, "doc_id", "left")
+        table = F.when(F.col("table").isNull() & (F.col("__all") == 1), F.col("__only")).when(F.col("__same") == 1, F.col("__named"))
+        return found.withColumn("table_id", table).filter("table_id IS NOT NULL").drop("table", "__same", "__named", "__all", "__only")
+
+    size = lambda a: (F.col(f"last_{a}") - F.col(f"first_{a}") + 1).cast("long")
+    ranges = stored(resolved("chart:series", "chart:values-cell-range-address", "series_id"))
+    categories = resolved("chart:categories", "table:cell-range-address", "category_id").groupBy("doc_id").agg(
+        F.count("*").alias("__n"), F.max(size("row")).alias("category_rows"), F.max(size("column")).alias("category_columns")
+    ).filter("__n = 1").drop("__n")
+    series = ranges.select("doc_id", "series_id", size("row").alias("rows"), size("column").alias("columns")).join(categories, "doc_id", "left")
+    odd = grids.nonnumeric(F.col("value_type"), F.col("covered"), ~is_blank(F.col("words")))
+    runs = cells.select(
+        "doc_id", "table_id", F.col("y").alias("run_start"), F.col("y_end").alias("run_end"), F.col("x").alias("col_start"),
+        F.col("x_end").alias("col_end"), odd.alias("nonnumeric"),
+    )
+    found = grids.series_consistency(series, grids.cells_in_range(ranges, runs, ["doc_id", "table_id"]))
+    sid = F.col("series_id")
+    return fo.union_findings(fo.raise_rule(found, F.col("rule_id"), path=_at("chart-series", sid), pos=sid))
+
+
 def image_findings(body: DataFrame, members: DataFrame) -> DataFrame:
     """IMAGE003-005 of image documents."""
     inside = body.filter(_under("office:image"))
@@ -229,6 +260,7 @@ def family_findings(nodes: DataFrame, members: DataFrame) -> list[DataFrame]:
         page_findings(body),
         math_findings(nodes),
         chart_findings(body, said, nodes),
+        series_findings(body, cells),
         image_findings(body, members),
         database_findings(body, nodes, members),
     ]

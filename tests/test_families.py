@@ -52,7 +52,21 @@ TRACKED = (
     "<text:changed-region text:id='b'><text:insertion/></text:changed-region></text:tracked-changes>"
     "<text:h text:outline-level='1'>x</text:h><text:p><text:change text:change-id='a'/><text:change text:change-id='z'/></text:p>"
 )
+LOCAL = table("local-table", *[cell(f"c{i}") + cell(str(i), 'office:value-type="float"') + cell("x" if i == 3 else "1", 'office:value-type="float"' if i != 3 else "") for i in range(1, 5)])
+
+
+def chart(values: str, categories: str = "local-table.A1:local-table.A4") -> str:
+    plot = f'<chart:axis><chart:categories table:cell-range-address="{categories}"/></chart:axis><chart:series chart:values-cell-range-address="{values}"/>'
+    return flat("chart", f"<chart:chart><chart:title><text:p>c</text:p></chart:title><chart:plot-area>{plot}</chart:plot-area>{LOCAL}</chart:chart>", "chart")
+
+
+SERIES = {"CHART009", "CHART010", "CHART011"}
 CASES = {
+    "c1.fodc": (chart("local-table.B1:local-table.B4"), set(), SERIES),
+    "c2.fodc": (chart("local-table.B1:local-table.B3"), {"CHART010"}, {"CHART009", "CHART011"}),
+    "c3.fodc": (chart("local-table.C1:local-table.C4"), {"CHART011"}, {"CHART009", "CHART010"}),
+    "c4.fodc": (chart("local-table.B1:local-table.C2"), {"CHART009"}, {"CHART010", "CHART011"}),
+    "c5.fodc": (chart("other.B1:other.B3"), set(), SERIES),
     "r.fodt": (flat("text", TRACKED, "text"), {"REVISION003", "REVISION004", "REVISION006"}, {"REVISION001", "REVISION002", "REVISION005"}),
     "s.fods": (flat("spreadsheet", SHEETS, "spreadsheet"), {"SHEET002", "SHEET003", "TABLE004"}, {"SHEET001", "TABLE005"}),
     "t.fodt": (flat("text", "<text:h text:outline-level='1'>x</text:h>" + HEADED, "text"), set(), {"TABLE001", "TABLE002", "TABLE003"}),
