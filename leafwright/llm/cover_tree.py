@@ -2,9 +2,12 @@
 
 Vectors are scaled to length one, where a cosine of ``c`` is a distance of ``sqrt(2 - 2 c)``.  A tree of
 nested levels with halving radii is built from a bounded sample: a level holds the centres of the level
-above and every sampled vector that none of them covers.  The finest level with few enough centres for
-the size of the table is the leaf level.  *Every* vector then goes to its nearest leaf, and each leaf's
-covering radius is the largest distance that occurs, so the bounds hold for all vectors, sampled or not.
+above and every sampled vector that none of them covers.  The finest level with few enough centres is the
+leaf level.  *Every* vector then goes to its nearest leaf if that covers it; those that no leaf covers are
+strays.  While many are, a bounded sample of them joins the first one and the tree is built again, so that it
+comes to know the groups of the whole table and not only the large ones.  Each leaf's covering radius is the
+largest distance that occurs in it, so the bounds hold for all vectors, sampled or not; what strays are left
+are one more leaf, which meets all others.
 
 Two nodes are visited together, starting with the root and itself.  If their centres are further apart
 than both radii and the threshold's distance, no vector of one links with any of the other and the pair
@@ -32,14 +35,18 @@ from pyspark.sql import functions as F
 from leafwright.llm.common import read
 from leafwright.llm.components import components
 from leafwright.llm.registry import query
-from leafwright.session import literal_frame, stored
+from leafwright.session import stored
 
 COSINE = 0.95
-SAMPLE = 2000  # vectors the tree is built from
-MAX_LEAVES = 512
-ROWS_PER_LEAF = 1024
+SAMPLE = 2000  # vectors the tree is built from at first, and that each later round adds
+ROUNDS = 4
+MANY = 0.02  # share of strays that asks for another round
+MAX_LEAVES = 2048
+LEAST_RADIUS = 0.2
 BLOCK = 4096  # vectors of a block
 STRIP = 256
+PAIRS = 200_000  # pairs of nodes whose distances are computed at once
+SMALL = 200_000  # pairs of leaves that may be broadcast
 SLACK = 1e-7  # for rounding of distances
 
 
@@ -47,7 +54,7 @@ def build(sample: np.ndarray, max_leaves: int) -> list[tuple[np.ndarray, np.ndar
     """Levels from the root on: (centres as places in ``sample``, parent of each in the level above)."""
     levels = [(np.array([0]), np.array([0]))]
     radius = 1.0
-    while radius > 0.05:
+    while radius > LEAST_RADIUS:
         above = levels[-1][0]
         centres, parents = list(above), list(range(len(above)))
         near = sample @ sample[centres].T
@@ -77,29 +84,31 @@ def surviving(levels, sample: np.ndarray, radii: np.ndarray, reach: float) -> li
         filled = covering[0] >= 0
         np.maximum.at(up, parents[filled], (away + covering[0])[filled])
         covering.insert(0, up)
-    children = [
-        [np.flatnonzero(levels[d + 1][1] == i) for i in range(len(levels[d][0]))] for d in range(len(levels) - 1)
-    ]
-    pairs, found = [(0, 0)], []
+    x = y = np.zeros(1, np.int64)
     for depth in range(len(levels)):
-        kept = []
-        for x, y in pairs:
-            if covering[depth][x] < 0 or covering[depth][y] < 0:
-                continue
-            a, b = sample[levels[depth][0][x]], sample[levels[depth][0][y]]
-            if np.linalg.norm(a - b) <= covering[depth][x] + covering[depth][y] + reach + SLACK:
-                kept.append((x, y))
-        if depth == len(levels) - 1:
-            found = kept
-            break
-        pairs = [
-            (int(min(i, j)), int(max(i, j)))
-            for x, y in kept
-            for i in children[depth][x]
-            for j in children[depth][y]
-            if x != y or i <= j
-        ]
-    return sorted(set(found))
+        centres, cover = sample[levels[depth][0]], covering[depth]
+        filled = (cover[x] >= 0) & (cover[y] >= 0)
+        x, y = x[filled], y[filled]
+        near = np.zeros(len(x), bool)
+        for low in range(0, len(x), PAIRS):
+            i, j = x[low : low + PAIRS], y[low : low + PAIRS]
+            near[low : low + PAIRS] = np.linalg.norm(centres[i] - centres[j], axis=1) <= cover[i] + cover[j] + reach + SLACK
+        x, y = x[near], y[near]
+        if depth < len(levels) - 1:
+            x, y = _opened(x, y, levels[depth + 1][1], len(centres))
+    return list(zip(x.tolist(), y.tolist()))
+
+
+def _opened(x: np.ndarray, y: np.ndarray, parents: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of children of pairs of nodes; of a node with itself each unordered pair once."""
+    order, counts = np.argsort(parents, kind="stable"), np.bincount(parents, minlength=n)
+    first = np.cumsum(counts) - counts
+    many = counts[x] * counts[y]
+    pair = np.repeat(np.arange(len(x)), many)
+    at = np.arange(len(pair)) - np.repeat(np.cumsum(many) - many, many)
+    i, j = order[first[x[pair]] + at // counts[y[pair]]], order[first[y[pair]] + at % counts[y[pair]]]
+    once = (x[pair] != y[pair]) | (i <= j)
+    return np.minimum(i, j)[once], np.maximum(i, j)[once]
 
 
 def _forest(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -130,13 +139,47 @@ def classes_of(rows: DataFrame, key: str, vector: str) -> DataFrame:
 
 def _units(column, width: int) -> np.ndarray:
     """Vectors scaled to length one, in double precision."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    ends, flat = np.asarray(column.offsets), np.asarray(column.flatten(), float)
+    sizes = np.diff(ends)
     out = np.zeros((len(column), width))
-    for i, v in enumerate(column.to_pylist()):
-        out[i, : len(v)] = v
+    out[np.repeat(np.arange(len(column)), sizes), np.arange(len(flat)) - np.repeat(ends[:-1] - ends[0], sizes)] = flat
     out /= np.abs(out).max(1, keepdims=True)
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
+def _draw(distinct: DataFrame, width: int) -> np.ndarray:
+    """``SAMPLE`` vectors at most, by a hash of the id."""
+    return _units(distinct.orderBy(F.xxhash64("id")).limit(SAMPLE).toArrow().column("v"), width)
+
+
+def _assigned(distinct: DataFrame, width: int, centres: np.ndarray, reached: float) -> DataFrame:
+    """id, m, leaf, away, unit: each vector's nearest centre, or the number of centres if none covers it."""
+    shared = distinct.sparkSession.sparkContext.broadcast(centres)
+
+    def assign(batches):
+        for b in batches:
+            units = _units(b.column("v"), width)
+            leaf, away = np.zeros(len(units), np.int32), np.zeros(len(units))
+            for low in range(0, len(units), STRIP):  # a strip meets all centres at once
+                part = units[low : low + STRIP]
+                near = (part @ shared.value.T).argmax(1)
+                leaf[low : low + STRIP] = near
+                away[low : low + STRIP] = np.linalg.norm(part - shared.value[near], axis=1)
+            leaf[away > reached] = len(shared.value)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id"), b.column("m"), pa.array(leaf), pa.array(away), pa.array([u.tobytes() for u in units], pa.binary())],
+                ["id", "m", "leaf", "away", "unit"],
+            )
+
+    return stored(distinct.select("id", "m", "v").mapInArrow(assign, "id long, m long, leaf int, away double, unit binary"))
+
+
+def _pair_table(rows: list[tuple]) -> pa.Table:
+    columns = np.array(rows or [(-1, 0, 1, 0, 1)], np.int32).T
+    return pa.table(dict(zip(("leaf", "own", "own_n", "other", "other_n"), map(pa.array, columns))))
+
+
 def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """id, n_links, component_id, kept of every row."""
     spark = rows.sparkSession
@@ -145,35 +188,34 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     facts = distinct.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
     count, width = int(facts[0]), int(facts[1])
     reach = float(np.sqrt(2 - 2 * cosine))
-    drawn = distinct.orderBy(F.xxhash64("id")).limit(SAMPLE).toArrow()
-    sample = _units(drawn.column("v"), width) if count else np.eye(1, width)
-    levels = build(sample, int(np.clip(count // ROWS_PER_LEAF, 1, MAX_LEAVES)))
-    centres = spark.sparkContext.broadcast(sample[levels[-1][0]])
-
-    def assign(batches):
-        for b in batches:
-            units = _units(b.column("v"), width)
-            near = units @ centres.value.T
-            leaf = near.argmax(1)
-            away = np.linalg.norm(units - centres.value[leaf], axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("m"), pa.array(leaf.astype(np.int32)), pa.array(away),
-                 pa.array([u.tobytes() for u in units], pa.binary())],
-                ["id", "m", "leaf", "away", "unit"],
-            )
-
-    placed = stored(distinct.select("id", "m", "v").mapInArrow(assign, "id long, m long, leaf int, away double, unit binary"))
+    drawn = _draw(distinct, width) if count else np.eye(1, width)
+    placed, levels = None, None
+    for _ in range(ROUNDS):
+        levels = build(drawn, MAX_LEAVES)
+        centres = drawn[levels[-1][0]]
+        reached = 2.0 ** (2 - len(levels)) if len(levels) > 1 else np.inf  # what a leaf covers
+        placed = _assigned(distinct, width, centres, reached)
+        strays = placed.filter(F.col("leaf") == len(centres))
+        n_strays = strays.count() if len(levels) > 1 else 0
+        if n_strays <= MANY * count:
+            break
+        drawn = np.concatenate((drawn, _draw(distinct.join(strays.select("id"), "id", "left_semi"), width)))
+    n_leaves = len(levels[-1][0])
     per_leaf = placed.groupBy("leaf").agg(F.count("*").alias("rows"), F.max("away").alias("radius")).toArrow()
-    sizes, radii = np.zeros(len(levels[-1][0]), np.int64), np.full(len(levels[-1][0]), -1.0)
+    sizes, radii = np.zeros(n_leaves + 1, np.int64), np.full(n_leaves + 1, -1.0)
     sizes[per_leaf.column("leaf").to_numpy()] = per_leaf.column("rows").to_numpy()
     radii[per_leaf.column("leaf").to_numpy()] = per_leaf.column("radius").to_numpy()
     blocks = -(-sizes // BLOCK)
     first = np.cumsum(blocks) - blocks
-    meets = surviving(levels, sample, radii, reach) if count else []
+    meets = surviving(levels, drawn, radii[:-1], reach) if count else []
+    if sizes[-1]:
+        meets += [(x, n_leaves) for x in range(n_leaves + 1) if sizes[x]]
     both = sorted({(x, y) for x, y in meets} | {(y, x) for x, y in meets})
-    table = [(int(x), int(first[x]), int(blocks[x]), int(first[y]), int(blocks[y])) for x, y in both]
-    # Of a size that MAX_LEAVES bounds.
-    pairs = literal_frame(spark, table or [(-1, 0, 1, 0, 1)], "leaf int, own int, own_n int, other int, other_n int")
+    # A leaf of one vector has nothing to compare with itself.
+    table = [(x, int(first[x]), int(blocks[x]), int(first[y]), int(blocks[y])) for x, y in both if x != y or sizes[x] > 1]
+    # At most a row per pair of MAX_LEAVES leaves; its size decides whether it is broadcast.
+    pairs = spark.createDataFrame(_pair_table(table))
+    pairs = F.broadcast(pairs) if len(table) <= SMALL else pairs
     block = F.col("own") + F.pmod(F.xxhash64("id"), F.col("own_n")).cast("int")
     met = (
         placed.join(pairs, "leaf").withColumn("block", block)

@@ -406,9 +406,12 @@ def test_toxicity_without_labels(spark, odd, empty):
 # embeddings
 
 
-@pytest.mark.parametrize("cap", [1, 64])
-def test_cover_tree_by_brute_force(spark, monkeypatch, cap):
-    monkeypatch.setattr(cover_tree, "ROWS_PER_LEAF", 10 if cap > 1 else 10**9)
+@pytest.mark.parametrize("cap, sample", [(1, 2000), (64, 2000), (64, 7), (2048, 2000)])
+def test_cover_tree_by_brute_force(spark, monkeypatch, cap, sample):
+    # no tree, one that groups, one that knows few groups and leaves strays, one leaf per vector
+    monkeypatch.setattr(cover_tree, "MAX_LEAVES", cap)
+    monkeypatch.setattr(cover_tree, "SAMPLE", sample)
+    monkeypatch.setattr(cover_tree, "MANY", 0.02 if sample > 7 else 0.9)
     monkeypatch.setattr(cover_tree, "BLOCK", 37)
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(12, 16))
@@ -447,6 +450,26 @@ def test_cover_tree_drops_pairs():
     assert close <= set(pairs)
 
 
+def test_cover_tree_prunes_clusters_beyond_its_first_sample(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    n, each = 1200, 15
+    centres = rng.normal(size=(n, 64))
+    vectors = (np.repeat(centres, each, 0) + rng.normal(size=(n * each, 64)) * 0.1).astype(np.float32)
+    compared = []
+    table = cover_tree._pair_table
+    monkeypatch.setattr(cover_tree, "SAMPLE", 700)  # sees about half of the clusters
+    monkeypatch.setattr(cover_tree, "_pair_table", lambda rows: compared.extend(rows) or table(rows))
+    rows = [(i, v) for i, v in enumerate(vectors.tolist())]
+    found = cover_tree.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    units = vectors.astype(float)
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    links = np.concatenate([(units[k : k + 3000] @ units.T >= 0.95).sum(1) - 1 for k in range(0, len(units), 3000)])
+    assert {r.id: r.n_links for r in found} == dict(enumerate(links.tolist())) and links.sum() > 10 * len(links)
+    # blocks that met, in both directions; without pruning all leaves would meet each other
+    leaves = {x for x, *_ in compared}
+    assert len(compared) < 0.05 * len(leaves) ** 2
+
+
 # HTML
 
 
