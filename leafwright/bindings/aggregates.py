@@ -242,9 +242,7 @@ def e11_fonts(spark: SparkSession, sf: str) -> DataFrame:
     """Fonts without their subset tag; embedded if any subset is."""
     k = F.col("p_partkey")
     raw = F.when(k % 2 == 0, F.concat(F.lit("ABCDEF+"), "p_name")).otherwise(F.col("p_name"))
-    name = F.regexp_replace(raw, r"^[A-Z]{6}\+", "")
-    rows = table(spark, sf, "part").select(F.col("p_type").alias("doc_id"), name.alias("font"), (k % 9 == 0).alias("e"))
-    return rows.groupBy("doc_id", "font").agg(F.bool_or("e").alias("embedded"))
+    return documents.fonts(table(spark, sf, "part").select(F.col("p_type").alias("doc_id"), raw.alias("font"), (k % 9 == 0).alias("embedded")))
 
 
 # Review topics in canonical order.

@@ -487,3 +487,12 @@ def style_usage(blocks: DataFrame, styles: DataFrame, keys: list[str]) -> DataFr
     joined = used.join(styles.withColumn("__known", F.lit(True)), keys, "left")
     missing = F.col("__known").isNull() & (F.col(keys[-1]) != "")
     return joined.select(*keys, "n", "parent", F.when(missing, "missing").otherwise(F.col("status")).alias("problem"))
+
+
+def fonts(rows: DataFrame) -> DataFrame:
+    """Fonts of each document without their subset tag; embedded if any subset is.
+
+    ``rows``: doc_id, font (as the file names it), embedded.
+    """
+    name = F.regexp_replace("font", r"^[A-Z]{6}\+", "")
+    return rows.groupBy("doc_id", name.alias("font")).agg(F.bool_or("embedded").alias("embedded"))

@@ -35,7 +35,7 @@ WATCHED = [
     "table:table", "table:table-header-rows", "table:table-header-columns", "chart:title", "math:annotation",
     "math:annotation-xml", "math:mphantom", "db:query-collection", "db:component-collection", "db:table-representation",
 ]
-HIDING = "#hidden"  # the mark of a section that hides what is in it
+HIDING = "#hidden"  # the mark of a section or paragraph that is hidden with what is in it
 UNKNOWN = "{"  # the mark of an element of another namespace
 PARTS_SCHEMA = "doc_id string, part string, content binary"
 _FLUSH_BYTES = 64 << 20  # unpacked bytes handed back to Spark at once
@@ -73,19 +73,31 @@ def document_parts(corpus: DataFrame) -> DataFrame:
     return packed.unionByName(flat)
 
 
-def placed(nodes: DataFrame) -> DataFrame:
-    """Node rows with parent_tag, nearest and level (see ``operators.nesting``); unread documents keep their row."""
+def _hides() -> Column:
+    """Whether a section hides what is in it, at once or on a condition, or a paragraph holds a field that does."""
     attr = lambda n: F.col("attrs")[n]
-    # What a section hides, at once or on a condition, is not read.
-    hides = attr("text:display").isin("none", "condition") | attr("text:condition").isNotNull()
+    section = attr("text:display").isin("none", "condition") | attr("text:condition").isNotNull()
+    return ((F.col("tag") == "text:section") & F.coalesce(section, F.lit(False))) | F.col("held")
+
+
+def placed(nodes: DataFrame) -> DataFrame:
+    """Node rows with parent_tag, nearest and level (see ``operators.nesting``), and ``held``: whether a
+    paragraph holds a field that hides it.  Documents that could not be read keep their row."""
+    key = ["doc_id", "part"]
+    fields = nodes.filter("tag = 'text:hidden-paragraph'").select(*key).distinct()
+    some = nodes.join(fields, key, "left_semi").select(*key, "node_id", "last_id", "tag")
+    # a field hides the innermost paragraph around it
+    held = with_owners(some, F.col("tag").isin("text:p", "text:h")).filter("tag = 'text:hidden-paragraph'").groupBy(*key, "node_id").agg(
+        F.max("owner_id").alias("owner")
+    ).select(*key, F.col("owner").alias("node_id"), F.lit(True).alias("held")).distinct()
+    rows = nodes.filter("problem IS NULL").join(held, [*key, "node_id"], "left").withColumn("held", F.coalesce("held", F.lit(False)))
     mark = lambda test, name: F.when(test, name)
     marks = F.array_compact(
         F.array(
-            mark(F.col("tag").isin(WATCHED), F.col("tag")), mark(F.col("tag").startswith("{"), F.lit(UNKNOWN)),
-            mark((F.col("tag") == "text:section") & F.coalesce(hides, F.lit(False)), F.lit(HIDING)),
+            mark(F.col("tag").isin(WATCHED), F.col("tag")), mark(F.col("tag").startswith("{"), F.lit(UNKNOWN)), mark(_hides(), F.lit(HIDING))
         )
-    )
-    known = with_enclosing(nodes.filter("problem IS NULL"), marks, "text:list", BOUNDARIES)
+    )
+    known = with_enclosing(rows, marks, "text:list", BOUNDARIES)
     return known.unionByName(nodes.filter("problem IS NOT NULL"), allowMissingColumns=True)
 
 
@@ -119,12 +131,9 @@ def body(nodes: DataFrame) -> DataFrame:
     place = F.concat(F.split_part(kind, F.lit(":"), F.lit(-1)), F.lit("["), owner, F.lit("]"))
     own_context = owner.isNotNull() & ((kind != "table:table") | above("office:spreadsheet"))
     context = F.when(own_context, F.concat(F.lit("content/"), place)).otherwise("content")
-    hides = (F.col("tag") == "text:section") & F.coalesce(
-        F.col("attrs")["text:display"].isin("none", "condition") | F.col("attrs")["text:condition"].isNotNull(), F.lit(False)
-    )
     return (
         rows.withColumn("above", F.map_keys("nearest")).withColumn("context", context)
-        .withColumn("hidden", above(HIDING) | hides).withColumn("flow", in_flow(F.col("tag")) & ~hides)
+        .withColumn("hidden", above(HIDING) | _hides()).withColumn("flow", in_flow(F.col("tag")) & ~_hides())
     )
 
 

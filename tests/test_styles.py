@@ -65,6 +65,9 @@ CASES = {  # name: (document, rules that must be there, rules that must not)
     "page.fodp": (doc("presentation", "presentation", '<draw:page draw:name="p" draw:style-name="d"/>', "", style("d", None, '<style:drawing-page-properties presentation:visibility="hidden"/>', "drawing-page")), {"ORDER003"}, set()),
     "ends.fodt": (doc("text", "text", MARKS.format("end"), DEFAULT), set(), {"REF003"}),
     "starts.fodt": (doc("text", "text", MARKS.format("start"), DEFAULT), {"REF003"}, set()),
+    "hidden.fodt": (doc("text", "text", '<text:p><text:span>see https://x.example/ <text:hidden-paragraph text:condition="c"/></text:span><text:a xlink:href="#a"/></text:p>', DEFAULT), set(), {"LINK001", "LINK003"}),
+    "beside.fodt": (doc("text", "text", '<text:p><text:hidden-paragraph text:condition="c"/></text:p><text:p>see https://x.example/</text:p><text:p><text:a xlink:href="#a"/></text:p>', DEFAULT), {"LINK001", "LINK003"}, set()),
+    "around.fodt": (doc("text", "text", '<text:p>see https://x.example/ <draw:frame><draw:text-box><text:p><text:hidden-paragraph/>https://y.example/</text:p></draw:text-box></draw:frame></text:p>', DEFAULT), {"LINK001"}, set()),
     "field.fodt": (doc("text", "text", "<text:p><text:file-name>f</text:file-name></text:p>", DEFAULT), {"NATIVE002"}, {"NATIVE001"}),
     "missing.odt": (package("Pictures/b.png"), {"NATIVE001"}, {"NATIVE002"}),
     "there.odt": (package("Pictures/a.png"), set(), {"NATIVE001"}),
