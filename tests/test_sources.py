@@ -24,7 +24,9 @@ HEAD = (
     f'<office:document xmlns:office="{NS}office:1.0" xmlns:text="{NS}text:1.0" xmlns:draw="{NS}drawing:1.0" '
     f'xmlns:svg="{NS}svg-compatible:1.0" xmlns:xlink="http://www.w3.org/1999/xlink" xmlns:dc="http://purl.org/dc/elements/1.1/" '
     'office:version="1.3" office:mimetype="application/vnd.oasis.opendocument.text"><office:meta><dc:title>T</dc:title>'
-    "<dc:language>en</dc:language></office:meta><office:body><office:text>"
+    "<dc:language>en</dc:language></office:meta>"
+    f'<office:styles xmlns:style="{NS}style:1.0" xmlns:fo="{NS}xsl-fo-compatible:1.0"><style:default-style style:family="paragraph">'
+    '<style:text-properties fo:language="en"/></style:default-style></office:styles><office:body><office:text>'
 )
 FOOT = "</office:text></office:body></office:document>"
 BAD = (
