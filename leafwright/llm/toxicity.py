@@ -9,8 +9,8 @@ neither says alone.  The pairs cost no more than the terms, by the identity
 It is fitted to a sample of the labelled rows of at most about ``MAX_LABELLED`` documents, drawn by a
 hash of the key, and keeps the terms that stand in at least ``MIN_SUPPORT`` of them and there much more
 or less often with the label than chance would have it (``MIN_DEVIATIONS``), so that the many indifferent
-words of a long text do not add up.  A term that says nothing alone is kept as well if it does beside a kept
-one: if among the texts with that one the label goes with it much more or less often (``PAIR_SUPPORT``,
+words of a long text do not add up.  A term that says nothing alone is kept as well if it does beside one
+that speaks for the label: if among the texts with that one the label goes with it much more or less often (``PAIR_SUPPORT``,
 ``PAIR_DEVIATIONS``).  All bounds do not
 depend on the corpus, so the model (a few megabytes) is fitted on the driver and broadcast.  All whole
 texts are then scored where they are: a scan and a map, no exchange.
@@ -149,10 +149,9 @@ def learn(rows: DataFrame) -> Machine:
     )
     support = stored(support.filter(F.col("n") >= MIN_SUPPORT))
     far = F.abs(F.col("hits") - F.col("n") * rate) > MIN_DEVIATIONS * F.sqrt(F.col("n") * rate * (1 - rate))
-    telling = stored(support.filter(far))
-    beside = telling_beside(hashed, telling, support)
-    frequent = telling.select("term").union(beside).distinct().toArrow()
-    terms = np.sort(frequent.column("term").to_numpy().view(np.uint64))
+    telling = stored(support.filter(far).withColumn("speaks_for", F.col("hits") > F.col("n") * rate))
+    alone = telling.select("term").toArrow().column("term").to_numpy()
+    terms = np.sort(np.concatenate((alone, telling_beside(hashed, telling, support))).view(np.uint64))
     shared = rows.sparkSession.sparkContext.broadcast(terms)
 
     def locate(batches):
@@ -167,30 +166,53 @@ def learn(rows: DataFrame) -> Machine:
     return fit(places, sample.column("label").to_numpy().astype(float), len(terms), terms)
 
 
-def telling_beside(hashed: DataFrame, telling: DataFrame, support: DataFrame) -> DataFrame:
-    """term: those that among the texts with a telling term shift the share of labels.
+def telling_beside(hashed: DataFrame, telling: DataFrame, support: DataFrame) -> np.ndarray:
+    """Terms that among the texts with a term that speaks for the label shift its share.
 
-    ``hashed`` is the bounded sample; its telling terms, a few of each text, meet the text's other terms, and
-    the pairs are counted where they are before they are moved.
+    ``hashed`` is the bounded sample.  Of it the driver gets the texts with such a term, as places of these
+    terms and of the candidates, and counts the pairs in arrays.
     """
     # a telling term that leaves no doubt has nothing to shift
-    open_ = telling.filter((F.col("n") >= 2 * PAIR_SUPPORT) & (F.col("hits").between(1, F.col("n") - 1)))
-    known = open_.select(F.col("term").alias("kept"), (F.col("hits") / F.col("n")).alias("share"), F.col("n").alias("n_kept"))
-    listed = hashed.select("draw", F.explode("terms").alias("kept")).join(known.select("kept"), "kept").groupBy("draw").agg(
-        F.collect_set("kept").alias("kept")
-    )
-    pairs = hashed.join(listed, "draw").select("label", "terms", F.explode("kept").alias("kept")).select(
-        "label", "kept", F.explode("terms").alias("term")
-    )
-    counted = pairs.groupBy("kept", "term").agg(F.count("*").alias("n"), F.sum("label").alias("hits")).filter(
-        (F.col("n") >= PAIR_SUPPORT) & (F.col("kept") != F.col("term"))
-    )
-    joined = counted.join(known, "kept").join(telling.select("term"), "term", "left_anti").join(support.select("term"), "term", "left_semi")
-    n, share = F.col("n"), F.col("share")
-    # of n texts drawn without return from those with the kept term
-    spread = F.sqrt(n * share * (1 - share) * (F.col("n_kept") - n) / (F.col("n_kept") - 1))
-    shifts = (F.col("n_kept") - n >= PAIR_SUPPORT) & (F.abs(F.col("hits") - n * share) > PAIR_DEVIATIONS * spread)
-    return joined.filter(shifts).select("term").distinct()
+    open_ = telling.filter((F.col("n") >= 2 * PAIR_SUPPORT) & (F.col("hits") < F.col("n")) & F.col("speaks_for"))
+    known = open_.select("term", "n", "hits").toArrow().sort_by("term")
+    others = support.filter(F.col("n") >= PAIR_SUPPORT).join(telling.select("term"), "term", "left_anti").select("term").toArrow()
+    kept, candidates = known.column("term").to_numpy(), np.sort(others.column("term").to_numpy())
+    if not len(kept) or not len(candidates):
+        return np.zeros(0, np.int64)
+    shared = hashed.sparkSession.sparkContext.broadcast((kept, candidates))
+
+    def locate(batches):
+        kept, candidates = shared.value
+        for b in batches:
+            labels, beside, found = [], [], []
+            for label, terms in zip(b.column("label").to_pylist(), b.column("terms").to_pylist()):
+                own = np.array(terms, np.int64)
+                at = _places(own, kept)
+                if len(at):
+                    labels.append(label), beside.append(at), found.append(_places(own, candidates))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(labels, pa.int32()), pa.array(beside, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.int32()))],
+                ["label", "beside", "found"],
+            )
+
+    rows = hashed.mapInArrow(locate, "label int, beside array<int>, found array<int>").toArrow()
+    labels = rows.column("label").to_numpy()
+    found = [np.array(x, np.int32) for x in rows.column("found").to_pylist()]
+    texts: list[list[int]] = [[] for _ in kept]
+    for i, at in enumerate(rows.column("beside").to_pylist()):
+        for k in at:
+            texts[k].append(i)
+    shifts = np.zeros(len(candidates), bool)
+    for k, (n_kept, hits_kept) in enumerate(zip(known.column("n").to_pylist(), known.column("hits").to_pylist())):
+        at = np.concatenate([found[i] for i in texts[k]])
+        marks = np.repeat(labels[texts[k]], [len(found[i]) for i in texts[k]])
+        n, hits = np.bincount(at, minlength=len(candidates)), np.bincount(at, marks, len(candidates))
+        share = hits_kept / n_kept
+        # of n texts drawn without return from those with the kept term
+        spread = np.sqrt(n * share * (1 - share) * (n_kept - n) / (n_kept - 1))
+        enough = (n >= PAIR_SUPPORT) & (n_kept - n >= PAIR_SUPPORT)
+        shifts |= enough & (np.abs(hits - n * share) > PAIR_DEVIATIONS * spread)
+    return candidates[shifts]
 
 
 def _places(found: np.ndarray, terms: np.ndarray) -> np.ndarray:
