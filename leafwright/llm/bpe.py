@@ -182,10 +182,13 @@ class Codec:
 
     def encode(self, pieces: list[bytes]) -> list[bytes]:
         """Tokens of each non-empty piece, as little-endian 32-bit numbers."""
-        whole = [[p] if len(p) <= LONG else self._parts(p) for p in pieces]
-        distinct = {p: i for i, p in enumerate(dict.fromkeys(p for parts in whole for p in parts))}
+        cut = {i: self._parts(p) for i, p in enumerate(pieces) if len(p) > LONG}
+        if not cut:
+            return self._encode_parts(pieces)
+        flat = [x for i, p in enumerate(pieces) for x in cut.get(i, (p,))]
+        distinct = {p: i for i, p in enumerate(dict.fromkeys(flat))}
         ids = self._encode_parts(list(distinct))
-        return [b"".join(ids[distinct[p]] for p in parts) for parts in whole]
+        return [b"".join(ids[distinct[x]] for x in cut[i]) if i in cut else ids[distinct[p]] for i, p in enumerate(pieces)]
 
     def _encode_parts(self, pieces: list[bytes]) -> list[bytes]:
         short = [i for i, p in enumerate(pieces) if len(p) <= LONG]
