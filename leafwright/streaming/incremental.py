@@ -25,14 +25,10 @@ def state_rank(state: Column) -> Column:
 
 
 def stream_table(spark: SparkSession, path: str, name: str, files: int = 1000) -> DataFrame:
-    """A given parquet table as a stream of at most ``files`` files a batch, in its own schema."""
+    """A given parquet table, one file or a folder of files, as a stream of at most ``files`` files a batch, in its own schema."""
     schema = spark.read.parquet(f"{path}/{name}.parquet").schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}.parquet")
-        .option("maxFilesPerTrigger", files)
-        .parquet(path)
-    )
+    # a pattern, since a stream takes a plain path for a folder and refuses a file
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{path}/{name}[.]parquet")
 
 
 def run_folder(spark: SparkSession, name: str) -> str:

@@ -7,8 +7,10 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from leafwright.bindings import QUERIES
 from leafwright.sources.corpus import identify
 from leafwright.streaming import incremental
+from tests.conftest import rows
 from tests.test_families import flat
 
 
@@ -77,6 +79,17 @@ def test_a_batch_that_runs_again_gives_the_same(spark, tmp_path):
     assert sorted(r.doc_id for r in spark.read.parquet(findings).collect()) == ["a", "b"]
 
 
+def test_a_given_table_may_be_a_folder_of_files(spark, tmp_path):
+    documents = [(i, f"word {i}", "es" if i % 3 else "en") for i in range(40)]
+    spark.createDataFrame(documents, "doc_id long, text string, lang string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["j1_audit_stream"](spark, str(tmp_path))
+    assert rows(found) == sorted((str(i), "LANG001") for i, _, lang in documents if lang == "es")
+    at = dt.datetime(2024, 1, 1)
+    events = [(i, i % 4, "view", at + dt.timedelta(hours=i)) for i in range(40)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string, ts timestamp").repartition(5).write.parquet(f"{tmp_path}/events.parquet")
+    assert sum(n for *_, n in rows(QUERIES["j2_progress_fold"](spark, str(tmp_path)))) == 40
+
+
 def test_state_leaves_after_the_delay(spark, tmp_path):
     folder, out = str(tmp_path / "in"), str(tmp_path / "out")
     schema = "item string, step string, state string, ts timestamp"
