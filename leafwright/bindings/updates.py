@@ -68,7 +68,7 @@ def typed_edits(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Dat
     kept = stored(ordinal(kept, ["doc_id"], "pos", "y"))
     wanted = docs.select("doc_id", F.col("doc_id").alias("table_id"), (F.col("doc_id") % 4).alias("headers"))
     headed, grouped, second = edits.header_rows(kept, wanted)
-    linked, split, third = edits.linkify_rows(stored(headed), docs)
+    linked, split, third = edits.linkify_rows(headed, docs)
     return linked, removed.unionByName(grouped).unionByName(split), first.unionByName(second).unionByName(third)
 
 

@@ -13,8 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafwright.functions.text import is_blank, linkify
+from leafwright.functions.text import ADDRESS, is_blank, linkify
 from leafwright.operators.sequence import BLOCK, previous, scan
+from leafwright.session import stored
 
 
 def row_id(doc: Column, place: Column) -> Column:
@@ -31,40 +32,53 @@ def between(low: Column, high: Column) -> Column:
     return F.when(low.isNull(), first).when(inside, under).otherwise(F.concat(low, F.array(F.lit(1).cast("long"))))
 
 
-def _outcomes(docs: DataFrame, allowed: DataFrame, rows: DataFrame, kind: str) -> DataFrame:
-    """doc_id, kind_id, status, count: applied where a row was allowed to change, else unchanged."""
-    done = allowed.join(rows, "row_id").groupBy("doc_id").agg(F.count_distinct("row_id").alias("count"))
+def _outcomes(docs: DataFrame, touched: DataFrame, kind: str) -> DataFrame:
+    """doc_id, kind_id, status, count: applied where a row was allowed to change, else unchanged.
+
+    ``touched``: row_id, doc_id.
+    """
+    done = touched.groupBy("doc_id").agg(F.count_distinct("row_id").alias("count"))
     n = F.coalesce("count", F.lit(0)).cast("long")
     return docs.select("doc_id").distinct().join(done, "doc_id", "left").select(
         "doc_id", F.lit(kind).alias("kind_id"), F.when(n > 0, "applied").otherwise("unchanged").alias("status"), n.alias("count")
     )
 
 
+def _marked(rows: DataFrame, enabled: DataFrame) -> DataFrame:
+    """Rows with ``__on``: whether their document is among ``enabled``."""
+    on = enabled.select("doc_id").distinct().withColumn("__on", F.lit(True))
+    return rows.join(on, "doc_id", "left").withColumn("__on", F.coalesce("__on", F.lit(False)))
+
+
 def linkify_rows(rows: DataFrame, enabled: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Turn the addresses of paragraphs into link rows.
 
     ``enabled``: doc_id.  A paragraph keeps its row with the text before its first address; the other pieces
-    become rows right after it, in order, and joined they give the paragraph's text back.
+    become rows right after it, in order, and joined they give the paragraph's text back.  A paragraph is cut
+    in its own row, and only one that can hold an address is searched; its pieces are written once.
     """
+    text = F.col("text")
     kept = [c for c in rows.columns if c not in ("text", "href")]
-    chosen = rows.filter((F.col("kind") == "p") & F.col("text").isNotNull()).join(enabled.select("doc_id").distinct(), "doc_id", "left_semi")
-    pieces = linkify(chosen.select(*kept, "text"), "text")
-    # Only a paragraph with an address has a second piece, or a first one that is a link.
-    several = pieces.filter((F.col("segment") > 0) | F.col("href").isNotNull()).select("row_id").distinct()
-    cut = pieces.join(several, "row_id", "left_semi")
+    asked = F.col("__on") & (F.col("kind") == "p") & (text.contains("@") | text.contains("://"))
+    # what stands before the first address; a text without one is a single part
+    marked = _marked(rows, enabled).withColumn("__parts", F.when(asked, F.split(text, ADDRESS, 2)))
+    cut = F.coalesce(F.size("__parts") > 1, F.lit(False))
+    pieces = linkify(marked.filter(cut).select(*kept, "text"), "text")
     deeper = F.concat("place", F.array(F.col("segment") + 1))
-    lead = cut.filter((F.col("segment") == 0) & F.col("href").isNull()).select("row_id", F.col("words").alias("__lead"))
-    inserted = cut.filter((F.col("segment") > 0) | F.col("href").isNotNull()).select(
-        row_id(F.col("doc_id"), deeper).alias("row_id"), deeper.alias("place"), F.when(F.col("href").isNotNull(), "link").otherwise("text").alias("kind"),
-        F.col("words").alias("text"), "href", F.col("row_id").alias("parent"), *[c for c in kept if c not in ("row_id", "place", "kind", "parent")],
+    inserted = stored(
+        pieces.filter((F.col("segment") > 0) | F.col("href").isNotNull()).select(
+            row_id(F.col("doc_id"), deeper).alias("row_id"), deeper.alias("place"), F.when(F.col("href").isNotNull(), "link").otherwise("text").alias("kind"),
+            F.col("words").alias("text"), "href", F.col("row_id").alias("parent"), *[c for c in kept if c not in ("row_id", "place", "kind", "parent")],
+        )
     )
-    changed = rows.join(several.withColumn("__cut", F.lit(True)), "row_id", "left").join(lead, "row_id", "left")
-    text = F.when(F.col("__cut"), F.coalesce("__lead", F.lit(""))).otherwise(F.col("text"))
-    candidate = changed.withColumn("text", text).select(*rows.columns).unionByName(inserted.select(*rows.columns))
+    lead = marked.withColumn("text", F.when(cut, F.get("__parts", F.lit(0))).otherwise(text))
+    candidate = lead.select(*rows.columns).unionByName(inserted.select(*rows.columns))
+    # every paragraph that was cut has a piece that is a link
+    several = inserted.filter("kind = 'link'").select(F.col("parent").alias("row_id"), "doc_id").distinct()
     allowed = several.select("row_id", F.lit("edit").alias("permission")).unionByName(
         inserted.select("row_id", F.lit("create").alias("permission"))
     )
-    return candidate, allowed, _outcomes(enabled, allowed.filter("permission = 'edit'"), rows.select("row_id", "doc_id"), "text.linkify_addresses")
+    return candidate, allowed, _outcomes(enabled, several, "text.linkify_addresses")
 
 
 def drop_spacers(rows: DataFrame, enabled: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -73,10 +87,10 @@ def drop_spacers(rows: DataFrame, enabled: DataFrame) -> tuple[DataFrame, DataFr
     ``rows`` hold ``breaks`` and ``protected`` (boolean); ``enabled``: doc_id.
     """
     empty = (F.col("kind") == "p") & is_blank(F.col("text")) & ~F.col("breaks") & ~F.col("protected")
-    gone = rows.filter(empty).join(enabled.select("doc_id").distinct(), "doc_id", "left_semi").select("row_id")
+    marked = _marked(rows, enabled).withColumn("__gone", F.col("__on") & F.coalesce(empty, F.lit(False)))
+    gone = marked.filter("__gone").select("row_id", "doc_id")
     allowed = gone.select("row_id", F.lit("remove").alias("permission"))
-    outcomes = _outcomes(enabled, allowed, rows.select("row_id", "doc_id"), "text.remove_spacers")
-    return rows.join(gone, "row_id", "left_anti"), allowed, outcomes
+    return marked.filter(~F.col("__gone")).select(*rows.columns), allowed, _outcomes(enabled, gone, "text.remove_spacers")
 
 
 def header_rows(rows: DataFrame, requests: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -93,11 +107,14 @@ def header_rows(rows: DataFrame, requests: DataFrame, block: int = BLOCK) -> tup
     start = F.element_at("place", 1) - F.pmod(F.element_at("place", 1), F.lit(block))
     lined = scan(rows.select("row_id", "doc_id", "table_id", "y", "place"), ["doc_id"], "place", {"__before": previous(F.col("place"))}, start)
     heads = lined.filter("y = 1").join(good, key).withColumn("__place", between(F.col("__before"), F.col("place")))
-    wrappers = heads.select(*key, F.col("__place").alias("place"), row_id(F.col("doc_id"), F.col("__place")).alias("row_id"), F.lit("header").alias("kind"))
-    grouped = rows.filter("y IS NOT NULL").join(good, key).filter(F.col("y") <= F.col("headers"))
-    moved = grouped.select(*key, "row_id").join(wrappers.select(*key, F.col("row_id").alias("__parent")), key).select("row_id", "__parent")
-    joined = rows.join(moved, "row_id", "left").withColumn("parent", F.coalesce("__parent", "parent")).select(*rows.columns)
-    candidate = joined.unionByName(wrappers, allowMissingColumns=True)
+    wrappers = stored(
+        heads.select(*key, F.col("__place").alias("place"), row_id(F.col("doc_id"), F.col("__place")).alias("row_id"), F.lit("header").alias("kind"))
+    )
+    over = wrappers.select(*key, F.col("row_id").alias("__parent")).join(good, key)
+    joined = rows.join(over, key, "left").withColumn("__moved", F.coalesce(F.col("y") <= F.col("headers"), F.lit(False)))
+    parent = F.when(F.col("__moved"), F.col("__parent")).otherwise(F.col("parent"))
+    candidate = joined.withColumn("parent", parent).select(*rows.columns).unionByName(wrappers, allowMissingColumns=True)
+    moved = rows.select(*key, "row_id", "y").join(over, key).filter(F.col("y") <= F.col("headers"))
     allowed = moved.select("row_id", F.lit("edit").alias("permission")).unionByName(
         wrappers.select("row_id", F.lit("create").alias("permission"))
     )

@@ -60,6 +60,16 @@ def test_linkify_keeps_the_text_and_other_rows(spark):
     assert [(r.status, r["count"]) for r in outcomes.collect()] == [("applied", 2)]
 
 
+def test_edits_search_every_text_once(spark):
+    texts = ["a@b.de", "x@", "see ://x", "c d", " "]
+    rows = _rows(spark, texts)
+    joins = lambda frame: frame._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    after, allowed, _ = edits.linkify_rows(rows, _docs(spark, "d"))
+    assert sorted((tuple(r.place), r.text) for r in after.collect()) == [((1,), ""), ((1, 1 + 2), "a@b.de"), ((2,), "x@"), ((3,), "see ://x"), ((4,), "c d"), ((5,), " ")]
+    assert joins(after) == 1 and joins(allowed) == 0  # with the chosen documents only
+    assert joins(edits.drop_spacers(rows, _docs(spark, "d"))[0]) == 1
+
+
 def test_spacers_with_breaks_or_protection_stay(spark):
     rows = _rows(spark, ["a", " ", None, "", "", "b", "  "])
     after, allowed, outcomes = edits.drop_spacers(rows, _docs(spark, "d", "none"))
