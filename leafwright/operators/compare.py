@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from leafwright.functions.text import visible_words
 from leafwright.operators.sequence import BLOCK, running_sum, scan
-from leafwright.session import stored
 
 MAX_RENDER_PIXELS = 20_000_000
 INK_THRESHOLD = 200
 RASTER_TOLERANCE = 0.15
 EXCERPT = 40
-RUN = 256  # characters
+SPAN = 4096  # characters compared in one row
+CHUNK = 64  # characters compared one by one
+MARGIN = EXCERPT + 1  # characters a span has of its neighbours
 
 
 def multiset_diff(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
@@ -62,52 +63,41 @@ def geometry_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 def numbered_pages(pages: DataFrame, block=BLOCK) -> DataFrame:
     """Each page's clean text with the characters before it in its document: doc_id, clean, n, offset.
 
-    ``pages``: doc_id, page (long), text.  Only page sizes are scanned; no document is assembled, and moved
-    page breaks do not matter.  A page that says something ends with one space, so ``n`` counts that too.
+    ``pages``: doc_id, page (long), text.  A text is moved once, to its block of pages; no document is assembled,
+    and moved page breaks do not matter.  A page that says something ends with one space, so ``n`` counts that too.
     """
     clean = pages.select("doc_id", "page", visible_words(F.col("text")).alias("__c"))
-    counted = stored(
-        clean.withColumn("clean", F.when(F.col("__c") != "", F.concat("__c", F.lit(" "))).otherwise(""))
-        .withColumn("n", F.char_length("clean").cast("long")).drop("__c")
-    )
-    placed = scan(counted, ["doc_id"], "page", {"offset": running_sum(F.col("n"), False)}, block)
-    return stored(placed.select("doc_id", "clean", "n", "offset"))
+    counted = clean.withColumn("clean", F.when(F.col("__c") != "", F.concat("__c", F.lit(" "))).otherwise("")).drop("__c")
+    counted = counted.withColumn("n", F.char_length("clean").cast("long"))
+    return scan(counted, ["doc_id"], "page", {"offset": running_sum(F.col("n"), False)}, block).select("doc_id", "clean", "n", "offset")
 
 
-def _digest(text: Column) -> Column:
-    """96 bits of a run of characters."""
-    return F.struct(F.xxhash64(text).alias("h"), F.hash(text, F.char_length(text)).alias("i"))
+def _pieces(numbered: DataFrame) -> DataFrame:
+    """The parts of the texts by aligned spans of ``SPAN`` characters: doc_id, span, start, text.
 
-
-def _run_digests(numbered: DataFrame, side: str) -> DataFrame:
-    """One digest per document and run of ``RUN`` characters: doc_id, run, ``side``.
-
-    Runs inside a page are cut and hashed in its row.  Only a page's two edges leave it as text, and what
-    meets in a run is one run long at most.
+    A span also has the ``MARGIN`` characters on either side of it.  A page is cut once, in its own row.
     """
-    rest = F.pmod(F.lit(RUN) - F.pmod("offset", F.lit(RUN)), F.lit(RUN)).cast("int")
-    cut = numbered.filter("n > 0").withColumn("__head", F.least(rest, F.col("n").cast("int")))
-    tail = F.substr("clean", F.col("__head") + 1)
-    cut = cut.withColumn("__runs", F.regexp_extract_all(tail, F.lit(f"(?s).{{1,{RUN}}}"), F.lit(0)))
-    last = F.get("__runs", F.size("__runs") - 1)
-    odd = F.coalesce(F.char_length(last) < RUN, F.lit(False))
-    inner = F.when(odd, F.slice("__runs", 1, F.greatest(F.size("__runs") - 1, F.lit(0)))).otherwise(F.col("__runs"))
-    first = F.ceil((F.col("offset") / RUN)).cast("long")  # the first run that starts in the page
-    cut = cut.withColumn("__first", first)
-    whole = cut.select("doc_id", "__first", F.posexplode(F.transform(inner, _digest)).alias("__i", side)).select(
-        "doc_id", (F.col("__first") + F.col("__i")).alias("run"), side
-    )
-    piece = lambda run, start, text: F.struct(run.alias("run"), start.alias("start"), text.alias("text"))
-    edges = F.array_compact(
+    rest = F.pmod(F.lit(SPAN) - F.pmod("offset", F.lit(SPAN)), F.lit(SPAN)).cast("int")
+    head = F.least(rest, F.col("n").cast("int"))
+    cut = numbered.filter("n > 0").withColumn("__head", head)
+    whole = F.regexp_extract_all(F.substr("clean", F.col("__head") + 1), F.lit(f"(?s).{{1,{SPAN}}}"), F.lit(0))
+    first = F.when(F.col("__head") > 0, F.array(F.substr("clean", F.lit(1), F.col("__head")))).otherwise(F.array().cast("array<string>"))
+    parts = cut.select("doc_id", "offset", "__head", F.posexplode(F.concat(first, whole)).alias("__i", "text"))
+    later = F.when((F.col("__head") > 0) & (F.col("__i") > 0), F.col("__head") + (F.col("__i") - 1).cast("long") * SPAN)
+    parts = parts.withColumn("start", F.col("offset") + F.coalesce(later, F.col("__i").cast("long") * SPAN))
+    parts = parts.withColumn("span", F.floor(F.col("start") / SPAN)).withColumn("__n", F.char_length("text"))
+    part = lambda span, start, text: F.struct(span.alias("span"), start.alias("start"), text.alias("text"))
+    low, high = F.col("span") * SPAN, (F.col("span") + 1) * SPAN
+    begins = (low + MARGIN - F.col("start")).cast("int")  # what the span before it sees
+    ends = F.greatest(F.lit(0), high - MARGIN - F.col("start")).cast("int")  # where the span after it begins to see
+    seen = F.array_compact(
         F.array(
-            F.when(F.col("__head") > 0, piece(F.col("__first") - 1, F.col("offset"), F.substr("clean", F.lit(1), F.col("__head")))),
-            F.when(odd, piece(F.col("__first") + F.size("__runs") - 1, F.col("offset") + F.col("n") - F.char_length(last), last)),
+            part(F.col("span"), F.col("start"), F.col("text")),
+            F.when((F.col("span") > 0) & (begins > 0), part(F.col("span") - 1, F.col("start"), F.substr("text", F.lit(1), begins))),
+            F.when(F.col("__n") > ends, part(F.col("span") + 1, F.col("start") + ends, F.substr("text", ends + 1))),
         )
     )
-    pieces = cut.select("doc_id", F.explode(edges).alias("p"))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p.start", "p.text"))), lambda p: p["text"]), "")
-    met = pieces.groupBy("doc_id", F.col("p.run").alias("run")).agg(_digest(joined).alias(side))
-    return whole.unionByName(met)
+    return parts.select("doc_id", F.inline(seen))
 
 
 def _common_prefix(a: Column, b: Column) -> Column:
@@ -116,46 +106,49 @@ def _common_prefix(a: Column, b: Column) -> Column:
     return F.when(miss == 0, F.size(pairs)).otherwise(miss - 1)
 
 
-def _around(numbered: DataFrame, spots: DataFrame, low: Column, high: Column, name: str) -> DataFrame:
-    """The characters from ``low`` to ``high`` of each document in ``spots``; a few hundred at most."""
-    rows = numbered.join(spots.select("doc_id", low.alias("__low"), high.alias("__high")), "doc_id")
-    rows = rows.filter((F.col("offset") < F.col("__high")) & (F.col("offset") + F.col("n") > F.col("__low")))
-    start = F.greatest(F.col("__low") - F.col("offset"), F.lit(0))
-    end = F.least(F.col("__high") - F.col("offset"), F.col("n"))
-    text = F.substr("clean", (start + 1).cast("int"), (end - start).cast("int"))
-    ordered = F.sort_array(F.collect_list(F.struct("offset", text.alias("text"))))
-    return rows.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda p: p["text"]), "").alias(name))
-
-
 def first_diff(before: DataFrame, after: DataFrame, block=BLOCK) -> DataFrame:
     """FIDELITY003: character position of the first difference in the normalised text.
 
-    If one text is a prefix of the other the position is the shorter length.  Aligned runs of characters are
-    compared by digest, so only the texts around the first unlike run are read again.  The excerpts hold up
-    to 40 characters on either side.
+    If one text is a prefix of the other the position is the shorter length.  Both texts meet span by span, a
+    bounded row each, and from there on only a position and its excerpts are moved.  The excerpts hold up to 40
+    characters on either side.
     """
-    source, target = numbered_pages(before, block), numbered_pages(after, block)
-    both = _run_digests(source, "a").join(_run_digests(target, "b"), ["doc_id", "run"], "full")
-    spots = stored(both.filter(~F.col("a").eqNullSafe(F.col("b"))).groupBy("doc_id").agg(F.min("run").alias("run")))
-    run = F.col("run") * RUN
-
-    def pair(marked: DataFrame, low: Column, high: Column) -> DataFrame:
-        joined = marked
-        for numbered, name in ((source, "__a"), (target, "__b")):
-            joined = joined.join(_around(numbered, marked, low, high, name), "doc_id", "left").fillna("", [name])
-        return joined
-
-    for numbered, name in ((source, "__len_a"), (target, "__len_b")):
-        sizes = numbered.join(spots, "doc_id", "left_semi").groupBy("doc_id").agg(F.greatest(F.sum("n") - 1, F.lit(0)).alias(name))
-        spots = spots.join(sizes, "doc_id", "left").fillna(0, [name])
-    at = F.least(run + _common_prefix(F.col("__a"), F.col("__b")), "__len_a", "__len_b").cast("long")
-    found = stored(pair(spots, run, run + RUN).select("doc_id", at.alias("position"), "__len_a", "__len_b"))
-    low, high = F.greatest(F.col("position") - EXCERPT, F.lit(0)), F.col("position") + EXCERPT
-    # The space that ends the last page is no part of the text.
-    bounded = lambda text, size: F.substr(text, F.lit(1), F.greatest(F.least(high, F.col(size)) - low, F.lit(0)).cast("int"))
-    return pair(found, low, high).select(
-        "doc_id", "position", bounded("__a", "__len_a").alias("source"), bounded("__b", "__len_b").alias("candidate")
+    sides = _pieces(numbered_pages(before, block)).withColumn("side", F.lit("a")).unionByName(
+        _pieces(numbered_pages(after, block)).withColumn("side", F.lit("b"))
+    )
+    found = []
+    for side in ("a", "b"):
+        own = F.col("side") == side
+        found.append(F.collect_list(F.when(own, F.struct("start", "text"))).alias(side))
+        found.append(F.max(F.when(own, F.col("start") + F.char_length("text"))).alias(f"end_{side}"))
+    spans = sides.groupBy("doc_id", "span").agg(*found)
+    low = F.greatest(F.col("span") * SPAN - MARGIN, F.lit(0))  # all texts of a span begin here, or after their end
+    spans = spans.withColumn("low", low).withColumn("lead", (F.col("span") * SPAN - low).cast("int"))
+    for side in ("a", "b"):
+        spans = spans.withColumn(side, F.array_join(F.transform(F.sort_array(side), lambda p: p["text"]), ""))
+    inside = {s: F.substr(s, F.col("lead") + 1, F.lit(SPAN)) for s in ("a", "b")}
+    spans = spans.withColumn("differ", inside["a"] != inside["b"])
+    # the first unlike chunk, then its first unlike character
+    cut = lambda side: F.when(F.col("differ"), F.regexp_extract_all(inside[side], F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)))
+    spans = spans.withColumn("__a", cut("a")).withColumn("__b", cut("b"))
+    same = F.zip_with("__a", "__b", lambda x, y: F.coalesce(x == y, F.lit(False)))
+    spans = spans.withColumn("__i", (F.array_position(same, F.lit(False)) - 1).cast("int"))
+    chunk = lambda side: F.coalesce(F.get(side, F.col("__i")), F.lit(""))
+    spans = spans.withColumn("__p", F.when(F.col("differ"), F.col("lead") + F.col("__i") * CHUNK + _common_prefix(chunk("__a"), chunk("__b"))))
+    excerpt = lambda side: F.substr(side, F.greatest(F.col("__p") - MARGIN, F.lit(0)) + 1, F.least(F.col("__p"), F.lit(MARGIN)) + EXCERPT).alias(side)
+    spot = F.when(F.col("differ"), F.struct((F.col("low") + F.col("__p")).alias("position"), excerpt("a"), excerpt("b")))
+    docs = spans.select("doc_id", "end_a", "end_b", spot.alias("spot")).groupBy("doc_id").agg(
+        F.min("spot").alias("spot"), *[F.greatest(F.max(f"end_{s}") - 1, F.lit(0)).alias(f"len_{s}") for s in ("a", "b")]
+    )
+    docs = docs.filter("spot IS NOT NULL").select("doc_id", "spot.*", *[F.coalesce(f"len_{s}", F.lit(0)).alias(f"len_{s}") for s in ("a", "b")])
+    # The space that ends the last page is no part of the text: the position may move back by that one.
+    at = F.least("position", "len_a", "len_b")
+    have = F.greatest(F.col("position") - MARGIN, F.lit(0))  # where the excerpts begin
+    low = F.greatest(at - EXCERPT, F.lit(0))
+    bounded = lambda side: F.substr(
+        side, (low - have + 1).cast("int"), F.greatest(F.least(at + EXCERPT, F.col(f"len_{side}")) - low, F.lit(0)).cast("int")
     )
+    return docs.select("doc_id", at.cast("long").alias("position"), bounded("a").alias("source"), bounded("b").alias("candidate"))
 
 
 def ink_counts(left: Column, right: Column, threshold: int = INK_THRESHOLD) -> Column:

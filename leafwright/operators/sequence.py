@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from leafwright.session import cut
 
 BLOCK = 1 << 18  # positions per block
-_B = "__block"
+_K = "__group_block"
 
 
 @dataclass(frozen=True)
@@ -62,9 +62,11 @@ def scan(
     order = [pos] if isinstance(pos, str) else list(pos)
     first = F.col(order[0])
     cut = first - F.pmod(first, F.lit(block)) if isinstance(block, int) else block
-    base = df.withColumn(_B, cut)
-    inner = Window.partitionBy(*keys, _B).orderBy(*order)
-    outer = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    # Group and block are one value that equals itself where it holds nulls: the rows that the window has dealt
+    # by it meet their block's carry where they are.
+    base = df.withColumn(_K, F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], cut.alias("b")))
+    inner = Window.partitionBy(_K).orderBy(*order)
+    outer = Window.partitionBy(*[f"{_K}.k{i}" for i in range(len(keys))]).orderBy(f"{_K}.b").rowsBetween(Window.unboundedPreceding, -1)
     at = F.struct(*order)
     rows = base
     totals, carries = [], []
@@ -90,13 +92,8 @@ def scan(
             carries.append(F.last(t).over(outer).alias(t))
         else:
             raise ValueError(f"Unknown scan kind {spec.kind!r}")
-    reduced = base.groupBy(*keys, _B).agg(*totals)
-    carry = reduced.select(*[F.col(k).alias(f"__k_{k}") for k in (*keys, _B)], *carries)
-    same = None
-    for key in (*keys, _B):
-        test = F.col(key).eqNullSafe(F.col(f"__k_{key}"))
-        same = test if same is None else same & test
-    joined = rows.join(carry, same, "left")
+    carry = base.groupBy(_K).agg(*totals).select(_K, *carries)
+    joined = rows.join(carry, _K, "left")
     result = []
     for name, spec in scans.items():
         w, t = F.col(f"__in_{name}"), F.col(f"__tot_{name}")

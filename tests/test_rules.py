@@ -113,6 +113,26 @@ def test_first_difference_against_brute_force(spark):
     assert same.count() == 0
 
 
+def test_first_difference_at_the_ends_of_spans(spark):
+    whole = "".join(chr(97 + i * i % 23) for i in range(9000))
+    ends = [0, 1, 40, 41, 64, 4054, 4055, 4056, 4095, 4096, 4097, 4136, 8191, 8192, 8999]
+    before, after, expected = [], [], {}
+    for i, at in enumerate(ends):
+        for kind, b in enumerate((whole[:at] + "é" + whole[at + 1 :], whole[:at], whole[:at] + " " + whole[at:])):
+            doc = f"{i}/{kind}"
+            before += [(doc, j, whole[s:e]) for j, (s, e) in enumerate(((0, 9000),))]
+            after.append((doc, 3, b))
+            b = " ".join(b.split())
+            if b != whole:
+                p = _first_difference(whole, b)
+                expected[doc] = (p, whole[max(p - 40, 0) : p + 40], b[max(p - 40, 0) : p + 40])
+    pages = "doc_id string, page long, text string"
+    found = compare.first_diff(spark.createDataFrame(before, pages), spark.createDataFrame(after, pages), 2)
+    assert {r.doc_id: (r.position, r.source, r.candidate) for r in found.collect()} == expected
+    # no text is looked up again: the two joins are those of the blocks' carries
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+
+
 def test_manifest(spark):
     recorded = spark.createDataFrame([("b", "ok", "1"), ("b", "gone", "1"), ("b", "old", "1"), ("b", "../x", "1")], "bundle_id string, name string, sha256 string")
     observed = spark.createDataFrame([("b", "ok", "1", "file"), ("b", "old", "2", "file"), ("b", "new", "1", "file"), ("b", "ln", "1", "link")], "bundle_id string, name string, sha256 string, kind string")
