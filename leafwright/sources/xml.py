@@ -43,6 +43,7 @@ PREFIXES = {
     "http://www.w3.org/XML/1998/namespace": "xml",
 }
 _FLUSH = 20_000
+_FLUSH_CHARS = 4 << 20  # text handed back to Spark at once
 _CHUNK = 1 << 20
 
 
@@ -131,27 +132,34 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=_COLUMNS)
 
 
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Node rows of batches of documents, in batches bounded by rows and by text."""
+    rows: list[tuple] = []
+    size = 0
+    for batch in batches:
+        for at in range(batch.num_rows):  # a value at a time, so that no document outlives its turn
+            doc_id, part, content = (batch.column(c)[at].as_py() for c in ("doc_id", "part", "content"))
+            try:
+                for row in _rows(doc_id, part, content or b""):
+                    rows.append(row)
+                    size += len(row[7] or "") + len(row[8] or "")
+                    if len(rows) >= _FLUSH or size >= _FLUSH_CHARS:
+                        yield _batch(rows)
+                        rows, size = [], 0
+            except (ET.ParseError, expat.ExpatError, UnicodeError) as error:
+                rows.append((doc_id, part, *[None] * 9, type(error).__name__))
+        # nothing of a batch is held while the next one is read
+        batch = content = None
+        pa.default_memory_pool().release_unused()
+    if rows:
+        yield _batch(rows)
+
+
 def shred_xml(parts: DataFrame) -> DataFrame:
     """Node rows of ``parts`` (doc_id, part, content).
 
     A document that cannot be read to its end has a row with ``problem``; the audit then leaves out
     whatever was read before it.
     """
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        for batch in batches:
-            cells = zip(*[batch.column(c) for c in ("doc_id", "part", "content")], strict=True)
-            for doc_id, part, content in cells:
-                try:
-                    for row in _rows(doc_id.as_py(), part.as_py(), content.as_py() or b""):
-                        rows.append(row)
-                        if len(rows) >= _FLUSH:
-                            yield _batch(rows)
-                            rows = []
-                except (ET.ParseError, expat.ExpatError, UnicodeError) as error:
-                    rows.append((doc_id.as_py(), part.as_py(), *[None] * 9, type(error).__name__))
-        if rows:
-            yield _batch(rows)
-
     chosen = parts.select("doc_id", "part", F.col("content").cast("binary").alias("content"))
-    return chosen.mapInArrow(read, NODES)
+    return chosen.mapInArrow(_read, NODES)

@@ -6,6 +6,7 @@ import io
 import json
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ import leafwright
 from leafwright.operators import findings
 from leafwright.session import shared_dir, stored
 from leafwright.sources import corpus as src
-from leafwright.sources import records, sinks, validator
+from leafwright.sources import records, sinks, validator, xml
 from leafwright.sources.html import shred_html, with_tree
 from leafwright.sources.xml import shred_xml
 from leafwright.streaming import incremental
@@ -180,3 +181,13 @@ def test_a_file_no_row_can_hold_is_refused_unread(spark, tmp_path):
     rows = {r.path: r for r in src.read_corpus(spark, str(tmp_path)).drop("content").collect()}
     assert rows["small.txt"].admitted and rows["small.txt"].sha256
     assert not rows["large.bin"].admitted and rows["large.bin"].n_bytes == 3 << 30
+
+
+def test_batches_of_nodes_are_bounded_by_their_text():
+    line = f"<p>{'x' * 100_000}</p>"
+    documents = [f"<a>{line * 10}</a>".encode() for _ in range(20)] + [b"<a><", None]
+    given = pa.RecordBatch.from_pydict({"doc_id": [str(i) for i in range(22)], "part": ["c"] * 22, "content": documents})
+    found = list(xml._read(iter([given.slice(0, 0), given])))
+    assert max(b.nbytes for b in found) < 2 * xml._FLUSH_CHARS and len(found) > 4
+    assert sum(b.num_rows for b in found) == 20 * 11 + 2
+    assert sum(len(t or "") for b in found for t in b.column("text").to_pylist()) == 20 * 1_000_000
