@@ -175,18 +175,20 @@ def navigation(pages: DataFrame, listed: DataFrame, shapes: DataFrame) -> DataFr
     page collects its shapes.
     """
     key = ["doc_id", "page_id"]
-    named = listed.groupBy(*key, "shape_id").agg(F.count("*").alias("n_listed"))
-    owned = shapes.groupBy(*key, "shape_id").agg(F.count("*").alias("n_owned"))
-    in_doc = shapes.groupBy("doc_id", "shape_id").agg(F.count("*").alias("n_doc"))
-    both = named.join(owned, [*key, "shape_id"], "full").join(
-        in_doc, ["doc_id", "shape_id"], "left"
-    )
-    wrong = ~F.coalesce(
-        (F.col("n_listed") == 1) & (F.col("n_owned") == 1) & (F.col("n_doc") == 1), F.lit(False)
-    )
-    agg = both.groupBy(*key).agg(
-        F.bool_or(wrong).alias("wrong"), F.sum(F.coalesce("n_owned", F.lit(0))).alias("n_shapes")
+    sides = listed.select(*key, "shape_id", F.lit(1).alias("l"), F.lit(0).alias("o")).unionByName(
+        shapes.select(*key, "shape_id", F.lit(0).alias("l"), F.lit(1).alias("o"))
     )
+    both = sides.groupBy(*key, "shape_id").agg(F.sum("l").alias("n_listed"), F.sum("o").alias("n_owned"))
+    # A shape owned once by its page is owned once by its document, unless it is among the repeated ones.
+    # These are written first: where they are few, nothing is moved to meet them.
+    repeated = stored(
+        shapes.filter("doc_id IS NOT NULL AND shape_id IS NOT NULL").groupBy("doc_id", "shape_id").agg(F.count("*").alias("n"))
+        .filter("n > 1").select("doc_id", "shape_id", F.lit(True).alias("again"))
+    )
+    both = both.join(repeated, ["doc_id", "shape_id"], "left")
+    named = F.col("shape_id").isNotNull()
+    wrong = ~F.coalesce(named & (F.col("n_listed") == 1) & (F.col("n_owned") == 1) & F.col("again").isNull(), F.lit(False))
+    agg = both.groupBy(*key).agg(F.bool_or(wrong).alias("wrong"), F.sum("n_owned").alias("n_shapes"))
     joined = pages.join(agg, key, "left")
     n = F.coalesce("n_shapes", F.lit(0))
     declared = F.col("declared")

@@ -243,3 +243,19 @@ def test_counts_partition_findings(spark):
     found = spark.createDataFrame([("d", "HEADING001"), ("d", "LINK001"), ("d", "STYLE002"), ("e", "LINK003")], "doc_id string, rule_id string")
     counted = findings.summary(findings.union_findings(findings.raise_rule(found, F.col("rule_id"))))
     assert rows(counted) == [("d", 1, 1, 1), ("e", 1, 0, 0)]
+
+
+def test_navigation_moves_its_shapes_once(spark):
+    key = "doc_id string, page_id long"
+    pages = [("d", 1, True), ("d", 2, True), ("d", 3, True), ("d", 4, False), ("d", 5, False), ("d", 6, True), ("e", 1, True), ("e", 2, True),
+             ("d", 1, False), ("e", 1, None), (None, 1, True)]
+    shapes = [("d", 1, "a"), ("d", 1, "b"), ("d", 2, "c"), ("d", 3, "x"), ("d", 4, "x"), ("d", 4, "y"), ("d", 5, "z"), ("e", 1, "x"), ("e", 2, None), (None, 1, "x")]
+    listed = [("d", 1, "b"), ("d", 1, "a"), ("d", 2, "c"), ("d", 2, "c"), ("d", 3, "x"), ("e", 1, "x"), ("e", 2, None)]
+    of = lambda data: spark.createDataFrame(data, f"{key}, shape_id string")
+    got = graph.navigation(spark.createDataFrame(pages, f"{key}, declared boolean"), of(listed), of(shapes))
+    # d/2 lists a shape twice, x is in two pages of d, d/6 has no shapes, e/2 has one without a name
+    assert rows(got) == sorted(
+        [("d", 1, 2, None), ("d", 2, 1, "PAGE004"), ("d", 3, 1, "PAGE004"), ("d", 4, 2, "PAGE005"), ("d", 5, 1, None), ("d", 6, 0, "PAGE004"),
+         ("e", 1, 1, None), ("e", 2, 1, "PAGE004"), ("d", 1, 2, "PAGE005"), ("e", 1, 1, None), (None, 1, 0, "PAGE004")], key=repr,
+    )
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
