@@ -371,6 +371,77 @@ def test_suffix_tree_distributions_sum_to_one():
     assert p.sum() == pytest.approx(1)
 
 
+def _suffix_tree(data):
+    """Scores by brute force, and the contexts kept."""
+    texts = [(i, ["<s>", *(t or "").encode().lower().split(), "</s>"]) for i, t in data]
+    learnt = [w for i, w in texts if zlib.crc32(str(i).encode()) % 10]
+    c = collections.Counter(
+        tuple(w[a : a + k]) for w in learnt for k in range(1, suffix_tree.ORDER + 2) for a in range(len(w) - k + 1)
+    )
+    known = {g[0] for g in c if len(g) == 1} - {"<s>"}
+    n = sum(c[w,] for w in known)
+    norm, kept = n + 0.1 * (len(known) + 1), set()
+
+    def share(w, a, k, p, less):
+        s = tuple(w[a - k : a])
+        return (c[*s, w[a]] - less + suffix_tree.M * p) / (c[s] - less + suffix_tree.M)
+
+    def p(w, a, longest, less):
+        found = (c[w[a],] - less + 0.1) / (norm - less)
+        for k in range(1, min(longest, a) + 1):
+            if tuple(w[a - k : a]) in kept:
+                found = share(w, a, k, found, less)
+        return found
+
+    for k in range(1, suffix_tree.ORDER + 1):
+        gain = collections.Counter()
+        for w in learnt:
+            for a in range(k, len(w)):
+                shorter = p(w, a, k - 1, 1)
+                gain[tuple(w[a - k : a])] += math.log(share(w, a, k, shorter, 1) / shorter)
+        kept |= {s for s, g in gain.items() if g >= suffix_tree.GAIN}
+    return [(i, sum(math.log10(p(w, a, suffix_tree.ORDER, 0)) for a in range(1, len(w)))) for i, w in texts], kept
+
+
+@pytest.mark.parametrize("chunk", [suffix_tree.CHUNK, 400])
+def test_suffix_tree_equals_brute_force(spark, monkeypatch, chunk):
+    rng = random.Random(7)
+    vocabulary = [f"v{i}" for i in range(40)]
+    phrases = [[rng.choice(vocabulary) for _ in range(rng.randrange(2, 9))] for _ in range(12)]
+
+    def text():
+        parts = [rng.choice(phrases) if rng.random() < 0.6 else [rng.choice(vocabulary)] for _ in range(rng.randrange(12))]
+        return " ".join(w for part in parts for w in part)
+
+    data = [(i, text()) for i in range(250)]
+    # The word after "p q r" is told by the fourth word back, in front of a word that tells nothing.
+    pairs = (("left", "one"), ("right", "two"))
+    data += [(1000 + i, "{} {} p q r {}".format(rng.choice(vocabulary), *pairs[i % 2])) for i in range(120)]
+    data += [(5000, None), (5001, ""), (5002, " \n"), (5, "v1 v2"), (5, "v1 v2")]
+    want, kept = _suffix_tree(data)
+    assert (b"left", b"p", b"q", b"r") in kept
+    monkeypatch.setattr(suffix_tree, "CHUNK", chunk)
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    found = suffix_tree.score(docs, toxicity.fold("doc_id", 10) == 0).collect()
+    assert sorted((r.id, round(r.score, 6)) for r in found) == sorted((i, round(x, 6)) for i, x in want)
+    unlearnt = suffix_tree.score(docs, F.lit(True)).collect()
+    assert len(unlearnt) == len(data) and {(r.train_tokens, r.n_known, r.score) for r in unlearnt} == {(0, 0, 0.0)}
+
+
+def test_suffix_tree_keeps_evidence_in_a_large_corpus(spark):
+    rng = random.Random(8)
+    passage = " ".join(f"rare{i}" for i in range(20))
+    data = [(i, passage) for i in range(4)]
+    fresh = max(i for i in range(50, 100) if zlib.crc32(str(i).encode()) % 10 == 0)
+    data.append((fresh, passage))
+    filler = [(1000 + i, " ".join(f"w{rng.randrange(3000)}" for _ in range(2500))) for i in range(240)]
+    docs = spark.createDataFrame(data + filler, "doc_id long, text string")
+    found = suffix_tree.score(docs, toxicity.fold("doc_id", 10) == 0).filter(F.col("id") == fresh).first()
+    # A few sightings of each context tell the next word, however many other words there are.
+    assert found.n_tokens == 21 and found.train_tokens > 500_000
+    assert found.base_score < 21 * -4 and found.score > 21 * math.log10(0.2)
+
+
 # toxicity
 
 
