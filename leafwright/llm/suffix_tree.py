@@ -47,6 +47,7 @@ GAIN = 10.0
 M = 5.0
 UNIT = 1 << 16  # parts of a nat: sums of whole parts don't depend on their order
 CHUNK = 2_000_000  # tokens of a chunk
+RANGE = 3  # chunks' worth of sequences in a range of hashes
 WORD_BYTES = 6  # of a text, about, to a token
 STRIDE = 1_000_003  # from a task's chunk to its next, a prime above the number of tasks
 BITS = 18  # of a symbol in a tree held whole
@@ -350,8 +351,8 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
     context = spark.sparkContext
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     rows = chunked(docs, key, text, held_out).rdd
-    n_ranges = 1 + size // (WORD_BYTES * CHUNK)
-    homes = max(n_ranges, rows.getNumPartitions())
+    n_ranges = 1 + size // (RANGE * WORD_BYTES * CHUNK)
+    homes = max(RANGE * n_ranges, rows.getNumPartitions())
     dealt = rows.map(lambda r: (r[0], (r[1], r[2], *((n, bytes(d)) for n, d in zip(r[3::2], r[4::2])))))
     texts = settled(dealt.partitionBy(homes))
 
